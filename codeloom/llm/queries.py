@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, setsketch, tokencount
+from . import quality, setsketch, substr, tokencount
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the windows of 35 words that start twice."""
+    return substr.remove_repeats(_docs(spark, sf_dir))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suffix-array repetition rules over every document."""
     return quality.with_facts(_docs(spark, sf_dir).select("doc_id", "text")).drop("text")
@@ -28,5 +33,5 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules, op6_minhash_near_dedup, op7_token_counts)}
+QUERIES = {f.__name__: f for f in (op4_substring_dedup, op5_quality_rules, op6_minhash_near_dedup, op7_token_counts)}
 ORACLES: dict[str, str] = {}
