@@ -15,7 +15,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel works on at once; a longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
@@ -216,3 +217,28 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
 def digest(values: np.ndarray) -> bytes:
     """16 bytes that stand for a sequence of 64-bit values."""
     return hashlib.blake2b(values.astype("<u8").tobytes(), digest_size=16).digest()
+
+
+# ---------------------------------------------------------------- bounded id filters
+
+#: Bits of an id filter; its size is fixed, so it may go to every executor whatever the number of ids. Ids that share a bit
+#: with a wanted one pass too, and exact joins follow.
+FILTER_BITS = 1 << 22
+
+
+def filter_place(col: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(col).cast("long")), F.lit(FILTER_BITS))
+
+
+def id_filter(ids: DataFrame, col: str) -> np.ndarray:
+    """A bit for every place that an id of ids[col] takes, combined on the executors."""
+    h = ids.select(filter_place(col).alias("h"))
+    words = h.select(F.floor(F.col("h") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(h % 64 AS int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[words["w"].to_numpy()] = words["b"].to_numpy()
+    return out
+
+
+def passes(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which of these places have a bit."""
+    return (bits.view(np.uint64)[place // 64] >> (place % 64).astype(np.uint64)) & np.uint64(1) == 1

@@ -4,15 +4,17 @@ A document's set holds its distinct shingles of five words (fewer words: the who
 over the set of an exponential variate h_j, truncated on a scale of powers of BASE: floor(1 - log_BASE(RATE * min h_j)),
 clipped to [0, TOP]. Registers of two sets merge by maximum, and are equal about as often as the sets' similarity.
 
-1. One pass over the texts gives each document's set as 48-bit fingerprints, a 128-bit digest of it and its registers.
-   Documents of equal sets form one class, and the class's least id stands for it from here on.
-2. Bands of ROWS registers are hashed; classes that share a band meet in a bucket. A bucket is not expanded into pairs:
-   every class is compared with the bucket's pivot, classes found linked become one component, and only classes of different
-   components go on, to a new pivot, until what is left of all buckets is a few pairs a class; those are then all compared.
-   So every pair that shares a bucket is either compared or already in one component.
+1. One pass over the texts gives a 128-bit digest of each document's set and its registers. Documents of equal sets form
+   one class, and the class's least id stands for it from here on.
+2. Bands of ROWS registers are hashed; classes that share a band meet in a bucket. A bucket is not expanded into pairs: every
+   class is compared with the bucket's least one, and those found linked become one component. Only pairs of different
+   components are left, those of small buckets as rows, those of large ones inside blocks: rows that hold up to about BLOCK
+   classes meet, and pairs are compared there, in the first bucket that they share, unless links just found connect them.
+   So every pair that shares a bucket is compared or already in one component.
 3. For a pair, the numbers of registers that are larger, smaller and equal give the likelihood of each similarity jointly
    with the two set sizes. A pair goes on unless similarities of 0.75 and more are e**20 times less likely than the best.
-4. The rest is verified on the full sets: 100 * intersection >= 75 * union.
+4. The rest is verified on the full sets, made again from the texts of classes that share a bucket as 48-bit fingerprints:
+   100 * intersection >= 75 * union.
 
 At 40 bands of 4 registers a pair of similarity 0.75 shares no band with probability 3e-7; at 0.8 with 1e-9.
 Fingerprints of 48 bits are equal by chance in one of 1e6 pairs of sets with 20,000 shingles each.
@@ -32,15 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, drop_stash, mix, slices, stash, text_bytes, window_hashes, word_hashes, word_spans
+from .common import LOWER, drop_stash, filter_place, id_filter, mix, passes, slices, stash, text_bytes, window_hashes, word_hashes, word_spans
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 40, 4
 BASE, RATE, TOP = 1.02, 20.0, 4094
 REGISTERS = BANDS * ROWS
-#: Remaining pairs for each class in a bucket from which all of them are compared instead of choosing new pivots.
-PAIRS_EACH = 4
+#: Classes of a bucket up to which its remaining pairs are rows of a join, and classes of a block of a larger one.
+SMALL, BLOCK = 32, 128
 
 _rng = np.random.Generator(np.random.PCG64(20240501))
 _FLIP = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
@@ -117,26 +119,44 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values, np.searchsorted(who, np.arange(len(n) + 1))
 
 
+def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches, "t"):
+        values, first = shingle_sets(b.column(1))
+        n = np.diff(first)
+        some = np.flatnonzero(n)
+        regs = np.zeros((len(n), REGISTERS), np.uint16)
+        if len(some):
+            regs[some] = registers(values, np.append(first[:-1][some], len(values)))
+        ids = np.array([np.frombuffer(hashlib.blake2b(values[i:j].tobytes(), digest_size=16).digest(), "<i8") for i, j in zip(first, first[1:])]).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array([r.tobytes() for r in regs], pa.binary())], names=["id", "n", "hi", "lo", "regs"])
+
+
 def sketches(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, n, hi, lo, shingles, regs) for every row: set size, the set's digest, the set and its registers."""
+    """(id, n, hi, lo, regs) for every row: set size, the set's digest and its registers."""
+    return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t")).mapInArrow(_sketch_rows, "id long, n long, hi long, lo long, regs binary")
+
+
+def full_sets(df: DataFrame, id_col: str, text: str, wanted: np.ndarray) -> DataFrame:
+    """(c, shingles) of the rows whose id passes a filter: the set as sorted 48-bit fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "t"):
-            values, first = shingle_sets(b.column(1))
-            n = np.diff(first)
-            some = np.flatnonzero(n)
-            regs = np.zeros((len(n), REGISTERS), np.uint16)
-            if len(some):
-                regs[some] = registers(values, np.append(first[:-1][some], len(values)))
-            six = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, 2:]
-            sets = [six[i:j].tobytes() for i, j in zip(first, first[1:])]
-            ids = np.array([np.frombuffer(hashlib.blake2b(values[i:j].tobytes(), digest_size=16).digest(), "<i8") for i, j in zip(first, first[1:])]).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n), pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(sets, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())],
-                names=["id", "n", "hi", "lo", "shingles", "regs"],
-            )
-
-    return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t")).mapInArrow(run, "id long, n long, hi long, lo long, shingles binary, regs binary")
+        for b in batches:
+            b = b.filter(pa.array(passes(wanted, b.column(2).to_numpy())))
+            for x in slices([b], "t"):
+                values, first = shingle_sets(x.column(1))
+                six = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, 2:]
+                yield pa.RecordBatch.from_arrays([x.column(0), pa.array([six[i:j].tobytes() for i, j in zip(first, first[1:])], pa.binary())], names=["c", "shingles"])
+
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("c"), F.col(f"`{text}`").alias("t"))
+    return rows.filter("c IS NOT NULL").withColumn("h", filter_place("c")).mapInArrow(run, "c long, shingles binary")
+
+
+def _only(sets: DataFrame, wanted: np.ndarray) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(passes(wanted, b.column(2).to_numpy()))).select(["c", "shingles"])
+
+    return sets.withColumn("h", filter_place("c")).mapInArrow(run, "c long, shingles binary")
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,72 +195,104 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(both, pa.int64())], names=["a", "b", "common"])
 
 
-def verify(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, regs: DataFrame, sets: DataFrame) -> DataFrame:
     """The links among pairs(a, b) of class ids: by likelihood, then on the full sets."""
-    regs = classes.select("c", "n", "regs")
     x = regs.select(F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("regs").alias("r_a"))
     y = regs.select(F.col("c").alias("b"), F.col("n").alias("n_b"), F.col("regs").alias("r_b"))
-    near = pairs.join(x, "a").join(y, "b").filter("100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)")
+    near = pairs.join(x, "a").join(y, "b").filter(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
     near = stash(near.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_likely, "a long, b long, estimate double"), "likely").select("a", "b").distinct()
-    sets = classes.select("c", "shingles")
-    full = near.join(sets.select(F.col("c").alias("a"), F.col("shingles").alias("s_a")), "a").join(sets.select(F.col("c").alias("b"), F.col("shingles").alias("s_b")), "b")
+    some = _only(sets, id_filter(near.select(F.col("a").alias("c")).unionByName(near.select(F.col("b").alias("c"))), "c"))
+    full = near.join(some.select(F.col("c").alias("a"), F.col("shingles").alias("s_a")), "a").join(some.select(F.col("c").alias("b"), F.col("shingles").alias("s_b")), "b")
     return full.select("a", "b", "s_a", "s_b").mapInArrow(_linked, "a long, b long, common long").groupBy("a", "b").agg(F.max("common").alias("common"))
 
 
-def class_links(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links, component of each linked class) for classes(c, n, shingles, regs) of distinct non-empty sets.
+def class_links(classes: DataFrame, sets_of) -> tuple[DataFrame, DataFrame]:
+    """(links, component of each linked class) for classes(c, n, regs) of distinct non-empty sets; sets_of(id filter) gives
+    (c, shingles) of some of them.
 
     Links suffice to connect whatever is connected: a pair in one component already is not compared again.
     """
+    regs_of = classes.select("c", "n", "regs")
     bands = stash(classes.select("c", "regs").mapInArrow(_bands, "c long, key long"), "bands")
     # a class that is alone in all of its buckets is linked with nothing
     shared = bands.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
     live = stash(bands.join(shared, "key"), "live")
     drop_stash(bands)
-    links, comp, first = None, None, True
-    while True:
-        at = live.withColumn("g", F.col("c")) if comp is None else live.join(comp, live.c == comp.id, "left").select("key", "c", F.coalesce("component", "c").alias("g"))
-        groups = at.groupBy("key", "g").agg(F.count("*").alias("s"))
-        sizes = groups.groupBy("key").agg(F.sum("s").alias("s"), F.sum(F.col("s") * F.col("s")).alias("q"), F.count("*").alias("groups"), F.max(F.struct("s", "g")).alias("top"))
-        sizes = stash(sizes.filter("groups > 1").select("key", "s", "q", F.col("top.g").alias("largest")), "sizes")
-        left = sizes.select(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs"), F.sum("s").alias("members")).first()
-        if not left["members"]:
-            break
-        at = at.join(sizes.select("key", "largest"), "key")
-        if left["pairs"] <= PAIRS_EACH * left["members"]:
-            few = at.filter("g <> largest").select("key", F.col("c").alias("x"), F.col("g").alias("g_x"))
-            pairs = at.join(few, "key").filter("c <> x AND g <> g_x").select(F.least("c", "x").alias("a"), F.greatest("c", "x").alias("b")).distinct()
-            links = _more(links, verify(pairs, classes))
-            comp = stash(components(links.select("a", "b")), "comp")
-            break
-        # the pivot: the least class outside the largest component, the least of all in the first round
-        pivot = at.filter(F.lit(first) | (F.col("g") != F.col("largest"))).groupBy("key").agg(F.min(F.struct("c", "g")).alias("p"))
-        met = stash(at.join(pivot, "key").select("key", "c", "g", F.col("p.c").alias("p"), F.col("p.g").alias("g_p")), "met")
-        pairs = met.filter("c <> p AND g <> g_p").select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct()
-        links = _more(links, verify(pairs, classes))
-        comp = stash(components(links.select("a", "b")), "comp")
-        live, first = met.filter("c <> p").select("key", "c"), False  # a pivot has met its whole bucket and leaves it
-    if links is None:
-        links = classes.sparkSession.createDataFrame([], "a long, b long, common long")
-        comp = classes.sparkSession.createDataFrame([], "id long, component long")
-    return links, comp
-
-
-def _more(links: DataFrame | None, new: DataFrame) -> DataFrame:
-    new = stash(new.select("a", "b", "common"), "linked")
-    return new if links is None else links.unionByName(new)
+    sets = stash(sets_of(id_filter(live.select("c"), "c")), "sets")
+    least = live.groupBy("key").agg(F.min("c").alias("p"))
+    pairs = live.join(least, "key").filter("c <> p").select(F.col("p").alias("a"), F.col("c").alias("b")).distinct()
+    links = stash(verify(pairs, regs_of, sets), "linked")
+    comp = stash(components(links.select("a", "b")), "comp")
+    # what is left: pairs of different components, other than those with the pivot
+    at = live.join(least, "key").filter("c <> p").select("key", "c").join(comp, F.col("c") == F.col("id"), "left").select("key", "c", F.coalesce("component", "c").alias("g"))
+    groups = at.groupBy("key", "g").agg(F.count("*").alias("s"))
+    sizes = groups.groupBy("key").agg(F.sum("s").alias("s"), F.count("*").alias("groups"), F.max(F.struct("s", "g")).alias("top"))
+    at = stash(at.join(sizes.filter("groups > 1").select("key", "s", F.col("top.g").alias("largest")), "key").withColumn("out", F.col("g") != F.col("largest")), "left")
+    small, large = at.filter(F.col("s") <= SMALL), at.filter(F.col("s") > SMALL)
+    few = small.filter("out").select("key", F.col("c").alias("x"), F.col("g").alias("g_x"))
+    pairs = small.join(few, "key").filter("c <> x AND g <> g_x").select(F.least("c", "x").alias("a"), F.greatest("c", "x").alias("b")).distinct()
+    rest = verify(pairs, regs_of, sets)
+    whole = large.join(regs_of, "c").join(sets.dropDuplicates(["c"]), "c")
+    whole = whole.withColumn("block", F.pmod(F.xxhash64("c"), F.ceil(F.col("s") / BLOCK)))
+    blocks = stash(whole.groupBy("key", "block").agg(F.max("out").alias("any_out"), F.collect_list(F.struct("c", "g", "out", "n", "regs", "shingles")).alias("m")), "blocks")
+    one = blocks.filter("any_out").select("key", F.col("m").alias("m_a"))
+    met = one.join(blocks.select("key", F.col("m").alias("m_b")), "key")
+    rest = rest.unionByName(met.select("key", "m_a", "m_b").mapInArrow(_meet, "a long, b long, common long"))
+    links = stash(links.unionByName(rest).groupBy("a", "b").agg(F.max("common").alias("common")), "links")
+    return links, stash(components(links.select("a", "b")), "comp")
+
+
+def _side(rows: list[dict]) -> tuple:
+    c, g, out, n = (np.array([r[k] for r in rows]) for k in ("c", "g", "out", "n"))
+    regs = np.frombuffer(b"".join(r["regs"] for r in rows), np.uint16).reshape(-1, REGISTERS)
+    return c, g, out, n.astype(np.int64), regs, band_keys(regs), [r["shingles"] for r in rows]
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between the classes of two blocks of a bucket: classes outside the bucket's largest component against all of other
+    components. A pair is compared in the first bucket that it shares, and not once links found here have connected it."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            a, g_a, out_a, n_a, r_a, k_a, s_a = _side(row["m_a"])
+            b, g_b, out_b, n_b, r_b, k_b, s_b = _side(row["m_b"])
+            root: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while (y := root.get(x, x)) != x:
+                    root[x] = root.get(y, y)
+                    x = y
+                return x
+
+            made = []
+            for x in np.flatnonzero(out_a):
+                y = np.flatnonzero((g_b != g_a[x]) & (~out_b | (b > a[x])))
+                same = k_b[y] == k_a[x]
+                y = y[k_a[x][same.argmax(1)] == row["key"]] if len(y) else y
+                if not len(y):
+                    continue
+                ok, j = possible(np.broadcast_to(r_a[x], (len(y), REGISTERS)), r_b[y], np.full(len(y), n_a[x]), n_b[y])
+                y = y[ok][np.argsort(-j[ok], kind="stable")]
+                mine = None
+                for z in y.tolist():
+                    if find(int(g_a[x])) == find(int(g_b[z])):
+                        continue
+                    mine = _six(s_a[x]) if mine is None else mine
+                    common = len(np.intersect1d(mine, _six(s_b[z]), assume_unique=True))
+                    if 100 * common >= PERCENT * (n_a[x] + n_b[z] - common):
+                        root[find(int(g_a[x]))] = find(int(g_b[z]))
+                        made.append((min(a[x], b[z]), max(a[x], b[z]), common))
+            yield pa.RecordBatch.from_arrays([pa.array([int(m[k]) for m in made], pa.int64()) for k in range(3)], names=["a", "b", "common"])
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id (the least id it reaches) and kept (it is that id), for every row of df."""
     docs = stash(sketches(df, id_col, text), "sketches")
     members = docs.select("id", "n", "hi", "lo")
-    least = docs.filter("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("least"))
     # one row a set, numbered by the least id that has it
-    classes = stash(docs.filter("n > 0").join(least, ["hi", "lo"]).filter("id = least").dropDuplicates(["hi", "lo"]).select("hi", "lo", F.col("id").alias("least"), "n", "shingles", "regs", F.col("id").alias("c")), "classes")
-    links, comp = class_links(classes.select("c", "n", "shingles", "regs"))
-    named = classes.select("hi", "lo", "c", "least").join(comp, F.col("c") == F.col("id"), "left").select("hi", "lo", "least", F.coalesce("component", "c").alias("g"))
-    lowest = named.groupBy("g").agg(F.min("least").alias("component_id"))
-    named = stash(named.join(lowest, "g").select("hi", "lo", "component_id"), "named")
+    classes = docs.filter("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("c"), F.first("n").alias("n"), F.first("regs").alias("regs")).filter("c IS NOT NULL")
+    classes = stash(classes, "classes")
+    links, comp = class_links(classes.select("c", "n", "regs"), lambda wanted: full_sets(df, id_col, text, wanted))
+    named = stash(classes.select("hi", "lo", "c").join(comp, F.col("c") == F.col("id"), "left").select("hi", "lo", F.coalesce("component", "c").alias("component_id")), "named")
     out = members.join(named, ["hi", "lo"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
     return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
