@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import quality, setsketch
+from codeloom.llm import decontam, mixing, quality, repair, setsketch
+from codeloom.llm.common import stash
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +21,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(kept, docs.doc_id == kept._kept_id, "left_semi")
 
 
-STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document's token ids are in the compressed shards, as read back from them."""
+    return repair.token_ids(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix_sources", mix_sources), ("token_ids", token_ids)]
 
 #: Suffix arrays and token ids have no SQL; tests hold every stage against brute force.
 ORACLE_SQL = None
@@ -27,8 +44,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stage in order over documents; each result is written to the shared folder and read by the next."""
-    from codeloom.llm.common import stash
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir), name)
