@@ -136,8 +136,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def word_spans(buf: np.ndarray, offs: np.ndarray, lut: np.ndarray = SPACED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, first): words as byte spans of buf, and for each text the index of its first word, with the total last."""
+def word_spans(buf: np.ndarray, offs: np.ndarray, lut: np.ndarray = SPACED, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first): words as byte spans of buf, and for each text the index of its first word, with the total last.
+    At `breaks` a word ends and another begins."""
     if len(buf) == 0:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offs), np.int64)
@@ -146,6 +147,8 @@ def word_spans(buf: np.ndarray, offs: np.ndarray, lut: np.ndarray = SPACED) -> t
     before[0] = False
     before[1:] = m[:-1]
     heads = offs[:-1][offs[:-1] < len(buf)]
+    if breaks is not None:
+        heads = np.concatenate([heads, breaks])
     before[heads] = False
     starts = np.flatnonzero(m & ~before)
     after = np.empty_like(m)

@@ -29,22 +29,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, slices
+from .common import LOWER, new_path, slices, text_bytes, word_hashes, word_spans
 
 #: Ids of a shard; the rounds of replacement, the pairs that one round replaces at most, and how often a pair must occur.
-SHARD_IDS, ROUNDS, ROUND_RULES, OFTEN = 400_000, 6, 8192, 4
+SHARD_IDS, ROUNDS, ROUND_RULES, OFTEN = 400_000, 5, 8192, 4
 END, NULL_ID = 2, -(1 << 63)
-REMEMBERED = 300_000
+REMEMBERED = 3_000_000
+
+_STOP, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_STOP[list(b".,;:!?")] = True
+_LETTER[65:91] = _LETTER[97:123] = True
 
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Token ids of texts by one tokenizers file, with a memory of words."""
+    """Token ids of texts by one tokenizers file, with a memory of words.
+
+    Words end at ASCII white space, and at a full stop or the like after an ASCII letter, where the pre-tokenizer cuts too. The
+    normalizer lower-cases, so ASCII capitals are lower-cased first, unless the slice may hold a special string. Words are
+    known by 64 bits of hash.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -54,40 +62,52 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[bytes, int] = {}
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat, self.offs = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _learn(self, words: list[bytes]) -> None:
-        got = [e.ids for e in self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-        n = len(self.place)
-        self.place.update(zip(words, range(n, n + len(words))))
-        self.flat = np.concatenate([self.flat, np.array([i for x in got for i in x], np.uint32)])
-        self.offs = np.concatenate([self.offs, self.offs[-1] + np.cumsum([len(x) for x in got])])
-
-    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        """One call for all words; a token belongs to the word that its first character lies in."""
+        got = self.tok.encode(" ".join(words), add_special_tokens=False)
+        begins = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
+        owner = np.searchsorted(begins, np.fromiter((o[0] for o in got.offsets), np.int64), "right") - 1
+        n = np.bincount(owner, minlength=len(words))
+        at = np.searchsorted(self.keys, keys)
+        new = len(self.offs) - 1 + np.arange(len(words))
+        self.keys, self.slot = np.insert(self.keys, at, keys), np.insert(self.slot, at, new)
+        self.flat = np.concatenate([self.flat, np.array(got.ids, np.uint32)])
+        self.offs = np.concatenate([self.offs, self.offs[-1] + np.cumsum(n)])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with END, one after another; the end of each text)."""
-        cut = [(t or b"").split() for t in texts]
-        if len(self.place) > REMEMBERED:
+        buf, offs = text_bytes(texts)
+        if not ((buf[:-1] == ord("<")) & (buf[1:] == ord("|"))).any():
+            buf = LOWER[buf]
+        starts, ends, first = word_spans(buf, offs, breaks=np.flatnonzero(_STOP[buf[1:]] & _LETTER[buf[:-1]]) + 1)
+        keys, at, word = np.unique(word_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        if len(self.keys) > REMEMBERED:
             self._forget()
-        new = set()
-        for c in cut:
-            new.update(c)
-        new.difference_update(self.place.keys())
-        if new:
-            self._learn(sorted(new))
-        n = np.array([len(c) for c in cut], np.int64)
-        word = np.fromiter((self.place[w] for c in cut for w in c), np.int64, int(n.sum()))
-        size = self.offs[word + 1] - self.offs[word]
+        place = np.searchsorted(self.keys, keys)
+        new = np.flatnonzero(self.keys[np.minimum(place, len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
+        if len(new):
+            data = buf.tobytes()
+            self._learn(keys[new], [data[x:y].decode() for x, y in zip(starts[at[new]].tolist(), ends[at[new]].tolist())])
+            place = np.searchsorted(self.keys, keys)
+        slot = self.slot[place][word] if len(keys) else np.zeros(0, np.int64)
+        begin, size = self.offs[slot], self.offs[slot + 1] - self.offs[slot]
         total = np.concatenate([[0], np.cumsum(size)])
-        ends = total[np.cumsum(n)]  # ids up to each text's end, without the end ids
-        ids = self.flat[np.repeat(self.offs[word] - total[:-1], size) + np.arange(total[-1])]
-        return np.insert(ids, ends, END), ends + np.arange(1, len(cut) + 1)
+        stops = total[first[1:]]  # ids up to each text's end, without the end ids
+        ids = self.flat[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
+        return np.insert(ids, stops, END), stops + np.arange(1, len(stops) + 1)
 
 
 def encoder(path: str) -> Encoder:
     return _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
 
 
+def _spread(keys: np.ndarray) -> np.ndarray:
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(47)).astype(np.int64)
+
+
 def compress(ids: np.ndarray, vocab: int, rounds: int = ROUNDS, most: int = ROUND_RULES, often: int = OFTEN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, lengths, body): each round makes rules of the most frequent pairs and replaces them from left to right."""
     body, rules, size = ids.astype(np.uint64), [np.zeros((0, 2), np.uint32)], np.ones(vocab, np.int64)
@@ -100,18 +120,16 @@ def compress(ids: np.ndarray, vocab: int, rounds: int = ROUNDS, most: int = ROUN
         head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
         count = np.diff(np.append(head, len(s)))
         # the floor rises with the best, so that rare pairs wait for what the frequent ones become
-        floor = max(often, int(np.partition(count, -most)[-most]) if len(count) > most else 0)
-        good = np.flatnonzero(count >= floor)
-        if not len(good):
+        levels = np.cumsum(np.bincount(np.minimum(count, 4095))[::-1])[::-1]  # pairs that occur so often or more
+        floor = max(often, int(np.searchsorted(-levels, -most)))
+        pairs = s[head[count >= floor]]
+        if not len(pairs):
             break
-        pairs = s[head[good]]
-        sieve = np.zeros(1 << 18, bool)
-        spread = lambda k: ((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
-        sieve[spread(pairs)] = True
-        at = np.flatnonzero(inner & sieve[spread(keys)])
-        found = np.minimum(np.searchsorted(pairs, keys[at]), len(pairs) - 1)
-        ok = pairs[found] == keys[at]
-        at, found = at[ok], found[ok]
+        table = np.zeros(1 << 17, np.int64)
+        table[_spread(pairs)] = np.arange(len(pairs))  # of pairs that share a place one is replaced now
+        place = table[_spread(keys)]
+        at = np.flatnonzero((pairs[place] == keys) & inner)
+        found = place[at]
         # of places that follow one another every second is replaced
         head = np.ones(len(at), bool)
         head[1:] = at[1:] != at[:-1] + 1
@@ -177,7 +195,7 @@ def write(df: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text
         enc = encoder(tokenizer)
         kind = np.uint16 if enc.vocab <= 1 << 16 else np.uint32
         for b in slices(batches, "t"):
-            ids, ends = enc.encode(pc.cast(b.column(1), pa.binary()).to_pylist())
+            ids, ends = enc.encode(b.column(1))
             cuts = np.concatenate([[0], ends])
             ids = ids.astype(kind)
             doc = b.column(0).fill_null(NULL_ID).to_numpy()
