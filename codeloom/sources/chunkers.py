@@ -26,7 +26,7 @@ def sections(files: DataFrame, path: str = "path", content: str = "content", hea
         F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("all"), (F.min("pos") + 1).alias("start_line"), (F.max("pos") + 1).alias("end_line"),
     )
     body = F.array_join(F.transform(F.when(F.col("headed"), F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0)))).otherwise(F.col("all")), lambda x: x["line"]), "\n")
-    out = rows.select("path", "section", F.when(F.col("headed"), F.col("first")).otherwise(INTRODUCTION).alias("header"), F.regexp_replace(body, r"^\s+|\s+$", "").alias("body"), "start_line", "end_line")
+    out = rows.select("path", "section", F.when(F.col("headed"), F.col("first")).otherwise(INTRODUCTION).alias("header"), F.regexp_replace(body, r"\s+$" if blank else r"^\s+|\s+$", "").alias("body"), "start_line", "end_line")
     return out if blank else out.filter(F.col("body") != "")
 
 
