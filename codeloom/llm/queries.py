@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, mixing, quality, repair, setsketch, substr, tokencount, urlfilter
+from . import decontam, langid, linededup, mixing, oracles, quality, repair, setsketch, substr, tokencount, urlfilter
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """List entries active when each page was fetched."""
     captures = _pages(spark, sf_dir)
-    return urlfilter.active(captures, _list(captures)).select("page_id", "fetched", *urlfilter.RESULT)
+    return urlfilter.active(captures, _list(captures)).select("page_id", F.col("fetched").cast("string").alias("fetched"), *urlfilter.RESULT)
 
 
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,4 +85,4 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_line_dedup, op4_substring_dedup, op5_quality_rules, op6_minhash_near_dedup, op7_token_counts, op8_language_id, op9_url_filters, op10_token_ids)}
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES
