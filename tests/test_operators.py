@@ -250,3 +250,19 @@ def test_statistics(spark):
     m = spark.createDataFrame([("s", True, 10), ("s", False, 9), ("u", None, None)], "service_name string, is_endpoint boolean, cyclomatic_complexity int")
     assert rows(stats.service_stats(c, m)) == [("s", 2, 2, 1, 1), ("t", 1, 0, 0, 0), ("u", 0, 1, 0, 0)]
     assert [r[0] for r in spark.createDataFrame([("6/10",), ("10",), ("none",), (None,)], "a string").select(T.parsed_score(F.col("a"))).collect()] == [6.0, 10.0, 5.0, 5.0]
+
+
+def test_lookups(spark):
+    from codeloom.operators import lookup
+
+    m = spark.createDataFrame([("s.A.f()", "A", "s", True, 12), ("s.B.g()", "B", "s", False, 3), ("t.C.h()", "C", "t", True, 10)], "qualified_name string, class_name string, service_name string, is_endpoint boolean, cyclomatic_complexity int")
+    e = spark.createDataFrame([(1, "CALLS", "s.A.f()", "s.B.g()"), (2, "CALLS", "s.B.g()", "t.C.h()"), (3, "CALLS", "t.C.h()", "s.A.f()"), (4, "INHERITS", "X", "Y"), (5, "INHERITS", "Y", "Z"), (6, "DEPENDS_ON", "X", "Y")], "edge_id int, kind string, src string, dst string")
+    c = spark.createDataFrame([("X", "s", "CONTROLLER"), ("Y", "s", "REST_CONTROLLER"), ("Z", "t", None)], "qualified_name string, service_name string, spring_stereotype string")
+    assert rows(lookup.flagged(m, "s", "is_endpoint").select("qualified_name")) == [("s.A.f()",)]
+    assert [r.qualified_name for r in lookup.complex_methods(m, "s", 3).collect()] == ["s.A.f()", "s.B.g()"]
+    assert rows(lookup.callers(m, e, "B.g").select("qualified_name")) == [("s.A.f()",)]
+    assert [(r.depth, r.node) for r in lookup.call_chain(m, e, "A.f", "s").collect()] == [(1, "s.B.g()"), (3, "s.A.f()")]
+    assert rows(lookup.ancestors(e, "X")) == [("Y", 1), ("Z", 2)] and rows(lookup.transitive_dependencies(e, "X")) == [("Y", 1)]
+    assert rows(lookup.subclasses(c, e, "Y").select("qualified_name")) == [("X",)] and lookup.overriding(m, e, "f").count() == 0
+    assert lookup.controllers(c, "s").count() == lookup.beans(c, "s").count() == 2 and lookup.by_key(c, "qualified_name", "Z").count() == 1
+    assert rows(lookup.dependents(c, e, "Y", "s").select("qualified_name")) == [("X",)] and lookup.of_class(m, "C", "t").count() == 1
