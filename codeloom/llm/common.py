@@ -6,6 +6,7 @@ Hashes are 64-bit and depend on bytes only, so every executor and every rerun gi
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import hashlib
 import tempfile
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 #: Bytes of text that a kernel works on at once; a longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
 
+_libc = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
+
 WHITE = bytes([9, 10, 11, 12, 13, 32])
 
 _own_dirs: dict[str, str] = {}
@@ -61,12 +64,13 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df in the shared folder and read it again: lineage ends here and survives the loss of executors."""
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = new_path(spark, name)
     df.write.parquet(path)
+    del df
     gc.collect()
     spark._jvm.System.gc()  # shuffle files of finished steps are freed
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def drop_stash(df: DataFrame) -> None:
@@ -90,20 +94,28 @@ def columns_free_of(df: DataFrame, *names: str) -> list[str]:
 # ---------------------------------------------------------------- slices of texts
 
 
+def tidy() -> None:
+    """Give memory that a finished kernel has freed back to the system: workers live on and serve other operators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about `most` bytes of text, or one longer text. Nothing is dropped."""
     for b in batches:
-        if b.num_rows == 0:
-            continue
         n = pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
         if n.sum() <= most:
-            yield b
+            if b.num_rows:
+                yield b
             continue
         group = np.cumsum(n) // most
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), b.num_rows]
         for i, j in zip(cuts, cuts[1:]):
             if j > i:
                 yield b.slice(i, j - i)
+        tidy()
 
 
 def text_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -9,7 +9,8 @@ at most EDITS; shorter ones only if they are equal. Classes are the connected co
    so each distinct line enters the index once a segment, under a hash of (its length, the segment's number, the segment),
    and probes for every length that is at most EDITS less the substrings at places where, segment by segment, no more edits
    can have come before or after than are left.
-3. Hashes under which two lines meet are kept. The lines of a small bucket are joined in pairs; a large bucket is laid out in
+3. Only hashes under which two lines meet are kept; which ones is found by a first and last id for each, and a bitmap of fixed
+   size spares the other rows, which are kept as two numbers each, a second shuffle. The lines of a small bucket are joined in pairs; a large bucket is laid out in
    blocks of about BLOCK lines, and pairs are compared between blocks without becoming rows.
 4. Pairs are screened by the built-in distance with its threshold, and verified by a banded bit-parallel distance: a column of
    the matrix inside the band is two bit vectors that one character changes by and, or, add and shift. What both lines begin
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_place, stash
+from .common import drop_stash, filter_place, stash
 from .components import components
 
 EDITS, MIN_CHARS = 2, 30
@@ -94,26 +95,23 @@ def bounded_distance(a: Column, b: Column, most: int = EDITS) -> Column:
     return F.when(far, most + 1).otherwise(_let(_unlike(a, b), lambda p: _let(_unlike(F.reverse(p["x"]), F.reverse(p["y"])), lambda q: middles(q["x"], q["y"]))))
 
 
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """(first character from 1, length) of the i-th of `parts` segments, i from 0; the last ones are the longer."""
-    size, short = F.floor(length / parts), F.lit(parts) - length % parts
-    return (F.lit(1) + size * i + F.greatest(F.lit(i) - short, F.lit(0))).cast("int"), (size + F.when(F.lit(i) >= short, 1).otherwise(0)).cast("int")
+def _probes(edits: int) -> Column:
+    """struct(less, i, d) for every substring that a line stands for: as a line of `less` characters less than its own, segment i, at
+    the segment's place moved by d. With less = d = 0 it is the line's own segment."""
+    out = [(less, i, d) for less in range(edits + 1) for i in range(edits + 1) for d in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)]
+    return F.array(*[F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(d).alias("d")) for less, i, d in out])
 
 
-def keys_of(line: Column, length: Column, edits: int, shortest: int) -> Column:
-    """array of struct(key, own): the line's own segments, and the substrings that segments of lines no longer can be."""
-    parts, out = edits + 1, []
-    for less in range(edits + 1):
-        n = length - less
-        for i in range(parts):
-            at, size = _segment(n, i, parts)
-            low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
-            for d in range(low, high + 1):
-                own = less == 0 and d == 0
-                key = F.xxhash64(n, F.lit(i), line.substr(at + d, size))
-                fits = (n >= shortest) & (at + d >= 1) & (at + d + size - 1 <= length)
-                out.append(F.when(fits, F.struct(key.alias("key"), F.lit(own).alias("own"))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+def _keys(long: DataFrame, edits: int, shortest: int) -> DataFrame:
+    """(id, key, own) of lines(id, line, len): a hash of (length, segment's number, segment) for every probe."""
+    parts, n, i = edits + 1, F.col("n"), F.col("c.i")
+    rows = long.select("id", "line", "len", F.explode(_probes(edits)).alias("c")).withColumn("n", F.col("len") - F.col("c.less"))
+    rows = rows.withColumn("size", F.expr(f"cast(n div {parts} AS int)")).withColumn("short", F.lit(parts) - n % parts)
+    # the segments from the number `short` on are longer by one
+    rows = rows.withColumn("at", (F.lit(1) + F.col("size") * i + F.greatest(i - F.col("short"), F.lit(0)) + F.col("c.d")).cast("int"))
+    rows = rows.withColumn("size", F.col("size") + F.when(i >= F.col("short"), 1).otherwise(0))
+    rows = rows.filter((n >= shortest) & (F.col("at") >= 1) & (F.col("at") + F.col("size") - 1 <= F.col("len")))
+    return rows.select("id", F.xxhash64(n, i, F.col("line").substr(F.col("at"), F.col("size"))).alias("key"), ((F.col("c.less") == 0) & (F.col("c.d") == 0)).alias("own"))
 
 
 def _among(df: DataFrame, col: str, ids: DataFrame, id_col: str) -> DataFrame:
@@ -135,9 +133,12 @@ def distinct_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 def line_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(a, b, distance) of distinct lines(id, line, len) within `edits` of each other, once a pair."""
     long = lines.filter(F.col("len") >= min_chars)
-    rows = long.select("id", F.explode(keys_of(F.col("line"), F.col("len"), edits, min_chars)).alias("k")).select("id", "k.key", "k.own")
-    met = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("own").alias("own"), F.count("*").alias("s")).filter("own AND lo <> hi").select("key", "s")
-    live = stash(rows.join(stash(met, "met"), "key"), "probes")
+    rows = stash(_keys(long, edits, min_chars), "keys")
+    met = stash(rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("key"), "met")
+    again = _among(rows, "key", met, "key").join(met, "key").groupBy("key", "id").agg(F.max("own").alias("own"))
+    again = stash(again, "probes")
+    drop_stash(rows)
+    live = again.join(again.groupBy("key").agg(F.count("*").alias("s"), F.max("own").alias("any")).filter("any").drop("any"), "key")
     text = stash(_among(long.select("id", "line", "len"), "id", live.select("id"), "id"), "texts")
     small, large = live.filter(F.col("s") <= SMALL), live.filter(F.col("s") > SMALL)
 
