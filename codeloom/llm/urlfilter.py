@@ -10,7 +10,8 @@ are evaluated once and given back to every row that has them.
 
 Defined results: a url that is null or has no host has no key, so no entry is active. Hosts compare in lower case, without
 `www.`, port, user or final dots. Ties in time: a `remove` after an `add` at one time gives an empty interval. Rows that repeat
-stay separate. Entries with a null key, time or action are ignored.
+stay separate. Entries with a null key, time or action are ignored. Columns of captures with names of RESULT are replaced, others
+stay whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import columns_free_of
+
 PATH_DEPTH = 2
 
 RESULT = ("host", "n_active", "categories", "first_key", "blocked")
@@ -49,10 +52,12 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def active(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched") -> DataFrame:
     """captures with RESULT: the host, entries active at the time of fetching, their categories in order, the least of their keys."""
-    each = captures.select(F.col(f"`{url}`").alias("u"), F.col(f"`{fetched}`").alias("at")).distinct()
-    asked = each.select("u", "at", F.explode(keys_of("u")).alias("key"))
+    u, at, key = columns_free_of(captures, "u", "at", "key")
+    each = captures.select(F.col(f"`{url}`").alias(u), F.col(f"`{fetched}`").alias(at)).distinct()
+    asked = each.select(u, at, F.explode(keys_of(u)).alias(key))
     span = intervals(entries)
-    hits = asked.join(span, (asked.key == span.key) & (asked.at >= span.valid_from) & (span.valid_to.isNull() | (asked.at < span.valid_to)))
-    found = hits.groupBy("u", "at").agg(F.count("*").alias("n_active"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"), F.min(span.key).alias("first_key"))
-    out = captures.join(found, captures[url].eqNullSafe(found.u) & captures[fetched].eqNullSafe(found.at), "left").drop("u", "at")
+    hits = asked.join(span, (asked[key] == span.key) & (asked[at] >= span.valid_from) & (span.valid_to.isNull() | (asked[at] < span.valid_to)))
+    found = hits.groupBy(u, at).agg(F.count("*").alias("n_active"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"), F.min(span.key).alias("first_key"))
+    rows = captures.drop(*RESULT)
+    out = rows.join(found, rows[url].eqNullSafe(found[u]) & rows[fetched].eqNullSafe(found[at]), "left").drop(u, at)
     return out.withColumn("host", host_of(url)).withColumn("n_active", F.coalesce("n_active", F.lit(0)).cast("long")).withColumn("categories", F.coalesce("categories", F.lit(""))).withColumn("blocked", F.col("n_active") > 0)

@@ -288,6 +288,27 @@ def test_url_filters(spark):
     assert sorted(got, key=str) == sorted([(*a, *b) for a, b in zip(rows, want)], key=str)
 
 
+def test_url_filters_keep_columns_that_clash(spark):
+    entries = spark.createDataFrame([("h:a.org", "x", 1, "add")], "key string, category string, ts int, action string")
+    captures = spark.createDataFrame([("http://a.org", 2, "k", "u", 7, True)], "url string, fetched int, key string, u string, at int, blocked boolean")
+    got = urlfilter.active(captures, entries).first().asDict()
+    assert (got["key"], got["u"], got["at"], got["blocked"], got["host"]) == ("k", "u", 7, True, "a.org")
+    assert urlfilter.active(captures.limit(0), entries).count() == 0 and urlfilter.active(captures, entries.limit(0)).first().n_active == 0
+
+
+def test_mixed_keeps_columns_that_clash(spark):
+    df = spark.createDataFrame([(1, "s", "a b", 9, "x"), (2, None, "c", 8, "y")], "doc_id long, source string, text string, size int, copies string")
+    got = mixing.mixed(df)
+    assert got.columns == df.columns and set(rows_of(got.select("size", "copies"))) <= {(9, "x"), (8, "y")}
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
+    assert substr.remove_repeats(none).count() == 0 and linededup.dedup_lines(none).count() == 0
+    assert tokencount.count_tokens(none, P.path("piece_bpe_32k.model")).count() == 0
+    assert quality.with_facts(none).count() == 0 and mixing.mixed(none).count() == 0
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as cp
 
