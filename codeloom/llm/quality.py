@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, slices, text_bytes, word_hashes, word_spans
+from .common import map_arrow, slices, SPACED, text_bytes, word_hashes, word_spans
 
 #: Words from which a repeated substring counts as a repeat; the share of words in such repeats, and the words of the
 #: longest one, beyond which a text is rejected.
-MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 10, 0.4, 200
+MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 10, 0.2, 100
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -141,7 +141,7 @@ def with_facts(df: DataFrame, text: str = "text", prefix: str = "", **limits) ->
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(v) for v in got.values())], names=[*b.schema.names, *(prefix + k for k in got)])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", " + ", ".join(f"`{prefix}{x.split()[0]}` {x.split()[1]}" for x in FACTS.split(", "))
-    return df.mapInArrow(run, kinds)
+    return map_arrow(df, run, kinds)
 
 
 def quality_filter(df: DataFrame, text: str = "text", **limits) -> DataFrame:
