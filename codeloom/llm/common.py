@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel works on at once; a longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
+#: Rows and bytes of the batches in which rows come to Python.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 _libc = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 
@@ -62,10 +64,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df in the shared folder and read it again: lineage ends here and survives the loss of executors."""
+def stash(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """Write df in the shared folder and read it again: lineage ends here and survives the loss of executors. A narrow table (a few
+    numbers for a small part of the rows) goes to an eighth as many files as there are shuffle partitions."""
     spark, schema = df.sparkSession, df.schema
     path = new_path(spark, name)
+    if narrow:
+        df = df.coalesce(max(int(spark.conf.get("spark.sql.shuffle.partitions")) // 8, 1))
     df.write.parquet(path)
     del df
     gc.collect()
@@ -94,6 +99,16 @@ def columns_free_of(df: DataFrame, *names: str) -> list[str]:
 # ---------------------------------------------------------------- slices of texts
 
 
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow with batches of bounded size: unless the session asks for less, BATCH_ROWS rows and BATCH_BYTES bytes, which a
+    single longer row may exceed. The defaults of 10,000 rows and 64 MB take a multiple of that for every task on either side."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def tidy() -> None:
     """Give memory that a finished kernel has freed back to the system: workers live on and serve other operators."""
     gc.collect()

@@ -28,10 +28,10 @@ def components(links: DataFrame) -> DataFrame:
     many links is a skewed join key, which adaptive execution splits, and minima are combined before they are shuffled.
     The steps needed grow with the logarithm of the longest chain.
     """
-    e = stash(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "links")
+    e = stash(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "links", True)
     mark = None
     while True:
-        now = stash(_small_star(_large_star(e)), "links")
+        now = stash(_small_star(_large_star(e)), "links", True)
         drop_stash(e)
         e = now
         got = e.select(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()

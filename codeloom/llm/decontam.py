@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, slices, stash, text_bytes, word_hashes, word_spans
+from .common import ALNUM, LOWER, map_arrow, slices, stash, text_bytes, word_hashes, word_spans
 
 WINDOW = 13
 #: Test text that is sent to the executors at once.
@@ -90,7 +90,7 @@ def index(docs: DataFrame, tests: Tests, id_col: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in out], names=["ids", "bounds", "counts", "places"])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text}`").alias("t"))
-    return rows.mapInArrow(run, SEGMENT).withColumn("seg", F.monotonically_increasing_id())
+    return map_arrow(rows, run, SEGMENT).withColumn("seg", F.monotonically_increasing_id())
 
 
 def _find(tests: Tests, bounds: np.ndarray, counts: np.ndarray, places: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
@@ -223,16 +223,11 @@ def contamination(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", tex
                     )
 
         # segments of every block are cut alike, so a document has the same segment and place in each
-        segments = stash(index(docs, block, id_col, text), "segments")
-        parts.append(segments.mapInArrow(run, kind))
-    found = parts[0]
-    if len(parts) > 1:
-        for p in parts[1:]:
-            found = found.unionByName(p)
-        found = found.groupBy("seg", "pos", "id", "n_words").agg(F.expr("aggregate(collect_list(spans), cast('' AS binary), (a, x) -> concat(a, x))").alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+        parts.append((stash(index(docs, block, id_col, text), "segments"), run))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.select(["id", "n_words", "spans", "items"])
             n = b.column(1).to_numpy()
             hit = np.array([_covered(np.frombuffer(x, np.int64).reshape(-1, 2))[0] for x in b.column(2).to_pylist()], np.int64)
             items = [sorted(set(x)) for x in b.column(3).to_pylist()]
@@ -242,7 +237,17 @@ def contamination(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", tex
                 names=[id_col, *(x.split()[0] for x in RESULT.split(", "))],
             )
 
-    return found.select("id", "n_words", "spans", "items").mapInArrow(settle, f"`{id_col}` long, {RESULT}")
+    schema = f"`{id_col}` long, {RESULT}"
+    if len(parts) == 1:  # one worker a task does both
+        segments, search = parts[0]
+        return map_arrow(segments, lambda batches: settle(search(batches)), schema)
+    found = None
+    for segments, search in parts:
+        one = map_arrow(segments, search, kind)
+        found = one if found is None else found.unionByName(one)
+    joined = F.expr("aggregate(collect_list(spans), cast('' AS binary), (a, x) -> concat(a, x))")
+    found = found.groupBy("seg", "pos", "id", "n_words").agg(joined.alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    return map_arrow(found.select("id", "n_words", "spans", "items"), settle, schema)
 
 
 def clean(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", **names) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, slices, text_bytes
+from .common import LOWER, map_arrow, slices, text_bytes
 
 #: Rows and languages that are learned from at most, and trigram buckets.
 SAMPLE_ROWS, MOST_LANGUAGES, BUCKETS = 3000, 200, 4096
@@ -153,7 +153,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     each = max(rows // len(counts), 1)
     place = F.pmod(F.xxhash64("i", F.lit("sample")), F.lit(1 << 30))
     share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1 << 30, int((1 << 30) * each / r["count"]) + 1))) for r in counts])
-    got = known.filter(place < share).select("lang", "t").limit(2 * rows).mapInArrow(_feature_rows, "lang string, x binary").toArrow()
+    got = map_arrow(known.filter(place < share).select("lang", "t").limit(2 * rows), _feature_rows, "lang string, x binary").toArrow()
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, BUCKETS)
     y = np.array(got["lang"].to_pylist(), object)
     by = np.lexsort((x @ np.random.Generator(np.random.PCG64(3)).random(BUCKETS), y.astype(str)))  # the order of rows must not matter
@@ -195,4 +195,4 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x if k else "und" for x, k in zip(lang, ok)], pa.string()), pa.array(np.where(ok, score, 0.0))], names=[id_col, "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("i"), held_out(id_col).alias("h"), F.col(f"`{text}`").alias("t"))
-    return rows.mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, held_out boolean, lang_pred string, score double")
+    return map_arrow(rows, run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, held_out boolean, lang_pred string, score double")

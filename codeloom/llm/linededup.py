@@ -118,7 +118,7 @@ def _among(df: DataFrame, col: str, ids: DataFrame, id_col: str) -> DataFrame:
     """The rows whose id shares a bit with one of ids: a bitmap of FILTER_BITS bits is broadcast, 64 of them a row."""
     h = ids.select(filter_place(id_col).alias("h"))
     bits = h.select(F.floor(F.col("h") / 64).cast("int").alias("_w"), F.expr("shiftleft(1L, cast(h % 64 AS int))").alias("b")).groupBy("_w").agg(F.bit_or("b").alias("_b"))
-    bits = stash(bits, "bits")  # FILTER_BITS / 64 rows at most
+    bits = stash(bits, "bits", True)  # FILTER_BITS / 64 rows at most
     place = df.withColumn("_h", filter_place(col)).withColumn("_w", F.floor(F.col("_h") / 64).cast("int"))
     return place.join(F.broadcast(bits), "_w").filter(F.expr("bit_get(_b, cast(_h % 64 AS int)) = 1")).drop("_w", "_h", "_b")
 
@@ -165,7 +165,7 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", edit
     because it is equal to an earlier line or because an earlier line of its class is near."""
     places, lines = distinct_lines(docs, id_col, text)
     links = stash(line_links(lines, edits, min_chars), "links")
-    comp = stash(components(links.select("a", "b")), "comp")
+    comp = stash(components(links.select("a", "b")), "comp", True)
     degree = links.select("a", "b").select(F.explode(F.array("a", "b")).alias("d_id")).groupBy("d_id").agg(F.count("*").alias("links"))
     linked = lines.select("id", "n", "first").join(comp.withColumnRenamed("id", "c_id"), F.col("id") == F.col("c_id"), "left").join(degree, F.col("id") == F.col("d_id"), "left")
     head = linked.filter("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("head"))

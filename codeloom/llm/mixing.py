@@ -58,7 +58,7 @@ def ranked(sources: DataFrame) -> DataFrame:
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT, repeats: int = REPEATS) -> DataFrame:
     """sources(source, source_size) with target."""
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("k") % len(weights) + 1).cast("int"))
-    rows = stash(ranked(sources).withColumn("w", weight.cast("long")), "weights")
+    rows = stash(ranked(sources).withColumn("w", weight.cast("long")), "weights", True)
     # all in hundredths of words, so that sums are whole numbers
     cap = F.col("source_size") * F.lit(100 * repeats)
     total = (rows.agg(F.sum("source_size").alias("s")).first()["s"] or 0) * percent
@@ -89,7 +89,7 @@ def _threshold(docs: DataFrame, budgets: DataFrame) -> DataFrame:
         sums = level.filter(F.shiftright("h", shift + BITS) == F.col("prefix")).groupBy("s", "budget", "below", b.alias("b")).agg(F.sum("size").alias("m"), F.min("h").alias("lo"), F.max("h").alias("hi"))
         running = sums.withColumn("upto", F.col("below") + F.sum("m").over(Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)))
         over = F.when(F.col("upto") > F.col("budget"), F.struct("b", "m", "lo", "hi", "upto"))
-        found = stash(running.groupBy("s", "budget").agg(F.min(over).alias("x"), F.max("upto").alias("all")), "threshold")
+        found = stash(running.groupBy("s", "budget").agg(F.min(over).alias("x"), F.max("upto").alias("all")), "threshold", True)
         if fits is None:
             fits = found.filter("x IS NULL").select("s", F.col("all").alias("below"))
         state = found.filter("x IS NOT NULL").select("s", "budget", (F.col("x.upto") - F.col("x.m")).alias("below"), F.col("x.b").alias("prefix"), "x.m", "x.lo", "x.hi")
@@ -111,11 +111,11 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PER
     sums = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     rows = targets(sums, weights, percent, repeats).withColumn("s", F.xxhash64("source", F.col("source").isNull()))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    rows = stash(rows.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "plan")
+    rows = stash(rows.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "plan", True)
     left = docs.withColumn("s", F.xxhash64("source", F.col("source").isNull())).filter("size > 0").select("s", "h", "size")
     cuts, budget = None, rows.filter("source_size > 0").select("s", "budget")
     for step in range(FILLS + 1):
-        t = stash(_threshold(left, budget), "cuts")
+        t = stash(_threshold(left, budget), "cuts", True)
         t = t.select("s", *(F.col(c).alias(f"{c}{step}") for c in ("cut", "gap", "edge")))
         cuts = t if cuts is None else cuts.join(t, "s")
         if step < FILLS:  # documents longer than the gap of a step are not asked by the next
@@ -124,7 +124,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PER
     # the boundary document, of those that did not fit, that brings the source nearest to its target, if any does
     gap = F.col(f"gap{FILLS}")
     near = F.least(*[F.struct(F.abs(F.coalesce(F.col(f"edge{k}").cast("double"), F.lit(float("inf"))) - gap).alias("e"), F.lit(k).alias("k")) for k in range(FILLS + 1)])
-    return stash(rows.join(cuts, "s", "left").withColumn("extra", F.when(near.e < gap, near.k)).drop("s", "budget"), "mix")
+    return stash(rows.join(cuts, "s", "left").withColumn("extra", F.when(near.e < gap, near.k)).drop("s", "budget"), "mix", True)
 
 
 def _copies(p: str = "") -> Column:

@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, new_path, slices, text_bytes, word_hashes, word_spans
+from .common import LOWER, map_arrow, new_path, slices, text_bytes, word_hashes, word_spans
 
 #: Ids of a shard; the rounds of replacement, the pairs that one round replaces at most, and how often a pair must occur.
 SHARD_IDS, ROUNDS, ROUND_RULES, OFTEN = 400_000, 5, 8192, 4
 END, NULL_ID = 2, -(1 << 63)
-REMEMBERED = 3_000_000
+REMEMBERED = 800_000
 
 _STOP, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
 _STOP[list(b".,;:!?")] = True
@@ -202,8 +202,9 @@ def write(df: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text
             part = np.searchsorted(bounds, doc.astype(np.float64), "right").astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(doc), pa.array([ids[x:y].tobytes() for x, y in zip(cuts, cuts[1:])], pa.binary())], names=["part", "i", "ids"])
 
+    vocab = encoder(tokenizer).vocab
+
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = encoder(tokenizer).vocab
         kind = np.uint16 if vocab <= 1 << 16 else np.uint32
         part, seq, base, held, size = -1, 0, 0, [], 0
 
@@ -230,8 +231,8 @@ def write(df: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text
         if held:
             yield row()
 
-    dealt = rows.mapInArrow(tokens, "part int, i long, ids binary").repartition(parts, "part").sortWithinPartitions("part", "i", "ids")
-    dealt.mapInArrow(shards, SHARD).write.option("compression", "zstd").parquet(path)
+    dealt = map_arrow(rows, tokens, "part int, i long, ids binary").repartition(parts, "part").sortWithinPartitions("part", "i", "ids")
+    map_arrow(dealt, shards, SHARD).write.option("compression", "zstd").parquet(path)
 
 
 def _shard(row: dict) -> tuple[np.ndarray, ...]:
@@ -259,7 +260,7 @@ def read(spark: SparkSession, path: str, vocab: int, id_col: str = "doc_id", wit
                     out.append(pa.array([ids[x:y].tolist() for x, y in zip(begins, ends)], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(out, names=[id_col, "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
 
-    return files.mapInArrow(run, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return map_arrow(files, run, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 def document(row: dict, k: int, vocab: int) -> np.ndarray:

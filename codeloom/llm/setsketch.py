@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, drop_stash, filter_place, id_filter, mix, passes, slices, stash, text_bytes, window_hashes, word_hashes, word_spans
+from .common import drop_stash, filter_place, id_filter, LOWER, map_arrow, mix, passes, slices, stash, text_bytes, window_hashes, word_hashes, word_spans
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -133,7 +133,7 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sketches(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, n, hi, lo, regs) for every row: set size, the set's digest and its registers."""
-    return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t")).mapInArrow(_sketch_rows, "id long, n long, hi long, lo long, regs binary")
+    return map_arrow(df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t")), _sketch_rows, "id long, n long, hi long, lo long, regs binary")
 
 
 def full_sets(df: DataFrame, id_col: str, text: str, wanted: np.ndarray) -> DataFrame:
@@ -148,7 +148,7 @@ def full_sets(df: DataFrame, id_col: str, text: str, wanted: np.ndarray) -> Data
                 yield pa.RecordBatch.from_arrays([x.column(0), pa.array([six[i:j].tobytes() for i, j in zip(first, first[1:])], pa.binary())], names=["c", "shingles"])
 
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("c"), F.col(f"`{text}`").alias("t"))
-    return rows.filter("c IS NOT NULL").withColumn("h", filter_place("c")).mapInArrow(run, "c long, shingles binary")
+    return map_arrow(rows.filter("c IS NOT NULL").withColumn("h", filter_place("c")), run, "c long, shingles binary")
 
 
 def _only(sets: DataFrame, wanted: np.ndarray) -> DataFrame:
@@ -156,7 +156,7 @@ def _only(sets: DataFrame, wanted: np.ndarray) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(passes(wanted, b.column(2).to_numpy()))).select(["c", "shingles"])
 
-    return sets.withColumn("h", filter_place("c")).mapInArrow(run, "c long, shingles binary")
+    return map_arrow(sets.withColumn("h", filter_place("c")), run, "c long, shingles binary")
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +203,7 @@ def verify(pairs: DataFrame, regs: DataFrame, sets: DataFrame) -> DataFrame:
     near = stash(near.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_likely, "a long, b long, estimate double"), "likely").select("a", "b").distinct()
     some = _only(sets, id_filter(near.select(F.col("a").alias("c")).unionByName(near.select(F.col("b").alias("c"))), "c"))
     full = near.join(some.select(F.col("c").alias("a"), F.col("shingles").alias("s_a")), "a").join(some.select(F.col("c").alias("b"), F.col("shingles").alias("s_b")), "b")
-    return full.select("a", "b", "s_a", "s_b").mapInArrow(_linked, "a long, b long, common long").groupBy("a", "b").agg(F.max("common").alias("common"))
+    return map_arrow(full.select("a", "b", "s_a", "s_b"), _linked, "a long, b long, common long").groupBy("a", "b").agg(F.max("common").alias("common"))
 
 
 def class_links(classes: DataFrame, sets_of) -> tuple[DataFrame, DataFrame]:
@@ -221,8 +221,8 @@ def class_links(classes: DataFrame, sets_of) -> tuple[DataFrame, DataFrame]:
     sets = stash(sets_of(id_filter(live.select("c"), "c")), "sets")
     least = live.groupBy("key").agg(F.min("c").alias("p"))
     pairs = live.join(least, "key").filter("c <> p").select(F.col("p").alias("a"), F.col("c").alias("b")).distinct()
-    links = stash(verify(pairs, regs_of, sets), "linked")
-    comp = stash(components(links.select("a", "b")), "comp")
+    links = stash(verify(pairs, regs_of, sets), "linked", True)
+    comp = stash(components(links.select("a", "b")), "comp", True)
     # what is left: pairs of different components, other than those with the pivot
     at = live.join(least, "key").filter("c <> p").select("key", "c").join(comp, F.col("c") == F.col("id"), "left").select("key", "c", F.coalesce("component", "c").alias("g"))
     groups = at.groupBy("key", "g").agg(F.count("*").alias("s"))
@@ -238,8 +238,8 @@ def class_links(classes: DataFrame, sets_of) -> tuple[DataFrame, DataFrame]:
     one = blocks.filter("any_out").select("key", F.col("m").alias("m_a"))
     met = one.join(blocks.select("key", F.col("m").alias("m_b")), "key")
     rest = rest.unionByName(met.select("key", "m_a", "m_b").mapInArrow(_meet, "a long, b long, common long"))
-    links = stash(links.unionByName(rest).groupBy("a", "b").agg(F.max("common").alias("common")), "links")
-    return links, stash(components(links.select("a", "b")), "comp")
+    links = stash(links.unionByName(rest).groupBy("a", "b").agg(F.max("common").alias("common")), "links", True)
+    return links, stash(components(links.select("a", "b")), "comp", True)
 
 
 def _side(rows: list[dict]) -> tuple:

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, new_path, slices, stash, text_bytes, window_hashes, word_hashes, word_spans
+from .common import map_arrow, mix, new_path, slices, stash, text_bytes, window_hashes, word_hashes, word_spans
 
 WINDOW, GRAM = 35, 8
 #: Runs that gather before they are compacted into one.
@@ -111,7 +111,7 @@ class FingerprintIndex:
     def add_batch(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
         """Append a run for these texts; (doc, key, fps) for each document, old or new, that holds fingerprints of this batch
         which now occur twice or more."""
-        rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text}`").alias("t")).mapInArrow(_fingerprint_rows, "fp long, doc long, key long, times int")
+        rows = map_arrow(docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text}`").alias("t")), _fingerprint_rows, "fp long, doc long, key long, times int")
         old = self.read()
         new = self._write(rows)
         self.runs.append(new)
@@ -250,7 +250,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """id_col, n_words, n_removed and kept_sha256 for every row of docs, which become one batch of `index` (a new one if not given)."""
     index = index or FingerprintIndex(docs.sparkSession)
     found = index.add_batch(docs, id_col, text)
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text}`").alias("t")).mapInArrow(_tag_rows, "i long, key long, t string, n_words long")
+    rows = map_arrow(docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text}`").alias("t")), _tag_rows, "i long, key long, t string, n_words long")
     held = found.select("doc", F.col("key").alias("k"), "fps")
     rows = rows.join(held, (F.coalesce("i", F.lit(-1)) == held.doc) & (rows.key == held.k), "left")
     # the texts that hold repeated fingerprints are laid out in slices, the others are done

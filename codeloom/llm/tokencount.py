@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import map_arrow, slices
 
 LIMIT = 4096
 #: Bytes of text that one call of the library gets, and texts that a worker remembers.
@@ -75,4 +75,4 @@ def count_tokens(df: DataFrame, model: str, text: str = "text", id_col: str = "d
             yield pa.RecordBatch.from_arrays([b.column(0), pc.cast(pc.binary_length(t), pa.int64()), pa.array(n), pa.array(n > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
     kind = dict(df.dtypes)[id_col]
-    return df.selectExpr(f"`{id_col}` AS i", f"`{text}` AS t").mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return map_arrow(df.selectExpr(f"`{id_col}` AS i", f"`{text}` AS t"), run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -16,9 +16,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least doc_id."""
+    """One document of each group of near duplicates: the one with the least doc_id, once if its row is repeated. Documents without
+    an id cannot be named as a group's and stay."""
     kept = setsketch.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs.doc_id == kept._kept_id, "left_semi")
+    named = docs.filter("doc_id IS NOT NULL")
+    return named.join(kept, named.doc_id == kept._kept_id, "left_semi").dropDuplicates(["doc_id", "text"]).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
