@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns_free_of
+from .common import columns_free_of, stash
 
 PATH_DEPTH = 2
 
@@ -55,7 +55,7 @@ def active(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: s
     u, at, key = columns_free_of(captures, "u", "at", "key")
     each = captures.select(F.col(f"`{url}`").alias(u), F.col(f"`{fetched}`").alias(at)).distinct()
     asked = each.select(u, at, F.explode(keys_of(u)).alias(key))
-    span = intervals(entries)
+    span = stash(intervals(entries), "intervals")  # the join alone stands above its shuffles, so a hot key can be split
     hits = asked.join(span, (asked[key] == span.key) & (asked[at] >= span.valid_from) & (span.valid_to.isNull() | (asked[at] < span.valid_to)))
     found = hits.groupBy(u, at).agg(F.count("*").alias("n_active"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"), F.min(span.key).alias("first_key"))
     rows = captures.drop(*RESULT)
