@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.functions import text as T
 from codeloom.functions.vectors import similarity
 
 # fixed values: words of the query, and what a chunk gains if it has the property
@@ -25,7 +26,7 @@ QUESTION_STARTS = ["why", "what is", "what does"]
 QUESTION_GAINS = [("chunk_type", "DOCUMENTATION", 0.10), ("is_doc_chunk", "true", 0.08)]
 TEST_WORDS, TEST_LOSS = ["test", "spec", "mock", "verify", "assert"], -0.12
 ELEMENT_GAIN, CLASS_GAIN = 0.30, 0.15
-CASCADE = 12
+CASCADE, PREVIEW_CHARS = 12, 400
 
 
 def metadata_score(df: DataFrame, query: Column, distance: str = "distance") -> Column:
@@ -90,6 +91,11 @@ def cross_encode(df: DataFrame, judge: Callable[[DataFrame], DataFrame], k: int,
     return scored.orderBy(F.col("score").desc(), F.col(rank)).limit(k)
 
 
+def score_prompt(query: Column, content: Column, kind: Column, path: Column) -> Column:
+    """What a judge is asked about one chunk: its text is cut at PREVIEW_CHARS, its file named without folders."""
+    return F.concat(F.lit("Rate from 0 to 10 how well this code answers the question.\nQuestion: "), query, F.lit("\nFile: "), T.basename(path), F.lit("\nType: "), F.coalesce(kind, F.lit("")), F.lit("\n\n"), T.preview(content, PREVIEW_CHARS), F.lit("\n\nScore:"))
+
+
 def full_rerank(df: DataFrame, query: Column, judge: Callable[[DataFrame], DataFrame], k: int, rank: str = "rank") -> DataFrame:
     """Metadata rules alone for k rows or fewer, else the best CASCADE of them go to the judge."""
     n = df.limit(CASCADE + 1).count()

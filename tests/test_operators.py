@@ -266,3 +266,20 @@ def test_lookups(spark):
     assert rows(lookup.subclasses(c, e, "Y").select("qualified_name")) == [("X",)] and lookup.overriding(m, e, "f").count() == 0
     assert lookup.controllers(c, "s").count() == lookup.beans(c, "s").count() == 2 and lookup.by_key(c, "qualified_name", "Z").count() == 1
     assert rows(lookup.dependents(c, e, "Y", "s").select("qualified_name")) == [("X",)] and lookup.of_class(m, "C", "t").count() == 1
+
+
+def test_flow_questions(spark):
+    from codeloom.operators import flow
+
+    source = "class A { int f(int x) { if (x > 0) { while (x > 1) { x--; } send(x); } else { throw new E(x); } return x; } }"
+    f = java.facts(spark.createDataFrame([("/A.java", source)], "path string, content string"), "s").cache()
+    raw = java.table(f, "cfg_edge").unionByName(java.table(f, "cfg_edge").limit(1).withColumn("dst", F.lit(99)))
+    nodes, edges = flow.flow_tables(java.table(f, "cfg_node"), raw)
+    assert edges.count() == java.table(f, "cfg_edge").count() and nodes.select("node_id").distinct().count() == nodes.count()
+    assert rows(flow.conditions_before(nodes, edges, F.col("called_method") == "send").select("condition_text")) == [("!(x > 1)",), ("x > 0",)]
+    assert rows(flow.escaping(nodes, edges)) == [("A.f(int)", "new E(x)")]
+    assert rows(flow.longest_path(nodes, edges)) == [("A.f(int)", 7)]
+    d, u = java.table(f, "def"), java.table(f, "use")
+    assert flow.tainted(d, u, F.col("use_type") == "METHOD_ARG").count() == 1 and flow.origins(d, u).count() > 0
+    p = spark.createDataFrame([("q", "x" * 500, None, "/a/b.java")], "q string, c string, k string, p string").select(rerank.score_prompt(F.col("q"), F.col("c"), F.col("k"), F.col("p"))).first()[0]
+    assert "File: b.java" in p and "x" * 400 + "..." in p
