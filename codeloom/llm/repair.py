@@ -37,7 +37,7 @@ from .common import LOWER, map_arrow, new_path, slices, text_bytes, word_hashes,
 #: Ids of a shard; the rounds of replacement, the pairs that one round replaces at most, and how often a pair must occur.
 SHARD_IDS, ROUNDS, ROUND_RULES, OFTEN = 400_000, 5, 8192, 4
 END, NULL_ID = 2, -(1 << 63)
-REMEMBERED = 800_000
+REMEMBERED = 2_000_000
 
 _STOP, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
 _STOP[list(b".,;:!?")] = True
