@@ -8,9 +8,11 @@ A window is WINDOW consecutive words of one text; every word covered by a window
 2. Merge join. The runs of history and of the new batch are joined on fp: fingerprints that occur twice or more, whether in
    a run or across runs, go back to the documents that hold them, old and new. When LEVEL runs have gathered they are
    compacted into one sorted run.
+   An index keeps the texts of its batches beside the runs, and one opened on an existing path goes on with what lies there.
 3. Verification. In documents with such fingerprints, the windows above them get 96-bit digests of all WINDOW words. Slices
    of texts send their distinct digests, sorted, in one block for each range of digests; each range is merged, and the
-   digests that occur twice or more go back to their slices, where the covered words are removed.
+   digests that occur twice or more go back to their slices, where the covered words are removed. With history, old
+   documents that share a fingerprint with the new batch are verified again and returned with their new values.
 
 A window whose fingerprint is unique is unique, so no window is missed; each window removed agrees with another in 96 bits
 over all of its words. A hot passage or group of copies is one row of a slice's block, or one fingerprint of a document,
@@ -93,29 +95,55 @@ def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(fps).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(times).astype(np.int32))], names=["fp", "doc", "key", "times"])
 
 
-class FingerprintIndex:
-    """Sorted immutable runs (fp, doc, key, times) in a folder that all executors share."""
+RUN, TEXTS = "fp long, doc long, key long, times int", "i long, key long, t string, n_words long"
 
-    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
-        self.spark, self.path, self.runs, self.made = spark, path or new_path(spark, "runs"), [], 0
 
-    def _write(self, run: DataFrame) -> str:
-        path = f"{self.path}/run-{self.made:05d}"
-        self.made += 1
-        run.sortWithinPartitions("fp").write.parquet(path)
+class FingerprintIndex:
+    """Sorted immutable runs (fp, doc, key, times) and the texts of their batches (i, key, t, n_words) in a folder that all executors
+    share. What a path already holds is history. Without `keep` no texts are kept: for an index that takes one batch only."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, keep: bool = True) -> None:
+        self.spark, self.path, self.keep = spark, path or new_path(spark, "runs"), keep
+        # run-A-B holds batches A to B; runs within a compacted one are behind it
+        spans = [tuple(map(int, n.split("-")[1:])) for n in self._stored() if n.startswith("run-")] if path else []
+        live = [(a, z) for a, z in spans if not any((b, y) != (a, z) and b <= a and z <= y for b, y in spans)]
+        self.runs = [self._run(a, z) for a, z in sorted(live)]
+        self.made = max((z + 1 for _, z in live), default=0)
+
+    def _stored(self) -> list[str]:
+        """The finished tables in the folder."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        at = path(self.path)
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+        return [n for n in names if fs.exists(path(f"{self.path}/{n}/_SUCCESS"))]
+
+    def _run(self, a: int, z: int) -> str:
+        return f"{self.path}/run-{a:05d}-{z:05d}"
+
+    def _write(self, run: DataFrame, path: str) -> str:
+        run.sortWithinPartitions("fp").write.mode("overwrite").parquet(path)
         return path
 
     def read(self) -> DataFrame | None:
-        return self.spark.read.parquet(*self.runs) if self.runs else None
+        return self.spark.read.schema(RUN).parquet(*self.runs) if self.runs else None
+
+    def texts(self, batches: int) -> DataFrame:
+        """The texts of the first batches that are long enough for a window."""
+        return self.spark.read.schema(TEXTS).parquet(*(f"{self.path}/texts-{k:05d}" for k in range(batches)))
 
     def add_batch(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
         """Append a run for these texts; (doc, key, fps) for each document, old or new, that holds fingerprints of this batch
         which now occur twice or more."""
-        rows = map_arrow(docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text}`").alias("t")), _fingerprint_rows, "fp long, doc long, key long, times int")
+        given = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text}`").alias("t"))
+        if self.keep:  # before the run: a batch counts once its run is whole
+            map_arrow(given, _tag_rows, TEXTS).filter(F.col("n_words") >= WINDOW).write.mode("overwrite").parquet(f"{self.path}/texts-{self.made:05d}")
+        rows = map_arrow(given, _fingerprint_rows, RUN)
         old = self.read()
-        new = self._write(rows)
+        new = self._write(rows, self._run(self.made, self.made))
+        self.made += 1
         self.runs.append(new)
-        batch = self.spark.read.parquet(new)
+        batch = self.spark.read.schema(RUN).parquet(new)
         if old is None:
             again = batch.groupBy("fp").agg(F.sum("times").alias("n")).filter("n > 1").select("fp")
             found = batch.join(again, "fp")
@@ -134,7 +162,17 @@ class FingerprintIndex:
         if len(self.runs) > 1:
             all_runs = self.read()
             merged = all_runs.repartition(max(len(all_runs.inputFiles()) // len(self.runs), 1), "fp")
-            self.runs = [self._write(merged)]
+            self.runs = [self._write(merged, self._run(0, self.made - 1))]
+
+    def shared(self, found: DataFrame) -> DataFrame:
+        """(doc, key, fps, shown) for the documents of `found`, with every fingerprint that occurs twice or more in history, and
+        (not shown) for all others that hold one of those: old repeats between old documents count in their new values too."""
+        rows = self.read()
+        shown = found.select("doc", "key")
+        theirs = rows.join(shown, ["doc", "key"], "left_semi").select("fp").distinct()
+        again = rows.join(theirs, "fp", "left_semi").groupBy("fp").agg(F.sum("times").alias("n")).filter("n > 1").select("fp")
+        held = rows.join(again, "fp").groupBy("doc", "key").agg(F.array_distinct(F.collect_list("fp")).alias("fps"))
+        return stash(held.join(shown.withColumn("shown", F.lit(True)), ["doc", "key"], "left").withColumn("shown", F.coalesce("shown", F.lit(False))), "shared")
 
 
 def _sha(parts: list[bytes]) -> str:
@@ -222,8 +260,9 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _remove(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+    docs = docs[docs["shown"].astype(bool)]
     if not len(docs):
-        return pd.DataFrame({"i": [], "n_words": [], "n_removed": [], "kept_sha256": []}).astype({"i": "int64", "n_words": "int64", "n_removed": "int64"})
+        return pd.DataFrame({"i": [], "n_words": [], "n_removed": [], "kept_sha256": []}, dtype=object).astype({"i": "int64", "n_words": "int64", "n_removed": "int64"})
     rec = np.concatenate([np.frombuffer(x, [("a", "<u8"), ("b", "<u4")]) for x in found["block"]] or [np.zeros(0, [("a", "<u8"), ("b", "<u4")])])
     rec = rec[np.lexsort((rec["b"], rec["a"]))]
     out = []
@@ -247,19 +286,27 @@ def _remove(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", index: FingerprintIndex | None = None) -> DataFrame:
-    """id_col, n_words, n_removed and kept_sha256 for every row of docs, which become one batch of `index` (a new one if not given)."""
-    index = index or FingerprintIndex(docs.sparkSession)
+    """id_col, n_words, n_removed and kept_sha256 for every row of docs, which become one batch of `index` (a new one if not given),
+    and anew for every row of its earlier batches that shares a fingerprint with this one: the last row of a document holds."""
+    index = index or FingerprintIndex(docs.sparkSession, keep=False)
+    if not index.keep and index.made:
+        raise ValueError("an index without texts takes one batch")
+    before = index.made
     found = index.add_batch(docs, id_col, text)
-    rows = map_arrow(docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text}`").alias("t")), _tag_rows, "i long, key long, t string, n_words long")
-    held = found.select("doc", F.col("key").alias("k"), "fps")
-    rows = rows.join(held, (F.coalesce("i", F.lit(-1)) == held.doc) & (rows.key == held.k), "left")
+    rows = map_arrow(docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text}`").alias("t")), _tag_rows, TEXTS)
+    held = (index.shared(found) if before else found.withColumn("shown", F.lit(True))).select("doc", F.col("key").alias("k"), "fps", "shown")
+    same = lambda r: (F.coalesce(r.i, F.lit(-1)) == held.doc) & (r.key == held.k)
+    old = index.texts(before) if before else None
+    rows = rows.join(held, same(rows), "left")
+    if old is not None:
+        rows = rows.unionByName(old.join(held, same(old)))
     # the texts that hold repeated fingerprints are laid out in slices, the others are done
-    base = stash(rows.select("i", "key", "n_words", F.when(F.col("fps").isNotNull(), F.col("t")).alias("t"), "fps", F.when(F.col("fps").isNull(), F.col("t")).alias("done")).mapInArrow(_settle, "i long, key long, n_words long, t string, fps array<long>, kept_sha256 string, place long"), "rows")
+    base = stash(rows.select("i", "key", "n_words", F.when(F.col("fps").isNotNull(), F.col("t")).alias("t"), "fps", F.when(F.col("fps").isNull(), F.col("t")).alias("done"), "shown").mapInArrow(_settle, "i long, key long, n_words long, t string, fps array<long>, kept_sha256 string, place long, shown boolean"), "rows")
     done = base.filter("fps IS NULL").select("i", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
     live = base.filter("fps IS NOT NULL")
     words = live.select(F.coalesce(F.sum("n_words"), F.lit(0)).alias("w")).first()["w"]
     ranges, groups = max(RANGES, words // RANGE_DIGESTS), max(RANGES, words // 300_000)
-    live = live.select("i", "t", "fps", F.pmod("place", F.lit(groups)).alias("src"))
+    live = live.select("i", "t", "fps", "shown", F.pmod("place", F.lit(groups)).alias("src"))
     blocks = live.groupBy("src").applyInPandas(_blocks(ranges), "src long, r long, block binary, twice binary")
     hits = blocks.groupBy("r").applyInPandas(_merge, "src long, block binary")
     gone = live.groupBy("src").cogroup(hits.groupBy("src")).applyInPandas(_remove, "i long, n_words long, n_removed long, kept_sha256 string")
@@ -275,4 +322,4 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = pc.fill_null(b.column(1), 0).to_numpy(zero_copy_only=False).view(np.uint64)
         place = mix(key ^ (np.arange(seen, seen + b.num_rows, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(1)
         seen += b.num_rows
-        yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sha, pa.string()), pa.array(place.view(np.int64))], names=["i", "key", "n_words", "t", "fps", "kept_sha256", "place"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sha, pa.string()), pa.array(place.view(np.int64)), b.column(6)], names=["i", "key", "n_words", "t", "fps", "kept_sha256", "place", "shown"])

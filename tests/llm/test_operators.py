@@ -66,6 +66,27 @@ def test_index_takes_batches_and_compacts(spark):
     assert index.read().select("doc").distinct().count() == 6
 
 
+def test_substring_dedup_across_batches(spark, tmp_path):
+    rng = random.Random(11)
+    parts = [[f"p{k}x{i}" for i in range(45)] for k in range(6)]
+    fresh = lambda: [f"f{rng.randint(0, 10**9)}" for _ in range(rng.randint(0, 50))]
+    batches = [[(10 * b + k, " ".join([*fresh(), *rng.choice(parts), *fresh(), *rng.choice([[], parts[b]])])) for k in range(3)] for b in range(6)]
+    batches[2] += [batches[0][0], (None, " ".join(parts[0])), (90, None), (91, "short")]
+    want_of = lambda docs, count: {(i, t): (i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()) for i, t in docs for w in [words(t)] for gone in [{j for k in range(len(w) - 34) if count[tuple(w[k : k + 35])] > 1 for j in range(k, k + 35)}]}
+    docs, last = [], {}
+    for b, batch in enumerate(batches):
+        if b in (0, 2, 5):  # opened anew on the path, before and after a compaction
+            index = substr.FingerprintIndex(spark, f"file://{tmp_path}/index")
+        before = {r[0] for r in last.values()}
+        docs += batch
+        got = rows_of(substr.remove_repeats(spark.createDataFrame(batch, TEXT).repartition(2), index=index))
+        assert {r[0] for r in got} >= {i for i, _ in batch} and {r[0] for r in got} - {i for i, _ in batch} <= before
+        last |= {r[0]: r for r in got}
+        count = Counter(tuple(w[k : k + 35]) for _, t in docs for w in [words(t)] for k in range(len(w) - 34))
+        assert last == {i: r for (i, _), r in want_of(docs, count).items()}
+    assert sum(r[2] for r in last.values()) > 0
+
+
 def test_near_duplicates(spark, docs):
     sets = []
     for i, t in docs:
