@@ -20,8 +20,9 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _list(captures: DataFrame) -> DataFrame:
-    """Dated list entries for about a third of the keys of all captures, their days and categories from a hash of the key."""
-    keys = captures.select(F.explode(urlfilter.keys_of("url")).alias("key")).distinct()
+    """Dated list entries for about a third of the keys of all captures (paths of two folders at most, as in the SQL), their days and
+    categories from a hash of the key."""
+    keys = captures.select(F.explode(urlfilter.keys_of("url", 2)).alias("key")).distinct()
     number = lambda at: F.conv(F.substring(F.md5(F.col("key").cast("binary")), at, 4), 16, 10).cast("int")
     e = keys.select("key", number(1).alias("x"), number(5).alias("y")).filter("x % 3 = 0")
     e = e.withColumn("day", F.expr("x % 300")).withColumn("category", F.expr("element_at(array('ads', 'malware', 'spam'), 1 + y % 3)"))

@@ -3,7 +3,7 @@
 A list is a table of dated entries (key, category, ts, action): from an `add` on an entry is active, until a `remove` or
 another `add` of the same key and category, which makes it a validity interval [valid_from, valid_to). Keys name a host with
 all below it (`h:example.org`) or a path with all below it (`p:example.org/a/b`, whole segments). A capture (url, fetched) has
-one key for every parent domain of its host with two labels or more, and for the first PATH_DEPTH folders of its path. The
+one key for every parent domain of its host with two labels or more, and for every folder of its path. The
 as-of join takes the intervals of those keys that hold at the time of fetching: an equi-join on the key with the interval as
 a further condition, so a hot host is a skewed key of the captures, which adaptive execution splits, and equal (url, fetched)
 are evaluated once and given back to every row that has them.
@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 
 from .common import columns_free_of, stash
 
-PATH_DEPTH = 2
-
 RESULT = ("host", "n_active", "categories", "first_key", "blocked")
 
 
@@ -32,14 +30,15 @@ def host_of(url: str) -> Column:
     return F.nullif(h, F.lit(""))
 
 
-def keys_of(url: str, depth: int = PATH_DEPTH) -> Column:
-    """The keys under which a list may hold a url; an empty array without a host."""
+def keys_of(url: str, depth: int | None = None) -> Column:
+    """The keys under which a list may hold a url, of the first `depth` folders if given; an empty array without a host."""
     host = host_of(url)
     labels = F.split(host, r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.concat(F.lit("h:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
     path = F.regexp_extract(F.col(url), r"^[^:]+://[^/?#]*(/[^?#]*)", 1)
     steps = F.filter(F.split(path, "/"), lambda x: x != "")
-    folders = F.transform(F.sequence(F.lit(1), F.lit(depth)), lambda i: F.when(i <= F.size(steps), F.concat(F.lit("p:"), host, F.lit("/"), F.array_join(F.slice(steps, F.lit(1), i), "/"))))
+    last = F.greatest(F.size(steps), F.lit(1)) if depth is None else F.lit(depth)
+    folders = F.transform(F.sequence(F.lit(1), last), lambda i: F.when(i <= F.size(steps), F.concat(F.lit("p:"), host, F.lit("/"), F.array_join(F.slice(steps, F.lit(1), i), "/"))))
     return F.when(host.isNull(), F.array().cast("array<string>")).otherwise(F.concat(domains, F.filter(folders, lambda x: x.isNotNull())))
 
 

@@ -309,6 +309,14 @@ def test_url_filters(spark):
     assert sorted(got, key=str) == sorted([(*a, *b) for a, b in zip(rows, want)], key=str)
 
 
+def test_url_filters_of_deep_paths(spark):
+    deep = "p:a.org/" + "/".join(map(str, range(12)))
+    entries = spark.createDataFrame([("p:a.org/0/1/2", "x", 1, "add"), ("p:a.org/0/1/2/3", "y", 1, "add"), (deep, "z", 1, "add")], "key string, category string, ts int, action string")
+    rows = [("http://a.org/0/1", 2, 0), ("http://a.org/0/1/2", 2, 1), ("http://a.org/0/1/2/3/9", 2, 2), ("http://a.org/0/1/23", 2, 0), (f"http://{deep[2:]}//12?q", 2, 3), ("http://a.org", 2, 0)]
+    got = urlfilter.active(spark.createDataFrame(rows, "url string, fetched int, want int"), entries).collect()
+    assert len(got) == len(rows) and all(r.n_active == r.want and r.blocked == (r.want > 0) for r in got)
+
+
 def test_url_filters_keep_columns_that_clash(spark):
     entries = spark.createDataFrame([("h:a.org", "x", 1, "add")], "key string, category string, ts int, action string")
     captures = spark.createDataFrame([("http://a.org", 2, "k", "u", 7, True)], "url string, fetched int, key string, u string, at int, blocked boolean")
