@@ -247,7 +247,7 @@ def flag_filter(spark, t):
 
 @query("SELECT p_partkey, p_size FROM part WHERE p_size >= 40 ORDER BY p_size DESC, p_partkey LIMIT 500")
 def high_complexity(spark, t):
-    return t("part").filter("p_size >= 40").select("p_partkey", "p_size").orderBy(F.col("p_size").desc(), "p_partkey").limit(500)
+    return t("part").filter("p_size >= 40").select("p_partkey", "p_size").orderBy(F.col("p_size").desc(), "p_partkey")
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")

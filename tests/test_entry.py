@@ -39,3 +39,10 @@ def test_query_equals_its_sql(spark, name):
     a = sorted(tuple(cell(r[c]) for c in columns) for r in got.collect())
     b = sorted(tuple(cell(v) for v in r) for r in want.select(*[duckdb.ColumnExpression(c) for c in columns]).fetchall())
     assert a == b
+
+
+def test_high_complexity_returns_all(spark, tmp_path):
+    rows = [(k, 30 + k % 20) for k in range(1400)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = [tuple(r) for r in entry.queries()["high_complexity"](spark, str(tmp_path)).collect()]
+    assert got == sorted((r for r in rows if r[1] >= 40), key=lambda r: (-r[1], r[0])) and len(got) == 700
