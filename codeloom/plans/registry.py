@@ -304,7 +304,7 @@ def external_refs_anti(spark, t):
 @query("""SELECT user_id, event_type, array_to_string(list(event_id ORDER BY ts, event_id) FILTER (value < 10), ',') AS defs, array_to_string(list(event_id ORDER BY ts, event_id) FILTER (value >= 10), ',') AS uses
 FROM events WHERE user_id < 20 GROUP BY 1, 2""")
 def def_use_summary(spark, t):
-    e = t("events").filter("user_id < 20")
+    e = t("events")
     ids = lambda cond: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("ts", "event_id")))), lambda x: x["event_id"].cast("string")), ",")
     got = e.groupBy("user_id", "event_type").agg(ids(F.col("value") < 10).alias("defs"), ids(F.col("value") >= 10).alias("uses"))
     return got.select("user_id", "event_type", F.nullif("defs", F.lit("")).alias("defs"), F.nullif("uses", F.lit("")).alias("uses"))
