@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
+import yaml
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,10 +78,33 @@ def is_api(content: Column, first: int | None = None) -> Column:
 OPERATION = "summary string, description string, operationId string"
 
 
+class _Loader(yaml.SafeLoader):
+    """YAML whose plain values are strings, null but for `null`."""
+
+    yaml_implicit_resolvers = {k: [x for x in v if x[0].endswith((":null", ":merge"))] for k, v in yaml.SafeLoader.yaml_implicit_resolvers.items()}
+
+
+def _yaml_paths(content: str | None) -> str | None:
+    """The operations of a YAML description as JSON; null for what is no description."""
+    try:
+        doc = next(yaml.load_all(content, _Loader), None) if content else None
+        fields = [x.split()[0] for x in OPERATION.split(", ")]
+        one = lambda op: {f: str(op[f]) for f in fields if op.get(f) is not None}
+        return json.dumps({"paths": {str(p): {m: one(item[m]) for m in METHODS if isinstance(item.get(m), dict)} for p, item in doc["paths"].items() if isinstance(item, dict)}})
+    except (yaml.YAMLError, AttributeError, KeyError, TypeError, ValueError):
+        return None
+
+
+def yaml_paths(content: Column) -> Column:
+    return F.pandas_udf(lambda s: pd.Series([_yaml_paths(x) for x in s], dtype=object), "string")(content)
+
+
 def api_operations(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """An API_SPEC chunk for each GET, POST, PUT and DELETE operation of JSON descriptions that says what it does."""
+    """An API_SPEC chunk for each GET, POST, PUT and DELETE operation of JSON and YAML descriptions that says what it does."""
     verbs = ", ".join(f"{m}: struct<{OPERATION.replace(' string', ': string')}>" for m in METHODS)
-    doc = F.from_json(F.col(content), f"paths map<string, struct<{verbs}>>")
+    is_json = F.ltrim(F.col(content)).startswith("{")
+    text = F.when(is_json, F.col(content)).otherwise(yaml_paths(F.when(~is_json, F.col(content))))
+    doc = F.from_json(text, f"paths map<string, struct<{verbs}>>")
     paths = files.select(F.col(path).alias("path"), F.explode(F.map_entries(doc["paths"])).alias("e"))
     each = F.explode(F.array(*[F.struct(F.lit(m.upper()).alias("method"), F.col(f"e.value.{m}").alias("op")) for m in METHODS])).alias("m")
     ops = paths.select("path", F.col("e.key").alias("api_path"), each).select("path", "api_path", "m.method", "m.op.*").filter("summary IS NOT NULL OR description IS NOT NULL OR operationId IS NOT NULL")

@@ -190,6 +190,15 @@ FILES = [
 ]
 
 
+def test_operations_of_yaml_descriptions(spark):
+    text = "openapi: 3.0.0\npaths:\n  /o:\n    parameters: []\n    post: &p\n      summary: yes\n      description: |\n        a\n        b\n      responses: {200: {description: ok}}\n    get: {}\n    patch: {summary: n}\n  '/o/{id}':\n    get: {operationId: getO, summary: null}\n    put: *p\n"
+    files = [("/r/openapi.yaml", text), ("/r/bad.yml", "swagger: [\n"), ("/r/none.yml", "swagger: 2\n"), *FILES]
+    got = {(r.path, r.element_name): r.content for r in scan.chunks(spark.createDataFrame(files, "path string, content string"), "svc").filter("chunk_type = 'API_SPEC'").collect()}
+    post = "Summary: yes\nDescription: a\nb\n\n"
+    assert {k[1]: v for k, v in got.items() if k[0] == "/r/openapi.yaml"} == {"POST /o": "POST /o\n" + post, "PUT /o/{id}": "PUT /o/{id}\n" + post, "GET /o/{id}": "GET /o/{id}\nOperationId: getO\n"}
+    assert {k for k in got if k[0] != "/r/openapi.yaml"} == {("/r/api.json", "GET /o/{id}"), ("/r/api.json", "POST /o")}
+
+
 def test_chunks_of_files(spark):
     got = rows(scan.chunks(spark.createDataFrame(FILES, "path string, content string"), "svc").select("path", "element_name", "chunk_type"))
     want = [("README.md", "Introduction", "DOCUMENTATION"), ("README.md", "One", "DOCUMENTATION"), ("README.md", "Three", "DOCUMENTATION"), ("api.json", "GET /o/{id}", "API_SPEC"), ("api.json", "POST /o", "API_SPEC"), ("application.yml", "server", "CONFIG"), ("application.yml", "spring", "CONFIG"), ("order-context.md", "A", "BUSINESS_CONTEXT"), ("s.sql", "a", "SCHEMA"), ("s.sql", "i", "SCHEMA")]
