@@ -1,7 +1,7 @@
 """Java files as tables: classes, methods, edges, chunks, control flow and data flow.
 
 One pass over the files in Arrow batches gives tagged rows (tag, path, JSON); each table is a filter and a typed view of them.
-A file that cannot be read gives no rows and does not stop the others.
+A file that cannot be read gives one row with tag `unread` and the reason, and does not stop the others.
 """
 
 from __future__ import annotations
@@ -25,6 +25,12 @@ NODE_TYPES = {"class": "CLASS", "interface": "INTERFACE", "enum": "ENUM", "recor
 NOTE_WORDS = ["TODO", "FIXME", "HACK", "NOTE"]
 OTHER_TAGS = ["see", "since", "deprecated", "author"]
 CONTEXT_CHARS, COMMENT_CHARS, NOTE_CHARS, MOST_COMMENTS = 150, 10, 30, 5
+# fixed values: sections of a method's text in order (part, label, one line of several), and lines of a documentation chunk
+TEXT_SECTIONS = [
+    ("context", "CLASS CONTEXT", None), ("description", "PURPOSE", None), ("params", "PARAMETERS", "  {}: {}"), ("returns", "RETURNS", None), ("throws", "THROWS", "  {}: {}"),
+    ("others", None, "{}"), ("notes", "KNOWN ISSUES / NOTES", "  {}"), ("long", "INLINE NOTES", "  // {}"),
+]
+DOC_LINES = [("description", None), ("params", "@param {}: {}"), ("returns", "@return {}"), ("throws", "@throws {}: {}"), ("notes", "NOTE: {}"), ("long", "// {}")]
 
 SCHEMAS = {
     "class": "qualified_name string, simple_name string, package_name string, file_path string, service_name string, is_abstract boolean, is_public boolean, is_interface boolean, node_type string, annotations array<string>, spring_stereotype string, javadoc_summary string",
@@ -35,6 +41,7 @@ SCHEMAS = {
     "cfg_edge": "method_qn string, ord int, src int, dst int, edge_type string, condition_text string, exception_type string",
     "def": "method_qn string, service_name string, ord int, var string, var_type string, def_type string, source_expr string, line int",
     "use": "method_qn string, service_name string, ord int, var string, use_type string, context string, line int",
+    "unread": "reason string",
 }
 
 
@@ -75,34 +82,26 @@ class MethodDoc:
 
     def enriched(self, owner: str, about: str, code: str) -> str:
         """The method's text behind what is written about it."""
-        out = []
-        if about:
-            out += [f"CLASS CONTEXT: {owner} — {about if len(about) <= CONTEXT_CHARS else about[:CONTEXT_CHARS] + '...'}", ""]
-        if self.description:
-            out.append(f"PURPOSE: {self.description}")
-        if self.params:
-            out += ["PARAMETERS:", *(f"  {k}: {v}" for k, v in self.params.items())]
-        if self.returns:
-            out.append(f"RETURNS: {self.returns}")
-        if self.throws:
-            out += ["THROWS:", *(f"  {k}: {v}" for k, v in self.throws.items())]
-        out += self.others
-        if self.notes:
-            out += ["KNOWN ISSUES / NOTES:", *(f"  {x}" for x in self.notes)]
-        if self.long:
-            out += ["INLINE NOTES:", *(f"  // {x}" for x in self.long)]
+        context = f"{owner} — {about if len(about) <= CONTEXT_CHARS else about[:CONTEXT_CHARS] + '...'}" if about else ""
+        have = {"context": context, "description": self.description, "params": self.params, "returns": self.returns or "", "throws": self.throws, "others": self.others, "notes": self.notes, "long": self.long}
+        out = [line for part, label, each in TEXT_SECTIONS if have[part] for line in _section(have[part], label, each)]
         return "\n".join([*out, "", "CODE:", code]) if out else code
 
     def chunk(self, name: str) -> str:
-        out = [f"Documentation for: {name}", ""]
-        if self.description:
-            out += [self.description, ""]
-        out += [f"@param {k}: {v}" for k, v in self.params.items()]
-        if self.returns is not None:
-            out.append(f"@return {self.returns}")
-        out += [f"@throws {k}: {v}" for k, v in self.throws.items()]
-        out += [f"NOTE: {x}" for x in self.notes] + [f"// {x}" for x in self.long]
-        return "\n".join(out) + "\n"
+        have = {"description": self.description, "params": self.params, "returns": self.returns if self.returns is None else [self.returns], "throws": self.throws, "notes": self.notes, "long": self.long}
+        lines = [line for part, each in DOC_LINES if have[part] for line in ([have[part], ""] if each is None else _items(have[part], each))]
+        return "\n".join([f"Documentation for: {name}", "", *lines]) + "\n"
+
+
+def _items(values, each: str) -> list[str]:
+    """A line for each entry of a mapping or value of a list."""
+    return [each.format(*v) for v in values.items()] if isinstance(values, dict) else [each.format(v) for v in values]
+
+
+def _section(value, label: str | None, each: str | None) -> list[str]:
+    if each is None:
+        return [f"{label}: {value}", *([""] if label == "CLASS CONTEXT" else [])]
+    return [*([f"{label}:"] if label else []), *_items(value, each)]
 
 
 def annotation_value(tokens: list[J.Token]) -> str:
@@ -242,8 +241,8 @@ def facts(files: DataFrame, service: str, path: str = "path", content: str = "co
             for p, text in zip(b["path"], b["content"]):
                 try:
                     rows += FileFacts(p, text or "", service).rows
-                except (J.SyntaxProblem, RecursionError):
-                    rows.append(("unread", p, "{}"))
+                except Exception as e:  # noqa: BLE001  whatever is odd in one file, the others are read
+                    rows.append(("unread", p, json.dumps({"reason": f"{type(e).__name__}: {e}"})))
             yield pd.DataFrame(rows, columns=["tag", "path", "row"])
 
     return files.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInPandas(run, "tag string, path string, row string")

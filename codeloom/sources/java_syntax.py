@@ -1,7 +1,6 @@
 """A small Java front end: tokens, declarations and statements of one compilation unit, in plain Python.
 
-It reads what the extractors need and keeps expressions as token lists. What it cannot read raises SyntaxProblem, and the
-file gives no rows.
+It reads what the extractors need and keeps expressions as token lists. What it cannot read raises SyntaxProblem.
 """
 
 from __future__ import annotations
@@ -175,9 +174,8 @@ class Reader:
                 self.i += 1
                 self.type_name()
             return render(self.t[begin : self.i])
-        if self.t[self.i].kind != "name":
+        if self.take().kind != "name":
             raise SyntaxProblem("type")
-        self.i += 1
         while True:
             if self.peek() == "<":
                 self.generics()
@@ -370,7 +368,9 @@ class Reader:
         return s
 
     def statement(self) -> Statement:
-        begin, word, line = self.i, self.peek(), self.t[self.i].line if self.i < len(self.t) else 0
+        if self.i >= len(self.t):
+            raise SyntaxProblem("statement expected at the end")
+        begin, word, line = self.i, self.peek(), self.t[self.i].line
         s = Statement("other", line, line)
         if word == "{":
             return self._close(self.block(), begin)
@@ -465,6 +465,8 @@ class Reader:
         if not semi and colon is not None:
             s.kind, s.tokens = "foreach", inner[colon + 1 :]
             head = inner[:colon]
+            if len(head) < 2:
+                raise SyntaxProblem("for each without a variable")
             s.names = [(render(head[:-1]).removeprefix("final "), head[-1].text, [])]
         elif len(semi) == 2:
             s.kind, s.tokens = "for", inner[semi[0] + 1 : semi[1]]
@@ -479,6 +481,8 @@ class Reader:
         s.parts = [self.block()]
         while self.skip("catch"):
             head = [x for x in self.nested("(", ")") if x.text != "final"]
+            if len(head) < 2:
+                raise SyntaxProblem("catch without a variable")
             s.catches.append((render(head[:-1]), head[-1].text, self.block()))
         if self.skip("finally"):
             s.other = self.block()
@@ -486,6 +490,8 @@ class Reader:
     def _cases(self, s: Statement) -> None:
         self.take("{")
         while self.peek() != "}":
+            if self.i >= len(self.t):
+                raise SyntaxProblem("case expected at the end")
             line = self.t[self.i].line
             if self.skip("default"):
                 label = "default"

@@ -254,6 +254,50 @@ def test_java_facts(spark):
     assert linked.count() == 0
 
 
+def method_of(body):
+    from codeloom.sources import java_syntax as J
+    from codeloom.sources.java_flow import ControlFlow
+
+    return ControlFlow(J.parse(f"class A {{ void m() {{ {body} }} }}").types[0].members[0])
+
+
+def ways(flow):
+    return [(flow.nodes[e["src"]]["code"], flow.nodes[e["dst"]]["code"], e["edge_type"], e["condition_text"], e["exception_type"]) for e in flow.edges if e["src"] and flow.nodes[e["dst"]]["node_type"] != "EXIT"]
+
+
+def test_odd_cases_of_control_flow():
+    plain = "UNCONDITIONAL"
+    assert ways(method_of("if (a) { }")) == [("if (a)", "merge", plain, None, None), ("if (a)", "merge", "FALSE", "!(a)", None)]
+    assert ways(method_of("if (a) { x = 1; } else { }")) == [("if (a)", "x = 1;", "FALSE", "!(a)", None), ("x = 1;", "merge", plain, None, None), ("if (a)", "merge", plain, None, None)]
+    assert ways(method_of("while (a) { }")) == [("while (a)", "while (a)", "LOOP_BACK", None, None), ("while (a)", "after_while", "FALSE", "!(a)", None)]
+    got = ways(method_of("if (a) { x = 1; } else { try { y = 2; } catch (E e) { z = 3; } }"))
+    assert ("if (a)", "y = 2;", plain, None, None) in got and ("if (a)", "catch (E e)", "FALSE", "!(a)", "E") in got
+    flow = method_of("return; x = 1;")
+    assert [(e["src"], e["dst"]) for e in flow.edges] == [(0, 1), (1, 3), (3, 2), (2, 3)]
+    got = ways(method_of("for (;;) { f(); } switch (k) { case 1, 2: g(); case 3: default: return; }"))
+    assert ("for (true)", "after_for", "FALSE", "!(true)", None) in got and ("switch (k)", "case 1", "FALL_THROUGH", "k == 1", None) in got
+    assert ("case 3", "switch_merge", plain, None, None) in got and not any(a == "return void" for a, *_ in got)
+
+
+def test_no_java_text_ends_the_scan(spark):
+    import random
+
+    from codeloom.plans.java_queries import SOURCE
+    from codeloom.sources import java_syntax as J
+
+    rng, words = random.Random(4), [x.text for x in J.Reader(SOURCE).all]
+    cut = [SOURCE[:k] for k in range(0, len(SOURCE), 3)] + [" ".join(rng.sample(words, 40)) for _ in range(60)] + [" ".join(words[:k] + words[k + 1 :]) for k in range(len(words))]
+    for t in cut:
+        try:
+            java.FileFacts("/a/B.java", t, "s")
+        except (J.SyntaxProblem, RecursionError):
+            pass
+    files = spark.createDataFrame([("/a/Good.java", "class Good { void f() { g(); } }"), ("/a/Bad.java", "class PayService extends"), ("/a/Deep.java", "class D { int x() { return " + "(" * 5000 + "1" + ")" * 5000 + "; } }"), ("/a/Null.java", None)], "path string, content string")
+    f = java.facts(files, "s").cache()
+    assert rows(java.table(f, "class").select("qualified_name").filter("qualified_name = 'Good'")) == [("Good",)]
+    assert "/a/Bad.java" in {r.path for r in f.filter("tag = 'unread'").collect()} and java.table(f, "unread").first().reason
+
+
 def test_statistics(spark):
     c = spark.createDataFrame([("s",), ("s",), ("t",)], "service_name string")
     m = spark.createDataFrame([("s", True, 10), ("s", False, 9), ("u", None, None)], "service_name string, is_endpoint boolean, cyclomatic_complexity int")
