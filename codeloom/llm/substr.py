@@ -4,14 +4,15 @@ A window is WINDOW consecutive words of one text; every word covered by a window
 
 1. Fingerprints. From each text's hashes of GRAM words, winnowing takes the least one under every window, so equal windows
    take equal fingerprints; about one word in fourteen gives one. A batch of texts becomes one immutable run of rows
-   (fp, doc, times), sorted within its files, in the shared folder.
-2. Merge join. The runs of history and of the new batch are joined on fp: fingerprints that occur twice or more, whether in
-   a run or across runs, go back to the documents that hold them, old and new. When LEVEL runs have gathered they are
-   compacted into one sorted run.
+   (fp, doc, key, times) in the shared folder, in buckets of fp and sorted in each.
+2. Merge join. Bucket by bucket the new run is joined with the runs of history, which are not shuffled: fingerprints that
+   occur twice or more, whether in a run or across runs, go back to the documents that hold them, old and new. LEVEL runs of
+   one size are compacted into one sorted run of the next, so a row is written again once a level.
    An index keeps the texts of its batches beside the runs, and one opened on an existing path goes on with what lies there.
 3. Verification. In documents with such fingerprints, the windows above them get 96-bit digests of all WINDOW words. Slices
    of texts send their distinct digests, sorted, in one block for each range of digests; each range is merged, and the
-   digests that occur twice or more go back to their slices, where the covered words are removed. With history, old
+   digests that occur twice or more go back to their slices, where the covered words are removed. A slice or range is one task
+   of bounded size. With history, old
    documents that share a fingerprint with the new batch are verified again and returned with their new values.
 
 A window whose fingerprint is unique is unique, so no window is missed; each window removed agrees with another in 96 bits
@@ -26,7 +27,9 @@ kept apart by a digest of the text.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -40,8 +43,9 @@ from .common import map_arrow, mix, new_path, slices, stash, text_bytes, window_
 WINDOW, GRAM = 35, 8
 #: Runs that gather before they are compacted into one.
 LEVEL = 4
-#: Digests that one range holds on average, and ranges at least.
-RANGE_DIGESTS, RANGES = 500_000, 96
+#: Digests that one range holds on average, words of one slice of texts, and slices or ranges at most: a larger batch makes them
+#: larger, so very many texts should come to an index in several batches.
+RANGE_DIGESTS, SLICE_WORDS, MOST_PARTS = 500_000, 300_000, 50_000
 
 
 def _sliding(x: np.ndarray, k: int, pick=np.minimum) -> np.ndarray:
@@ -99,16 +103,18 @@ RUN, TEXTS = "fp long, doc long, key long, times int", "i long, key long, t stri
 
 
 class FingerprintIndex:
-    """Sorted immutable runs (fp, doc, key, times) and the texts of their batches (i, key, t, n_words) in a folder that all executors
-    share. What a path already holds is history. Without `keep` no texts are kept: for an index that takes one batch only."""
+    """Sorted immutable runs (fp, doc, key, times) in buckets of fp and the texts of their batches (i, key, t, n_words), in a folder
+    that all executors share. What a path already holds is history, in as many buckets as it has. Without `keep` no texts are
+    kept: for an index that takes one batch only."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, keep: bool = True) -> None:
+    def __init__(self, spark: SparkSession, path: str | None = None, keep: bool = True, buckets: int | None = None) -> None:
         self.spark, self.path, self.keep = spark, path or new_path(spark, "runs"), keep
-        # run-A-B holds batches A to B; runs within a compacted one are behind it
+        # run-A-B-N holds batches A to B in N buckets; runs within a compacted one are behind it
         spans = [tuple(map(int, n.split("-")[1:])) for n in self._stored() if n.startswith("run-")] if path else []
-        live = [(a, z) for a, z in spans if not any((b, y) != (a, z) and b <= a and z <= y for b, y in spans)]
-        self.runs = [self._run(a, z) for a, z in sorted(live)]
-        self.made = max((z + 1 for _, z in live), default=0)
+        self.runs = sorted((a, z) for a, z, _ in spans if not any((b, y) != (a, z) and b <= a and z <= y for b, y, _ in spans))
+        self.buckets = spans[0][2] if spans else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.made = max((z + 1 for _, z in self.runs), default=0)
+        self._names: dict[tuple[int, int], str] = {}
 
     def _stored(self) -> list[str]:
         """The finished tables in the folder."""
@@ -118,61 +124,80 @@ class FingerprintIndex:
         names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
         return [n for n in names if fs.exists(path(f"{self.path}/{n}/_SUCCESS"))]
 
-    def _run(self, a: int, z: int) -> str:
-        return f"{self.path}/run-{a:05d}-{z:05d}"
-
-    def _write(self, run: DataFrame, path: str) -> str:
-        run.sortWithinPartitions("fp").write.mode("overwrite").parquet(path)
-        return path
+    def run(self, span: tuple[int, int]) -> DataFrame:
+        """One run as a table whose buckets the planner knows."""
+        if span not in self._names:
+            name = f"codeloom_run_{uuid.uuid4().hex}"
+            at = self._at(span).replace("'", "\\'")
+            self.spark.sql(f"CREATE TABLE {name} ({RUN.replace('long', 'bigint')}) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {self.buckets} BUCKETS LOCATION '{at}'")
+            self._names[span] = name
+        return self.spark.table(self._names[span])
+
+    def _at(self, span: tuple[int, int]) -> str:
+        return f"{self.path}/run-{span[0]:05d}-{span[1]:05d}-{self.buckets}"
+
+    def _write(self, rows: DataFrame, span: tuple[int, int]) -> None:
+        name = f"codeloom_run_{uuid.uuid4().hex}"
+        # an unfinished run of a lost driver is replaced
+        rows.repartition(self.buckets, "fp").write.mode("overwrite").bucketBy(self.buckets, "fp").sortBy("fp").option("path", self._at(span)).saveAsTable(name)
+        self._names[span] = name
+        self.runs = sorted([r for r in self.runs if not span[0] <= r[0] <= r[1] <= span[1]] + [span])
 
     def read(self) -> DataFrame | None:
-        return self.spark.read.schema(RUN).parquet(*self.runs) if self.runs else None
+        """The rows of all runs."""
+        return reduce(DataFrame.unionByName, map(self.run, self.runs)) if self.runs else None
 
     def texts(self, batches: int) -> DataFrame:
         """The texts of the first batches that are long enough for a window."""
         return self.spark.read.schema(TEXTS).parquet(*(f"{self.path}/texts-{k:05d}" for k in range(batches)))
 
+    def _repeated(self, fps: DataFrame) -> DataFrame:
+        """Those of some distinct fingerprints that occur twice or more in all runs; buckets are merged, no run is shuffled."""
+        out, total = fps, F.lit(0)
+        for k, span in enumerate(self.runs):
+            out = out.join(self.run(span).groupBy("fp").agg(F.sum("times").alias(f"n{k}")), "fp", "left")
+            total = total + F.coalesce(F.col(f"n{k}"), F.lit(0))
+        return out.filter(total > 1).select("fp")
+
+    def _held(self, fps: DataFrame) -> DataFrame:
+        """(doc, key, fps) for each document of any run that holds some of these fingerprints."""
+        rows = [self.run(span).join(fps, "fp", "left_semi") for span in self.runs]
+        return reduce(DataFrame.unionByName, rows).groupBy("doc", "key").agg(F.array_distinct(F.collect_list("fp")).alias("fps"))
+
     def add_batch(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
         """Append a run for these texts; (doc, key, fps) for each document, old or new, that holds fingerprints of this batch
         which now occur twice or more."""
         given = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text}`").alias("t"))
         if self.keep:  # before the run: a batch counts once its run is whole
             map_arrow(given, _tag_rows, TEXTS).filter(F.col("n_words") >= WINDOW).write.mode("overwrite").parquet(f"{self.path}/texts-{self.made:05d}")
-        rows = map_arrow(given, _fingerprint_rows, RUN)
-        old = self.read()
-        new = self._write(rows, self._run(self.made, self.made))
+        span = (self.made, self.made)
+        self._write(map_arrow(given, _fingerprint_rows, RUN), span)
         self.made += 1
-        self.runs.append(new)
-        batch = self.spark.read.schema(RUN).parquet(new)
-        if old is None:
-            again = batch.groupBy("fp").agg(F.sum("times").alias("n")).filter("n > 1").select("fp")
-            found = batch.join(again, "fp")
+        if len(self.runs) == 1:
+            again = self.run(span).groupBy("fp").agg(F.sum("times").alias("n")).filter("n > 1").select("fp")
         else:
-            counts = batch.groupBy("fp").agg(F.sum("times").alias("n"))
-            history = old.groupBy("fp").agg(F.sum("times").alias("m"))
-            again = counts.join(history, "fp", "left").filter("n + coalesce(m, 0) > 1").select("fp")
-            found = old.unionByName(batch).join(again, "fp")
-        out = stash(found.groupBy("doc", "key").agg(F.array_distinct(F.collect_list("fp")).alias("fps")), "found")
-        if len(self.runs) >= LEVEL:
-            self.compact()
+            again = stash(self._repeated(self.run(span).select("fp").distinct()), "again")
+        out = stash(self._held(again), "found")
+        self.compact()
         return out
 
+    def close(self) -> None:
+        """Forget the names under which the session knows the runs; the files stay."""
+        while self._names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._names.popitem()[1]}")
+
     def compact(self) -> None:
-        """One run instead of all."""
-        if len(self.runs) > 1:
-            all_runs = self.read()
-            merged = all_runs.repartition(max(len(all_runs.inputFiles()) // len(self.runs), 1), "fp")
-            self.runs = [self._write(merged, self._run(0, self.made - 1))]
+        """LEVEL neighbours of one size become one run, as long as there are any."""
+        while len(last := self.runs[-LEVEL:]) == LEVEL and len({z - a for a, z in last}) == 1:
+            self._write(reduce(DataFrame.unionByName, map(self.run, last)), (last[0][0], last[-1][1]))
 
     def shared(self, found: DataFrame) -> DataFrame:
         """(doc, key, fps, shown) for the documents of `found`, with every fingerprint that occurs twice or more in history, and
         (not shown) for all others that hold one of those: old repeats between old documents count in their new values too."""
-        rows = self.read()
         shown = found.select("doc", "key")
-        theirs = rows.join(shown, ["doc", "key"], "left_semi").select("fp").distinct()
-        again = rows.join(theirs, "fp", "left_semi").groupBy("fp").agg(F.sum("times").alias("n")).filter("n > 1").select("fp")
-        held = rows.join(again, "fp").groupBy("doc", "key").agg(F.array_distinct(F.collect_list("fp")).alias("fps"))
-        return stash(held.join(shown.withColumn("shown", F.lit(True)), ["doc", "key"], "left").withColumn("shown", F.coalesce("shown", F.lit(False))), "shared")
+        theirs = reduce(DataFrame.unionByName, [self.run(span).join(shown, ["doc", "key"], "left_semi").select("fp") for span in self.runs]).distinct()
+        again = stash(self._repeated(theirs), "again")
+        return stash(self._held(again).join(shown.withColumn("shown", F.lit(True)), ["doc", "key"], "left").withColumn("shown", F.coalesce("shown", F.lit(False))), "shared")
 
 
 def _sha(parts: list[bytes]) -> str:
@@ -207,7 +232,7 @@ def _tag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(ranges: int):
-    width = np.uint64((1 << 64) // ranges + 1)
+    width = np.uint64(min((1 << 64) // ranges + 1, (1 << 64) - 1))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         one, two = [], []
@@ -219,7 +244,7 @@ def _blocks(ranges: int):
             two.append(b)
         rec = np.empty(sum(map(len, one)), [("a", "<u8"), ("b", "<u4")])
         if not len(rec):
-            return pd.DataFrame({"src": [], "r": [], "block": [], "twice": []}).astype({"src": "int64", "r": "int64"})
+            return pd.DataFrame({"src": [], "r": [], "block": [], "twice": []}).astype({"src": "int32", "r": "int32"})
         rec["a"], rec["b"] = np.concatenate(one), np.concatenate(two)
         by = np.lexsort((rec["b"], rec["a"]))
         rec = rec[by]
@@ -228,7 +253,7 @@ def _blocks(ranges: int):
         heads = np.flatnonzero(fresh)
         twice = np.diff(np.append(heads, len(rec))) > 1
         rec = rec[heads]
-        part = (rec["a"] // width).astype(np.int64)
+        part = np.minimum((rec["a"] // width).astype(np.int64), ranges - 1)
         cuts = np.flatnonzero(np.diff(part)) + 1
         parts = [(int(p[0]), r.tobytes(), t.tobytes()) for p, r, t in zip(np.split(part, cuts), np.split(rec, cuts), np.split(twice, cuts))]
         return pd.DataFrame({"src": int(pdf["src"].iloc[0]), "r": [x[0] for x in parts], "block": [x[1] for x in parts], "twice": [x[2] for x in parts]})
@@ -256,7 +281,7 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     w, cuts = who[hit], np.flatnonzero(np.diff(who[hit])) + 1
     src = pdf["src"].to_numpy()
     out = [(int(src[x[0]]), r.tobytes()) for x, r in zip(np.split(w, cuts), np.split(rec[hit], cuts)) if len(x)]
-    return pd.DataFrame({"src": [x[0] for x in out], "block": [x[1] for x in out]}).astype({"src": "int64"})
+    return pd.DataFrame({"src": [x[0] for x in out], "block": [x[1] for x in out]}).astype({"src": "int32"})
 
 
 def _remove(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
@@ -302,13 +327,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         rows = rows.unionByName(old.join(held, same(old)))
     # the texts that hold repeated fingerprints are laid out in slices, the others are done
     base = stash(rows.select("i", "key", "n_words", F.when(F.col("fps").isNotNull(), F.col("t")).alias("t"), "fps", F.when(F.col("fps").isNull(), F.col("t")).alias("done"), "shown").mapInArrow(_settle, "i long, key long, n_words long, t string, fps array<long>, kept_sha256 string, place long, shown boolean"), "rows")
+    index.close()  # all that is left to do reads stashed tables
     done = base.filter("fps IS NULL").select("i", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
     live = base.filter("fps IS NOT NULL")
     words = live.select(F.coalesce(F.sum("n_words"), F.lit(0)).alias("w")).first()["w"]
-    ranges, groups = max(RANGES, words // RANGE_DIGESTS), max(RANGES, words // 300_000)
-    live = live.select("i", "t", "fps", "shown", F.pmod("place", F.lit(groups)).alias("src"))
-    blocks = live.groupBy("src").applyInPandas(_blocks(ranges), "src long, r long, block binary, twice binary")
-    hits = blocks.groupBy("r").applyInPandas(_merge, "src long, block binary")
+    ranges, groups = (max(1, min(MOST_PARTS, words // size)) for size in (RANGE_DIGESTS, SLICE_WORDS))
+    # a slice and a range are a task each, whatever the number of either
+    live = live.select("i", "t", "fps", "shown", F.pmod("place", F.lit(groups)).cast("int").alias("src")).repartitionById(groups, "src")
+    blocks = live.groupBy("src").applyInPandas(_blocks(ranges), "src int, r int, block binary, twice binary").repartitionById(ranges, "r")
+    hits = blocks.groupBy("r").applyInPandas(_merge, "src int, block binary").repartitionById(groups, "src")
     gone = live.groupBy("src").cogroup(hits.groupBy("src")).applyInPandas(_remove, "i long, n_words long, n_removed long, kept_sha256 string")
     return done.unionByName(gone).select(F.col("i").alias(id_col), "n_words", "n_removed", "kept_sha256")
 
