@@ -9,6 +9,7 @@ import atexit
 import ctypes
 import gc
 import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -32,10 +33,12 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all run here."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if d:
         return d
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="codeloom-")
@@ -66,11 +69,12 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def stash(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write df in the shared folder and read it again: lineage ends here and survives the loss of executors. A narrow table (a few
-    numbers for a small part of the rows) goes to an eighth as many files as there are shuffle partitions."""
+    numbers for a small part of the rows) goes to an eighth as many files as there are shuffle partitions; what makes it keeps all
+    of its tasks."""
     spark, schema = df.sparkSession, df.schema
     path = new_path(spark, name)
     if narrow:
-        df = df.coalesce(max(int(spark.conf.get("spark.sql.shuffle.partitions")) // 8, 1))
+        df = df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")) // 8, 1))
     df.write.parquet(path)
     del df
     gc.collect()
@@ -269,6 +273,21 @@ def id_filter(ids: DataFrame, col: str) -> np.ndarray:
     return out
 
 
+def filter_words(keys: DataFrame, col: str) -> DataFrame:
+    """The filter of keys[col] as a table of FILTER_BITS / 64 rows at most."""
+    h = keys.select(filter_place(f"`{col}`").alias("h"))
+    bits = h.select(F.floor(F.col("h") / 64).cast("int").alias("_w"), F.expr("shiftleft(1L, cast(h % 64 AS int))").alias("b")).groupBy("_w").agg(F.bit_or("b").alias("_b"))
+    return stash(bits, "bits", True)
+
+
+def filter_flag(df: DataFrame, col: str, words: DataFrame, flag: str) -> DataFrame:
+    """df with a column that tells whether the key in df[col] may be one of the filter's; the broadcast has a fixed size."""
+    h, w, b = columns_free_of(df.withColumn(flag, F.lit(True)), "h", "w", "b")
+    at = df.withColumn(h, filter_place(f"`{col}`")).withColumn(w, F.floor(F.col(h) / 64).cast("int"))
+    hit = F.coalesce(F.expr(f"bit_get(`{b}`, cast(`{h}` % 64 AS int)) = 1"), F.lit(False))
+    return at.join(F.broadcast(words.toDF(w, b)), w, "left").withColumn(flag, hit).drop(h, w, b)
+
+
 def passes(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Which of these places have a bit."""
     return (bits.view(np.uint64)[place // 64] >> (place % 64).astype(np.uint64)) & np.uint64(1) == 1

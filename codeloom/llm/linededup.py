@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stash, filter_place, stash
+from .common import drop_stash, filter_flag, filter_words, stash
 from .components import components
 
 EDITS, MIN_CHARS = 2, 30
@@ -116,11 +116,7 @@ def _keys(long: DataFrame, edits: int, shortest: int) -> DataFrame:
 
 def _among(df: DataFrame, col: str, ids: DataFrame, id_col: str) -> DataFrame:
     """The rows whose id shares a bit with one of ids: a bitmap of FILTER_BITS bits is broadcast, 64 of them a row."""
-    h = ids.select(filter_place(id_col).alias("h"))
-    bits = h.select(F.floor(F.col("h") / 64).cast("int").alias("_w"), F.expr("shiftleft(1L, cast(h % 64 AS int))").alias("b")).groupBy("_w").agg(F.bit_or("b").alias("_b"))
-    bits = stash(bits, "bits", True)  # FILTER_BITS / 64 rows at most
-    place = df.withColumn("_h", filter_place(col)).withColumn("_w", F.floor(F.col("_h") / 64).cast("int"))
-    return place.join(F.broadcast(bits), "_w").filter(F.expr("bit_get(_b, cast(_h % 64 AS int)) = 1")).drop("_w", "_h", "_b")
+    return filter_flag(df, col, filter_words(ids, id_col), "_in").filter("_in").drop("_in")
 
 
 def distinct_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:

@@ -127,6 +127,33 @@ def test_near_duplicates_without_links(spark):
     assert got == [(1, 0, 1, True), (2, 2, 2, True)]
 
 
+def test_overlaps_of_sets():
+    rng = np.random.default_rng(3)
+    sets = lambda n: [np.unique(rng.integers(0, 3000, rng.integers(0, 900))).astype(np.uint64) for _ in range(n)]
+    a, b = sets(7), sets(5) + [np.arange(20000, dtype=np.uint64)]
+    assert setsketch.overlaps(a, b).tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a]
+
+
+def test_one_document_of_each_group_stays(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    near = a + " z"
+    rows = [(5, a, "x"), (5, b, "x"), (3, b, "x"), (5, a, "x"), (9, near, "y"), (None, b, "z"), (None, "only nulls have this text here", "z"), (None, "only nulls have this text here", "y"), (7, None, "w"), (7, None, "w"), (8, "", None), (11, a, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, r1 string")
+    got = setsketch.distinct_documents(df.repartition(3))
+    assert got.columns == df.columns
+    want = [(3, b, "x"), (5, a, "x"), (7, None, "w"), (7, None, "w"), (8, "", None)]
+    have = rows_of(got)
+    nulls = [r for r in have if r[0] is None]
+    assert sorted((r for r in have if r[0] is not None), key=str) == sorted(want, key=str) and [r[1] for r in nulls] == ["only nulls have this text here"]
+    assert rows_of(setsketch.distinct_documents(df.repartition(2))) == have  # reruns keep the same rows
+    assert setsketch.distinct_documents(df.limit(0)).count() == 0
+
+
+def test_near_duplicates_ignore_other_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 7, 8), (2, "a b c d e f", 9, 9)], "doc_id long, text string, hi int, regs int")
+    assert rows_of(setsketch.near_duplicates(df)) == [(1, 2, 1, True), (2, 2, 1, False)]
+
+
 @pytest.mark.parametrize("block", [4 << 20, 600])
 def test_contamination(spark, sf, docs, block, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
