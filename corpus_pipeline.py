@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from codeloom.llm import decontam, mixing, quality, repair, setsketch
 from codeloom.llm.common import stash
@@ -16,11 +15,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least doc_id, once if its row is repeated. Documents without
-    an id cannot be named as a group's and stay."""
-    kept = setsketch.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    named = docs.filter("doc_id IS NOT NULL")
-    return named.join(kept, named.doc_id == kept._kept_id, "left_semi").dropDuplicates(["doc_id", "text"]).unionByName(docs.filter("doc_id IS NULL"))
+    """One document of each group of near duplicates: the row with the least doc_id, decided row by row (`distinct_documents`)."""
+    return setsketch.distinct_documents(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
