@@ -45,7 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dirs[app]}"
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more."""
     jvm = spark._jvm
     if jvm is None or spark.sparkContext._jsc is None:
         return
@@ -55,7 +56,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def _remove_at_exit(spark: SparkSession, path: str) -> None:
     try:
-        _remove(spark, path)
+        remove_path(spark, path)
     except Exception:  # noqa: BLE001  the JVM may be gone at exit; the folder is temporary
         pass
 
@@ -85,7 +86,7 @@ def stash(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
 def drop_stash(df: DataFrame) -> None:
     """Delete a stashed table that nothing reads any more."""
     for f in df.inputFiles()[:1]:
-        _remove(df.sparkSession, f.rsplit("/", 1)[0])
+        remove_path(df.sparkSession, f.rsplit("/", 1)[0])
 
 
 def columns_free_of(df: DataFrame, *names: str) -> list[str]:
@@ -261,7 +262,7 @@ FILTER_BITS = 1 << 22
 
 
 def filter_place(col: str) -> Column:
-    return F.pmod(F.xxhash64(F.col(col).cast("long")), F.lit(FILTER_BITS))
+    return F.pmod(F.xxhash64(F.col(col)), F.lit(FILTER_BITS))
 
 
 def id_filter(ids: DataFrame, col: str) -> np.ndarray:

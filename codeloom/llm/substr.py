@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, mix, new_path, slices, stash, text_bytes, window_hashes, word_hashes, word_spans
+from .common import drop_stash, map_arrow, mix, new_path, remove_path, slices, stash, text_bytes, window_hashes, word_hashes, word_spans
 
 WINDOW, GRAM = 35, 8
 #: Runs that gather before they are compacted into one.
@@ -182,9 +182,11 @@ class FingerprintIndex:
         return out
 
     def close(self) -> None:
-        """Forget the names under which the session knows the runs; the files stay."""
+        """Forget the names under which the session knows the runs; the files stay, unless the index took one batch only."""
         while self._names:
             self.spark.sql(f"DROP TABLE IF EXISTS {self._names.popitem()[1]}")
+        if not self.keep:
+            remove_path(self.spark, self.path)
 
     def compact(self) -> None:
         """LEVEL neighbours of one size become one run, as long as there are any."""
@@ -319,7 +321,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     before = index.made
     found = index.add_batch(docs, id_col, text)
     rows = map_arrow(docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text}`").alias("t")), _tag_rows, TEXTS)
-    held = (index.shared(found) if before else found.withColumn("shown", F.lit(True))).select("doc", F.col("key").alias("k"), "fps", "shown")
+    if before:
+        found = index.shared(found)
+    index.close()  # all that is left to do reads stashed tables and texts
+    held = (found if before else found.withColumn("shown", F.lit(True))).select("doc", F.col("key").alias("k"), "fps", "shown")
     same = lambda r: (F.coalesce(r.i, F.lit(-1)) == held.doc) & (r.key == held.k)
     old = index.texts(before) if before else None
     rows = rows.join(held, same(rows), "left")
@@ -327,7 +332,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         rows = rows.unionByName(old.join(held, same(old)))
     # the texts that hold repeated fingerprints are laid out in slices, the others are done
     base = stash(rows.select("i", "key", "n_words", F.when(F.col("fps").isNotNull(), F.col("t")).alias("t"), "fps", F.when(F.col("fps").isNull(), F.col("t")).alias("done"), "shown").mapInArrow(_settle, "i long, key long, n_words long, t string, fps array<long>, kept_sha256 string, place long, shown boolean"), "rows")
-    index.close()  # all that is left to do reads stashed tables
+    drop_stash(found)
     done = base.filter("fps IS NULL").select("i", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
     live = base.filter("fps IS NOT NULL")
     words = live.select(F.coalesce(F.sum("n_words"), F.lit(0)).alias("w")).first()["w"]

@@ -178,6 +178,55 @@ def test_contamination(spark, sf, docs, block, monkeypatch):
     assert rows_of(decontam.clean(df, bench).select("doc_id")) == sorted([(i,) for i, _ in rows if i not in bad], key=str)
 
 
+def test_one_word_over_and_over_in_bounded_memory():
+    import pyarrow as pa
+    import tracemalloc
+
+    words_ = " ".join(["a"] * 80_000)
+    block = decontam.Tests([str(k) for k in range(1000)], ["a " * 400] * 1000)
+    assert len(block.table) == 1 and block.owners.tolist() == [0, 388_000]
+    first = np.array([0, 80_000], np.int64)
+    row = {"bounds": first.tobytes(), "terms": decontam.word_hashes(np.frombuffer(b"a", np.uint8), np.array([0]), np.array([1])).tobytes(), "counts": np.array([80_000], np.int32).tobytes(), "places": np.arange(80_000, dtype=np.int32).tobytes()}
+    tracemalloc.start()
+    got = decontam._hits(block, row)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[0][0].tolist() == [[0, 80_000]] and len(got[0][1]) == 1000 and peak < 60 << 20
+    assert len(words_.split()) == 80_000 and pa is not None
+
+
+def test_clean_keeps_columns_and_ids_of_any_type(spark):
+    item = " ".join(f"t{i}" for i in range(15))
+    df = spark.createDataFrame([("x", item, 1), ("y", "clean words", 2), (None, item, 3), ("y", "more", 2)], "doc_id string, text string, flag int")
+    tests = spark.createDataFrame([(1, item)], "item_id int, text string")
+    got = decontam.clean(df, tests)
+    assert got.columns == df.columns and rows_of(got) == [("y", "clean words", 2), ("y", "more", 2), (None, item, 3)] or rows_of(got) == sorted([("y", "clean words", 2), (None, item, 3), ("y", "more", 2)], key=str)
+    assert decontam.clean(df.limit(0), tests).count() == 0 and decontam.contamination(df.limit(0), tests).count() == 0
+
+
+@pytest.mark.parametrize("block", [4 << 20, 40])
+def test_matches(spark, block, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+    tests = [(1, "a b c"), (2, "b c a b c"), (3, "q")]
+    docs = [(10, "A b, c x b c"), (11, "b z c"), (12, "c c c"), (13, None)]
+    t, d = spark.createDataFrame(tests, "item_id long, text string"), spark.createDataFrame(docs, TEXT)
+    for slop in (0, 1):
+        want = set()
+        for i, x in docs:
+            w = words(lower(x).replace(",", " "))
+            for item, y in tests:
+                v = y.split()
+                k = min(3, len(v))
+                for p in range(len(v) - k + 1):
+                    for q in range(-1, len(w)):
+                        at = [any(0 <= q + j + e < len(w) and w[q + j + e] == v[p + j] for e in range(-slop, slop + 1)) for j in range(k)]
+                        exact = 0 <= q and q + k <= len(w) and w[q : q + k] == v[p : p + k]
+                        if all(at) and 0 <= q and q + k <= len(w):
+                            want.add((i, str(item), q, p, k, exact))
+        got = {tuple(r) for r in decontam.matches(d, t, window=3, slop=slop).collect()}
+        assert got == want, slop
+
+
 def test_contamination_without_tests(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert rows_of(decontam.contamination(spark.createDataFrame([(1, "a b")], TEXT), none))[0][:5] == (1, 2, 0, 0, hashlib.sha256(b"").hexdigest())
