@@ -4,21 +4,25 @@ Lines are the parts of a text between line feeds. Lines of MIN_CHARS characters
 at most EDITS; shorter ones only if they are equal. Classes are the connected components of links; the first line of a class
 (least id, then least line number) stays and the others go.
 
-1. Equal lines are one: combined before they are shuffled, with their first place and count.
+1. Equal lines are one: combined before they are shuffled, with their first place and count. They are known by 128 bits of
+   hash, and numbered.
 2. A line is cut into EDITS + 1 segments whose lengths differ by one at most. Within EDITS edits one of them stands unchanged,
    so each distinct line enters the index once a segment, under a hash of (its length, the segment's number, the segment),
    and probes for every length that is at most EDITS less the substrings at places where, segment by segment, no more edits
    can have come before or after than are left.
 3. Only hashes under which two lines meet are kept; which ones is found by a first and last id for each, and a bitmap of fixed
-   size spares the other rows, which are kept as two numbers each, a second shuffle. The lines of a small bucket are joined in pairs; a large bucket is laid out in
-   blocks of about BLOCK lines, and pairs are compared between blocks without becoming rows.
-4. Pairs are screened by the built-in distance with its threshold, and verified by a banded bit-parallel distance: a column of
-   the matrix inside the band is two bit vectors that one character changes by and, or, add and shift. What both lines begin
-   or end with is left out of it. Pairs are dealt out evenly first, however few bytes they are.
+   size spares the other rows, which are kept as a few numbers each, a second shuffle. The lines of a small bucket are joined
+   in pairs; a large bucket is laid out in blocks of about BLOCK lines, and pairs are compared between blocks without becoming
+   rows. Of two lines the shorter one (of equal length that with the lesser number) is the indexed one, and the pair is compared
+   under its first segment that the other line holds in reach, so once.
+4. Pairs are verified by a banded bit-parallel distance: a column of the matrix inside the band is two bit vectors that one
+   character changes by and, or, add and shift. What both lines begin or end with is left out of it, and it is given up once
+   the distance can no longer come back to EDITS.
 
 Defined results: a null text has no lines; an empty one has one empty line; empty lines are lines like any other. Rows that
 repeat an id are one document with the lines of all; lines that stand at equal places of them are kept or go alike. The place
-of a null id is before all others.
+of a null id is before all others. Ids may be of any type that has an order; other columns are ignored, whatever their names. A
+very long line is cut like any other; it costs its length once a probe.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from .components import components
 
 EDITS, MIN_CHARS = 2, 30
 #: Lines of a bucket up to which its pairs are rows of a join, and lines of a block of a larger one.
-SMALL, BLOCK = 32, 64
+SMALL, BLOCK = 32, 256
 
 
 def _let(value: Column, then) -> Column:
@@ -50,7 +54,9 @@ def bounded_distance(a: Column, b: Column, most: int = EDITS) -> Column:
     """The edit distance of two strings if it is at most `most`, else some larger number, by bit vectors along a band.
 
     Bit k of a vector stands for row i + most + 1 - width + k of column i. The distance is followed down the band's last
-    diagonal until the last row, and then along that row. The first string must have `most` characters or more.
+    diagonal, along which it never falls, until the last row, and then along that row for 2 * most columns at most, in each of
+    which it falls by one at most: beyond 3 * most there is nothing more to find out. The first string must have `most` characters
+    or more.
     """
     width = 2 * most + 2
     full, diagonal = (1 << width) - 1, 1 << (width - 1)
@@ -84,9 +90,12 @@ def bounded_distance(a: Column, b: Column, most: int = EDITS) -> Column:
 
             return _let(eq, with_x)
 
+        def guarded(acc: Column, i: Column) -> Column:
+            return F.when(acc["d"] > 3 * most, acc).otherwise(step(acc, i))
+
         start = F.struct(lit(full & ~((1 << (width - most - 1)) - 1)).alias("vp"), lit(0).alias("vn"), F.lit(most).cast("int").alias("d"), lit(diagonal >> 1).alias("row"))
         steps = F.when(F.size(t) > 0, F.sequence(F.lit(0), F.size(t) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(steps, start, step)["d"]
+        return F.aggregate(steps, start, guarded)["d"]
 
     def middles(x: Column, y: Column) -> Column:  # the same few characters before both, so that neither is too short
         return _let(F.split(F.concat(F.lit("-" * most), x), ""), lambda s: _let(F.split(F.concat(F.lit("-" * most), y), ""), lambda t: distance(s, t)))
@@ -102,16 +111,38 @@ def _probes(edits: int) -> Column:
     return F.array(*[F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(d).alias("d")) for less, i, d in out])
 
 
+def _segment(n: Column, i: Column, parts: int) -> tuple[Column, Column]:
+    """(place, length) of segment i of a line of n characters; the segments from the number parts - n % parts on are longer by one."""
+    size, short = F.floor(n / parts).cast("int"), F.lit(parts) - n % parts
+    return (F.lit(1) + size * i + F.greatest(i - short, F.lit(0))).cast("int"), (size + F.when(i >= short, 1).otherwise(0)).cast("int")
+
+
+def _bits(edits: int) -> int:
+    """Low bits of a key that hold the segment's number."""
+    return edits.bit_length()
+
+
 def _keys(long: DataFrame, edits: int, shortest: int) -> DataFrame:
-    """(id, key, own) of lines(id, line, len): a hash of (length, segment's number, segment) for every probe."""
-    parts, n, i = edits + 1, F.col("n"), F.col("c.i")
+    """(id, len, key, own) of lines(id, line, len): a hash of (length, segment's number, segment) for every probe."""
+    n, i, mask = F.col("n"), F.col("c.i"), (1 << _bits(edits)) - 1
     rows = long.select("id", "line", "len", F.explode(_probes(edits)).alias("c")).withColumn("n", F.col("len") - F.col("c.less"))
-    rows = rows.withColumn("size", F.expr(f"cast(n div {parts} AS int)")).withColumn("short", F.lit(parts) - n % parts)
-    # the segments from the number `short` on are longer by one
-    rows = rows.withColumn("at", (F.lit(1) + F.col("size") * i + F.greatest(i - F.col("short"), F.lit(0)) + F.col("c.d")).cast("int"))
-    rows = rows.withColumn("size", F.col("size") + F.when(i >= F.col("short"), 1).otherwise(0))
-    rows = rows.filter((n >= shortest) & (F.col("at") >= 1) & (F.col("at") + F.col("size") - 1 <= F.col("len")))
-    return rows.select("id", F.xxhash64(n, i, F.col("line").substr(F.col("at"), F.col("size"))).alias("key"), ((F.col("c.less") == 0) & (F.col("c.d") == 0)).alias("own"))
+    at, size = _segment(n, i, edits + 1)
+    rows = rows.withColumn("at", at + F.col("c.d")).withColumn("size", size).filter((n >= shortest) & (F.col("at") >= 1) & (F.col("at") + F.col("size") - 1 <= F.col("len")))
+    key = F.xxhash64(n, i, F.col("line").substr(F.col("at"), F.col("size"))).bitwiseAND(F.lit(~mask).cast("long")).bitwiseOR(i.cast("long"))
+    return rows.select("id", "len", key.alias("key"), ((F.col("c.less") == 0) & (F.col("c.d") == 0)).alias("own"))
+
+
+def _first_segment(s: Column, t: Column, key: Column, edits: int) -> Column:
+    """Whether no segment of s before the key's stands in t where a probe of t would find it."""
+    i = key.bitwiseAND(F.lit((1 << _bits(edits)) - 1).cast("long")).cast("int")
+    n, less, out = F.char_length(s), F.char_length(t) - F.char_length(s), F.lit(True)
+    for k in range(edits):
+        at, size = _segment(n, F.lit(k), edits + 1)
+        low = F.greatest(at + F.greatest(F.lit(-k), less - (edits - k)), F.lit(1))
+        high = F.least(at + F.least(F.lit(k), less + (edits - k)), F.char_length(t) - size + 1)
+        found = (low <= high) & F.contains(F.substring(t, low, size + high - low), F.substring(s, at, size))
+        out = out & ((F.lit(k) >= i) | ~found)
+    return out
 
 
 def _among(df: DataFrame, col: str, ids: DataFrame, id_col: str) -> DataFrame:
@@ -120,57 +151,58 @@ def _among(df: DataFrame, col: str, ids: DataFrame, id_col: str) -> DataFrame:
 
 
 def distinct_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(places, lines): (doc, pos, id) of every line; (id, line, n, first, len) of every distinct one, id a hash of it."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("pos", "line")).withColumn("id", F.xxhash64("line"))
-    lines = stash(rows.groupBy("id").agg(F.min("line").alias("line"), F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("first")).withColumn("len", F.char_length("line")), "lines")
-    return rows.select("doc", "pos", "id"), lines
+    """(places, lines): (doc, pos, h1, h2) of every line; (id, h1, h2, line, n, first, len) of every distinct one, id a number."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("pos", "line"))
+    rows = rows.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
+    lines = rows.groupBy("h1", "h2").agg(F.min("line").alias("line"), F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("first"))
+    lines = lines.withColumn("len", F.char_length("line")).withColumn("id", F.monotonically_increasing_id())
+    return rows.select("doc", "pos", "h1", "h2"), stash(lines, "lines")  # numbers stand once they are written
 
 
 def line_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(a, b, distance) of distinct lines(id, line, len) within `edits` of each other, once a pair."""
+    """(a, b, distance) of distinct lines(id, line, len) within `edits` of each other, once a pair; a is the shorter one."""
     long = lines.filter(F.col("len") >= min_chars)
     rows = stash(_keys(long, edits, min_chars), "keys")
     met = stash(rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("key"), "met")
-    again = _among(rows, "key", met, "key").join(met, "key").groupBy("key", "id").agg(F.max("own").alias("own"))
+    again = _among(rows, "key", met, "key").join(met, "key").groupBy("key", "id").agg(F.max("own").alias("own"), F.min("len").alias("len"))
     again = stash(again, "probes")
     drop_stash(rows)
     live = again.join(again.groupBy("key").agg(F.count("*").alias("s"), F.max("own").alias("any")).filter("any").drop("any"), "key")
-    text = stash(_among(long.select("id", "line", "len"), "id", live.select("id"), "id"), "texts")
+    text = stash(_among(long.select("id", "line"), "id", live.select("id"), "id"), "texts")
     small, large = live.filter(F.col("s") <= SMALL), live.filter(F.col("s") > SMALL)
 
     n = 2 * int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = lambda x, y: F.levenshtein(x, y, edits) >= 0
-    pairs = small.filter("own").select("key", F.col("id").alias("x")).join(small.select("key", F.col("id").alias("y")), "key").filter("x <> y")
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pairs = pairs.join(text.select(F.col("id").alias("a"), F.col("line").alias("s")), "a").join(text.select(F.col("id").alias("b"), F.col("line").alias("t")), "b").repartition(n).filter(near(F.col("s"), F.col("t")))
-
-    placed = large.join(text.select("id", "line"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("s") / BLOCK)))
-    blocks = stash(placed.groupBy("key", "block").agg(F.collect_set(F.when(F.col("own"), F.struct("id", "line"))).alias("own"), F.collect_set(F.struct("id", "line")).alias("every")), "blocks")
-    both = blocks.filter(F.size("own") > 0).select("key", "own").join(blocks.select("key", "every"), "key")
-    both = both.repartition(n)
-    hits = F.flatten(F.transform("own", lambda x: F.transform(F.filter("every", lambda y: (x["id"] != y["id"]) & near(x["line"], y["line"])), lambda y: F.struct(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b"), F.when(x["id"] < y["id"], x["line"]).otherwise(y["line"]).alias("s"), F.when(x["id"] < y["id"], y["line"]).otherwise(x["line"]).alias("t")))))
-    inside = both.select(F.explode(hits).alias("p")).select("p.*")
-
-    pairs = pairs.select("a", "b", "s", "t")
-    found = stash(pairs.unionByName(inside).dropDuplicates(["a", "b"]), "near").repartition(n)
-    return found.select("a", "b", bounded_distance(F.col("s"), F.col("t"), edits).alias("distance")).filter(F.col("distance") <= edits)
+    x, y = small.filter("own").select("key", F.col("id").alias("a"), F.col("len").alias("l_a")), small.select("key", F.col("id").alias("b"), F.col("len").alias("l_b"))
+    pairs = x.join(y, "key").filter("l_a < l_b OR l_a = l_b AND a < b").select("key", "a", "b")
+    pairs = pairs.join(text.select(F.col("id").alias("a"), F.col("line").alias("s")), "a").join(text.select(F.col("id").alias("b"), F.col("line").alias("t")), "b")
+    pairs = pairs.filter(_first_segment(F.col("s"), F.col("t"), F.col("key"), edits)).repartition(n)  # dealt out evenly, however few bytes they are
+    pairs = pairs.select("a", "b", bounded_distance(F.col("s"), F.col("t"), edits).alias("distance"))
+
+    placed = large.join(text, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("s") / BLOCK)))
+    blocks = stash(placed.groupBy("key", "block").agg(F.collect_list(F.when(F.col("own"), F.struct("id", "line", "len"))).alias("own"), F.collect_list(F.struct("id", "line", "len")).alias("every")), "blocks")
+    both = blocks.filter(F.size("own") > 0).select("key", "own").join(blocks.select("key", "every"), "key").repartition(n)
+    indexed = lambda p, q: (p["len"] < q["len"]) | ((p["len"] == q["len"]) & (p["id"] < q["id"]))
+    far = lambda p, q: F.when(indexed(p, q) & _first_segment(p["line"], q["line"], F.col("key"), edits), bounded_distance(p["line"], q["line"], edits))
+    of = lambda p: F.filter(F.transform("every", lambda q: F.struct(p["id"].alias("a"), q["id"].alias("b"), far(p, q).alias("distance"))), lambda r: r["distance"] <= edits)
+    inside = both.select(F.explode(F.flatten(F.transform("own", of))).alias("p")).select("p.*")
+    return pairs.filter(F.col("distance") <= edits).unionByName(inside)
 
 
 def near_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc, pos, id, class, links, equal, near) of every line: its class, the links of its distinct line, and whether it goes
-    because it is equal to an earlier line or because an earlier line of its class is near."""
+    """(doc, pos, class, links, equal, near) of every line: the first place of its class, the links of its distinct line, and whether
+    it goes because it is equal to an earlier line or because an earlier line of its class is near."""
     places, lines = distinct_lines(docs, id_col, text)
     links = stash(line_links(lines, edits, min_chars), "links")
     comp = stash(components(links.select("a", "b")), "comp", True)
-    degree = links.select("a", "b").select(F.explode(F.array("a", "b")).alias("d_id")).groupBy("d_id").agg(F.count("*").alias("links"))
-    linked = lines.select("id", "n", "first").join(comp.withColumnRenamed("id", "c_id"), F.col("id") == F.col("c_id"), "left").join(degree, F.col("id") == F.col("d_id"), "left")
+    degree = links.select(F.explode(F.array("a", "b")).alias("d_id")).groupBy("d_id").agg(F.count("*").alias("links"))
+    linked = lines.select("id", "h1", "h2", "n", "first").join(comp.withColumnRenamed("id", "c_id"), F.col("id") == F.col("c_id"), "left").join(degree, F.col("id") == F.col("d_id"), "left")
     head = linked.filter("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("head"))
-    named = linked.drop("c_id", "d_id").filter("n > 1 OR component IS NOT NULL").join(head, "component", "left")
-    named = stash(named.select(F.col("id").alias("l_id"), "first", F.coalesce("head", "first").alias("head"), F.coalesce("component", "id").alias("class"), F.coalesce("links", F.lit(0)).alias("links")), "named")
-    out = places.join(named, F.col("id") == F.col("l_id"), "left")
+    named = linked.filter("n > 1 OR component IS NOT NULL").join(head, "component", "left")  # other lines stand alone
+    named = stash(named.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first", F.coalesce("head", "first").alias("head"), F.coalesce("links", F.lit(0)).alias("links")), "named")
+    out = places.join(named, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
     here = F.struct("doc", "pos")
     other = lambda x: F.coalesce(~here.eqNullSafe(F.col(x)), F.lit(False)) & F.col(x).isNotNull()
-    return out.select("doc", "pos", "id", F.coalesce("class", "id").alias("class"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), other("first").alias("equal"), (~other("first") & other("head")).alias("near"))
+    return out.select("doc", "pos", F.coalesce("head", here).alias("class"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), other("first").alias("equal"), (~other("first") & other("head")).alias("near"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:

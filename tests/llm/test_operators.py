@@ -317,6 +317,19 @@ def test_bounded_distance(spark):
     assert all((min(r.d, 3) == min(edit(r.a, r.b), 3)) for r in got)
 
 
+@pytest.mark.parametrize("small,edits,least", [(32, 2, 0), (1, 2, 3), (1, 1, 1)])
+def test_links_of_short_lines(spark, small, edits, least, monkeypatch):
+    monkeypatch.setattr(linededup, "SMALL", small)
+    monkeypatch.setattr(linededup, "BLOCK", 16)
+    rng = random.Random(edits)
+    lines = sorted({"".join(rng.choice("aab") for _ in range(rng.randint(0, 9))) for _ in range(70)} | {"é", "éa", ""})
+    want = {tuple(sorted((a, b))) for a, b in combinations(lines, 2) if min(len(a), len(b)) >= least and edit(a, b) <= edits}
+    _, distinct = linededup.distinct_lines(spark.createDataFrame([(1, "\n".join(lines))], TEXT))
+    text = {r.id: r.line for r in distinct.collect()}
+    got = [(text[r.a], text[r.b], r.distance) for r in linededup.line_links(distinct, edits, least).collect()]
+    assert len(got) == len(want) and {tuple(sorted(x[:2])) for x in got} == want and all(d == edit(a, b) for a, b, d in got)
+
+
 @pytest.mark.parametrize("small", [32, 1])
 def test_line_dedup(spark, small, monkeypatch):
     monkeypatch.setattr(linededup, "SMALL", small)
