@@ -15,7 +15,8 @@ at most EDITS; shorter ones only if they are equal. Classes are the connected co
    in pairs; a large bucket is laid out in blocks of about BLOCK lines, and pairs are compared between blocks without becoming
    rows. Of two lines the shorter one (of equal length that with the lesser number) is the indexed one, and the pair is compared
    under its first segment that the other line holds in reach, so once.
-4. Pairs are verified by a banded bit-parallel distance: a column of the matrix inside the band is two bit vectors that one
+4. Twice as many pieces as segments must stand in reach of their places, but for one an edit. Pairs that pass are verified by a
+   banded bit-parallel distance: a column of the matrix inside the band is two bit vectors that one
    character changes by and, or, add and shift. What both lines begin or end with is left out of it, and it is given up once
    the distance can no longer come back to EDITS.
 
@@ -145,6 +146,16 @@ def _first_segment(s: Column, t: Column, key: Column, edits: int) -> Column:
     return out
 
 
+def _enough_pieces(s: Column, t: Column, edits: int) -> Column:
+    """Whether all but `edits` of twice as many pieces as segments stand in t within reach of their places: an edit spoils one piece."""
+    pieces, found = 2 * (edits + 1), F.lit(0)
+    for k in range(pieces):
+        at, size = _segment(F.char_length(s), F.lit(k), pieces)
+        low = F.greatest(at - edits, F.lit(1))
+        found = found + F.contains(F.substring(t, low, at + size + edits - low), F.substring(s, at, size)).cast("int")
+    return found >= pieces - edits
+
+
 def _among(df: DataFrame, col: str, ids: DataFrame, id_col: str) -> DataFrame:
     """The rows whose id shares a bit with one of ids: a bitmap of FILTER_BITS bits is broadcast, 64 of them a row."""
     return filter_flag(df, col, filter_words(ids, id_col), "_in").filter("_in").drop("_in")
@@ -175,16 +186,17 @@ def line_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     x, y = small.filter("own").select("key", F.col("id").alias("a"), F.col("len").alias("l_a")), small.select("key", F.col("id").alias("b"), F.col("len").alias("l_b"))
     pairs = x.join(y, "key").filter("l_a < l_b OR l_a = l_b AND a < b").select("key", "a", "b")
     pairs = pairs.join(text.select(F.col("id").alias("a"), F.col("line").alias("s")), "a").join(text.select(F.col("id").alias("b"), F.col("line").alias("t")), "b")
-    pairs = pairs.filter(_first_segment(F.col("s"), F.col("t"), F.col("key"), edits)).repartition(n)  # dealt out evenly, however few bytes they are
-    pairs = pairs.select("a", "b", bounded_distance(F.col("s"), F.col("t"), edits).alias("distance"))
+    pairs = pairs.filter(_enough_pieces(F.col("s"), F.col("t"), edits)).filter(_first_segment(F.col("s"), F.col("t"), F.col("key"), edits))
+    # dealt out evenly, however few bytes they are; the planner does not take an exploded value before that, nor twice
+    pairs = pairs.repartition(n).select("a", "b", F.explode_outer(F.array(bounded_distance(F.col("s"), F.col("t"), edits))).alias("distance"))
 
     placed = large.join(text, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("s") / BLOCK)))
     blocks = stash(placed.groupBy("key", "block").agg(F.collect_list(F.when(F.col("own"), F.struct("id", "line", "len"))).alias("own"), F.collect_list(F.struct("id", "line", "len")).alias("every")), "blocks")
     both = blocks.filter(F.size("own") > 0).select("key", "own").join(blocks.select("key", "every"), "key").repartition(n)
     indexed = lambda p, q: (p["len"] < q["len"]) | ((p["len"] == q["len"]) & (p["id"] < q["id"]))
-    far = lambda p, q: F.when(indexed(p, q) & _first_segment(p["line"], q["line"], F.col("key"), edits), bounded_distance(p["line"], q["line"], edits))
+    far = lambda p, q: F.when(indexed(p, q) & _enough_pieces(p["line"], q["line"], edits) & _first_segment(p["line"], q["line"], F.col("key"), edits), bounded_distance(p["line"], q["line"], edits))
     of = lambda p: F.filter(F.transform("every", lambda q: F.struct(p["id"].alias("a"), q["id"].alias("b"), far(p, q).alias("distance"))), lambda r: r["distance"] <= edits)
-    inside = both.select(F.explode(F.flatten(F.transform("own", of))).alias("p")).select("p.*")
+    inside = both.select(F.explode_outer(F.flatten(F.transform("own", of))).alias("p")).filter("p IS NOT NULL").select("p.*")
     return pairs.filter(F.col("distance") <= edits).unionByName(inside)
 
 
