@@ -3,13 +3,15 @@ of the spans that repeat.
 
 The suffix array is built by prefix doubling for a slice of texts at once: the text's number stands in the highest part of
 every rank, so suffixes meet only suffixes of their own text, and after the first rounds only the suffixes still tied are
-sorted again. From the ranks of each round follow the longest common prefixes of neighbours; an interval of suffixes that
+sorted again. From the groups of each round follow the longest common prefixes of neighbours (in texts that repeat so much that
+the groups would take more than LEVEL_WORDS times their words, from the text, word by word); an interval of suffixes that
 share a prefix of k words is a repeated substring, the maximal one where neither side can be extended. The longest repeat
 at a position is the larger of its two neighbouring LCP values, and the union of all spans [i, i + longest(i)) with
 longest(i) >= min_repeat is the text's repeated part.
 
 Defined results: a null or empty text has no words, zero counts, base_failed true. Repeated rows give repeated results.
-Columns of the input other than the text's pass through `quality_filter` unchanged whatever their names.
+A very long text is a slice of its own; memory is about a dozen numbers a word. Columns of the input pass through
+`quality_filter` unchanged whatever their names; `with_facts` replaces those that have the names of its own.
 """
 
 from __future__ import annotations
@@ -42,54 +44,92 @@ def longest_repeats(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     out = np.zeros(n, np.int64)
     if n == 0:
         return out
+    kind = np.int32 if n < 1 << 31 else np.int64
     counts = np.diff(first)
-    owner, end = np.repeat(np.arange(len(counts)), counts), np.repeat(first[1:], counts)
+    owner, end = np.repeat(np.arange(len(counts), dtype=kind), counts), np.repeat(first[1:], counts).astype(kind)
+    words, code = np.unique(h, return_inverse=True)
     # rank: the place in the suffix array where the group of suffixes begins that share the first k words
-    order = np.lexsort((h, owner))
-    fresh = np.ones(n, bool)
-    fresh[1:] = (owner[order][1:] != owner[order][:-1]) | (h[order][1:] != h[order][:-1])
-    heads = np.flatnonzero(fresh)
-    sizes = np.diff(np.append(heads, n))
-    rank = np.empty(n, np.int64)
-    rank[order] = np.repeat(heads, sizes)
-    tied, k = order[np.repeat(sizes > 1, sizes)], 1
-    levels = [(1, rank.copy())]
+    tied, rank, k = np.arange(n, dtype=kind), np.zeros(n, kind), 1
+    tied = _split(tied, rank, owner.astype(np.int64) * len(words) + code, np.zeros(n, kind))
+    levels: list[tuple[int, np.ndarray, np.ndarray]] | None = [(1, tied, rank[tied])]
+    held = len(tied)
     while len(tied):
-        then = tied + k
+        then = tied + kind(k)
         second = np.where(then < end[tied], rank[np.minimum(then, n - 1)] + 1, 0)
-        by = np.lexsort((second, rank[tied]))
-        tied, second = tied[by], second[by]
-        old = rank[tied]
-        here = np.arange(len(tied))
-        begins = np.ones(len(tied), bool)
-        begins[1:] = old[1:] != old[:-1]
-        fresh = begins.copy()
-        fresh[1:] |= second[1:] != second[:-1]
-        place = old + here - np.maximum.accumulate(np.where(begins, here, 0))
-        rank[tied] = place[np.maximum.accumulate(np.where(fresh, here, 0))]
-        sizes = np.diff(np.append(np.flatnonzero(fresh), len(tied)))
-        tied, k = tied[np.repeat(sizes > 1, sizes)], 2 * k
-        levels.append((k, rank.copy()))
-    # rank is a permutation now; the LCP of neighbours is the sum of the levels at which both still agree
-    sa = np.empty(n, np.int64)
-    sa[rank] = np.arange(n)
-    same = np.flatnonzero(owner[sa[:-1]] == owner[sa[1:]])
-    a, b = sa[same], sa[same + 1]
-    end_a, end_b = end[a], end[b]
-    lcp = np.zeros(n - 1, np.int64)
-    for k, r in reversed(levels):
-        at = np.flatnonzero((a + k <= end_a) & (b + k <= end_b))
-        at = at[r[a[at]] == r[b[at]]]
-        lcp[same[at]] += k
-        a[at] += k
-        b[at] += k
-    best = np.zeros(n, np.int64)
+        tied = _split(tied, rank, rank[tied].astype(np.int64) * (n + 1) + second, rank[tied])
+        k, held = 2 * k, held + len(tied)
+        if levels is not None and held > LEVEL_WORDS * n:
+            levels = None
+        if levels is not None:
+            levels.append((k, tied, rank[tied]))
+    # rank is a permutation now
+    sa = np.empty(n, kind)
+    sa[rank] = np.arange(n, dtype=kind)
+    same = owner[sa[:-1]] == owner[sa[1:]]
+    del owner
+    lcp = _by_levels(sa, same, end, levels) if levels is not None else _one_by_one(sa, rank, same, end, code.astype(kind))
+    best = np.zeros(n, kind)
     best[:-1] = lcp
     best[1:] = np.maximum(best[1:], lcp)
     out[sa] = best
     return out
 
 
+#: Words, in multiples of a slice's, whose groups are kept for the longest common prefixes; texts that repeat more are read word by word.
+LEVEL_WORDS = 4
+
+
+def _split(tied: np.ndarray, rank: np.ndarray, key: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Sort suffixes by key and give them their new ranks; those that are still tied. `begins`: where the group of each begins."""
+    by = np.argsort(key, kind="stable")
+    tied, key, begins = tied[by], key[by], begins[by]
+    del by
+    here = np.arange(len(tied), dtype=rank.dtype)
+    fresh = np.ones(len(tied), bool)
+    fresh[1:] = key[1:] != key[:-1]
+    group = np.ones(len(tied), bool)
+    group[1:] = begins[1:] != begins[:-1]
+    place = begins + here - np.maximum.accumulate(np.where(group, here, 0))
+    rank[tied] = place[np.maximum.accumulate(np.where(fresh, here, 0))]
+    sizes = np.diff(np.append(np.flatnonzero(fresh), len(tied)))
+    return tied[np.repeat(sizes > 1, sizes)]
+
+
+def _by_levels(sa: np.ndarray, same: np.ndarray, end: np.ndarray, levels: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Longest common prefixes of neighbours: the sum of the levels at which both still agree."""
+    at_ = np.flatnonzero(same)
+    a, b = sa[at_].copy(), sa[at_ + 1].copy()
+    lcp, group = np.zeros(len(sa) - 1, sa.dtype), np.full(len(sa), -1, sa.dtype)
+    end_a, end_b = end[a], end[b]
+    for k, tied, rank in reversed(levels):
+        group[tied] = rank
+        at = np.flatnonzero((a + k <= end_a) & (b + k <= end_b))
+        at = at[(group[a[at]] >= 0) & (group[a[at]] == group[b[at]])]
+        lcp[at_[at]] += k
+        a[at] += k
+        b[at] += k
+        group[tied] = -1
+    return lcp
+
+
+def _one_by_one(sa: np.ndarray, rank: np.ndarray, same: np.ndarray, end: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The same in the order of the text: the prefix shared with the next suffix of the array shrinks by one word a step at most."""
+    lcp = np.zeros(len(sa) - 1, sa.dtype)
+    s, r, ok, e, c, out, have = memoryview(sa), memoryview(rank), memoryview(same), memoryview(end), memoryview(code), memoryview(lcp), 0
+    for i in range(len(sa)):
+        at = r[i]
+        if at + 1 == len(sa) or not ok[at]:
+            have = 0
+            continue
+        j = s[at + 1]
+        most = min(e[i] - i, e[j] - j)
+        while have < most and c[i + have] == c[j + have]:
+            have += 1
+        out[at] = have
+        have = max(have - 1, 0)
+    return lcp
+
+
 def _per_text(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
     """How many flags are set from each index of `at` to the next."""
     total = np.zeros(len(flags) + 1, np.int64)
@@ -133,7 +173,9 @@ def facts(texts: pa.Array, min_repeat: int = MIN_REPEAT, max_covered: float = MA
 
 
 def with_facts(df: DataFrame, text: str = "text", prefix: str = "", **limits) -> DataFrame:
-    """df with the columns of FACTS, their names after `prefix`; one pass over the rows, no shuffle."""
+    """df with the columns of FACTS, their names after `prefix`, in place of any that df has; one pass over the rows, no shuffle."""
+    own = {(prefix + x.split()[0]).lower() for x in FACTS.split(", ")}
+    df = df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in own or c == text])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text):
