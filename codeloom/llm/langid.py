@@ -3,11 +3,13 @@
 A linear classifier predicts the language family; within a family one-versus-one linear support vector machines separate its
 languages, and the language that wins the most duels (ties: the larger sum of margins, then the lesser name) is predicted.
 Features are hashed byte trigrams of the lower-cased text, as square roots of their shares, over whole texts. Weights are
-learned by dual coordinate descent on at most SAMPLE_ROWS labelled rows, shared out evenly among the languages; the rows are
-chosen by a hash of their id, their features are made on the executors, and only those come to the driver.
+learned by dual coordinate descent on at most SAMPLE_ROWS labelled rows, shared out evenly among the languages (one row at least;
+with more languages than rows, the most frequent ones); the rows are those with the least hashes of id and text, their features
+are made on the executors, and only those come to the driver.
 
 Defined results: `und` with score 0 for a null text, a text without any letter, and where nothing could be learned. A null id
-is not held out. Extra columns are ignored.
+is not held out. Rows that repeat are predicted alike. A very long text is read whole, as a slice of its own. Extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,13 +21,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, map_arrow, slices, text_bytes
 
-#: Rows and languages that are learned from at most, and trigram buckets.
-SAMPLE_ROWS, MOST_LANGUAGES, BUCKETS = 3000, 200, 4096
+#: Rows that are learned from at most, and trigram buckets.
+SAMPLE_ROWS, BUCKETS = 3000, 4096
 
 # fixed values: language families by ISO 639-1 code; a language not listed is a family of its own
 FAMILIES = {
@@ -124,7 +126,7 @@ class Model:
                 wins[:, j] += d[:, k] < 0
                 sums[:, i] += d[:, k]
                 sums[:, j] -= d[:, k]
-            best = (wins + 0.49 * np.tanh(sums)).argmax(1)
+            best = (wins * (2 * np.abs(sums).max(1, keepdims=True) + 1) + sums).argmax(1)
             own = np.array([[abs(d[r, k]) for k, p in enumerate(self.duels[f]) if b in p] for r, b in enumerate(best)]).min(1)
             margin[at] = np.minimum(margin[at], own)
             lang[at] = np.array(names, object)[best]
@@ -147,13 +149,17 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     """A model of the languages of rows that are not held out, from a sample of `rows` of them; None without any."""
     known = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("lang"))
     known = known.filter(F.col("lang").isNotNull() & F.col("t").isNotNull() & ~held_out("i"))
-    counts = known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MOST_LANGUAGES).collect()
+    counts = known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(rows).collect()
     if not counts:
         return None
     each = max(rows // len(counts), 1)
-    place = F.pmod(F.xxhash64("i", F.lit("sample")), F.lit(1 << 30))
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1 << 30, int((1 << 30) * each / r["count"]) + 1))) for r in counts])
-    got = map_arrow(known.filter(place < share).select("lang", "t").limit(2 * rows), _feature_rows, "lang string, x binary").toArrow()
+    place = F.pmod(F.xxhash64("i", "t", F.lit("sample")), F.lit(1 << 30))
+    # about twice as many as are wanted, then exactly those with the least hashes
+    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1 << 30, int((1 << 30) * 2 * (each + 20) / r["count"]) + 1))) for r in counts])
+    some = known.select("lang", "t", "i", place.alias("place")).filter(F.col("place") < share)
+    order = Window.partitionBy("lang").orderBy("place", "i", "t")
+    some = some.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= each)
+    got = map_arrow(some.select("lang", "t"), _feature_rows, "lang string, x binary").toArrow()
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, BUCKETS)
     y = np.array(got["lang"].to_pylist(), object)
     by = np.lexsort((x @ np.random.Generator(np.random.PCG64(3)).random(BUCKETS), y.astype(str)))  # the order of rows must not matter

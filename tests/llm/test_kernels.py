@@ -128,6 +128,39 @@ def test_index_search_finds_exact_and_near_places():
     assert found(0) < found(1) and any(p >= 5 and i == "i" for i, p in found(1))
 
 
+def test_votes_of_duels_and_families():
+    rng = np.random.default_rng(11)
+    families = [["de", "en", "nl"], ["es"], ["fr", "it"]]
+    duels = {f: [(i, j) for i in range(len(g)) for j in range(i + 1, len(g))] for f, g in enumerate(families)}
+    m = langid.Model(families, rng.normal(size=(3, langid.BUCKETS + 1)), duels, {f: rng.normal(size=(len(d), langid.BUCKETS + 1)) for f, d in duels.items() if d})
+    x = rng.normal(size=(300, langid.BUCKETS)).astype(np.float32)
+    got, score = m.predict(x)
+    for row, lang in zip(x, got):
+        v = np.append(row, 1.0)
+        f = max(range(3), key=lambda k: float(v @ m.family_w[k]))
+        wins, sums = dict.fromkeys(families[f], 0), dict.fromkeys(families[f], 0.0)
+        for k, (i, j) in enumerate(duels[f]):
+            d = float(v @ m.duel_w[f][k])
+            wins[families[f][i if d >= 0 else j]] += 1
+            sums[families[f][i]] += d
+            sums[families[f][j]] -= d
+        best = max(wins.values())
+        assert wins[lang] == best and sums[lang] >= max(sums[n] for n in wins if wins[n] == best) - 1e-3
+    assert len(set(got)) == 6 and ((0 <= score) & (score <= 1)).all()
+
+
+def test_duel_weights_minimize_the_loss():
+    rng = np.random.default_rng(2)
+    x = rng.random((60, 5)).astype(np.float32)
+    y = np.where(x[:, 0] + 0.3 * rng.normal(size=60) > 0.5, 1.0, -1.0)
+    w, z = langid.support_vector(x, y, rounds=400), np.hstack([x, np.ones((60, 1))])
+    loss = lambda v: 0.5 * v @ v + 10.0 * (np.maximum(0, 1 - y * (z @ v)) ** 2).sum()
+    g = np.zeros(6)  # brute force: plain gradient steps
+    for _ in range(60000):
+        g -= 2e-4 * (g - 20.0 * z.T @ (y * np.maximum(0, 1 - y * (z @ g))))
+    assert loss(w) <= loss(g) * 1.01
+
+
 def test_language_model_separates():
     rng = random.Random(6)
     alpha = {"de": "schunderinge", "en": "thandofwhy", "fr": "ouleaixe", "es": "ciónosar"}
