@@ -13,7 +13,8 @@ stops at REPEATS times its source's words, and what is over goes to the others b
 at which weights are paid is found by summing on the executors; the number of sums is at most that of sources, commonly a few.
 
 Defined results: a null text has size 0; a null source is a source of its own; documents of size 0 are taken with taken 0.
-Rows that repeat an id share its hash and so the decision. A null id has the hash of the empty string. No rows: no rows.
+Rows that repeat an id share its hash and so the decision. A null id has the hash of its text. No rows: no rows. A very long text
+counts whole. Columns of the input pass through `mixed` unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from .common import stash
 
 WEIGHTS, PERCENT, REPEATS = (5, 2, 1), 150, 2
 #: Bits of the hash, and bits that one level of histograms adds.
-HASH_BITS, BITS, FILLS = 60, 10, 2
+HASH_BITS, BITS, FILLS = 60, 15, 2
 
 SIZE = r"regexp_count({}, '[^\\x20\\x09-\\x0D]+')"
 
@@ -35,9 +36,14 @@ def size_of(text: str) -> Column:
     return F.coalesce(F.expr(SIZE.format(text)), F.lit(0)).cast("long")
 
 
-def hash_of(col: str) -> Column:
-    """60 bits of the MD5 of an id; DuckDB computes the same."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
+def hash_of(col: str, text: str) -> Column:
+    """60 bits of the MD5 of an id, or of the text without one; DuckDB computes the same."""
+    return F.conv(F.substring(F.md5(F.coalesce(F.col(col).cast("string"), F.col(text), F.lit("")).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+def name_of(col: str) -> Column:
+    """A source's name as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(col).cast("string")), F.lit(""))
 
 
 def ranked(sources: DataFrame) -> DataFrame:
@@ -103,16 +109,16 @@ def _threshold(docs: DataFrame, budgets: DataFrame) -> DataFrame:
 
 
 def _sizes(df: DataFrame, source: str, text: str, id_col: str) -> DataFrame:
-    return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source}`").alias("source"), size_of(f"`{text}`").alias("size"), hash_of(f"`{id_col}`").alias("h"))
+    return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source}`").alias("source"), size_of(f"`{text}`").alias("size"), hash_of(f"`{id_col}`", f"`{text}`").alias("h"))
 
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT, repeats: int = REPEATS) -> DataFrame:
     """A row for each source of docs(id, source, size, h): target, how often it is taken whole, and the thresholds."""
     sums = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rows = targets(sums, weights, percent, repeats).withColumn("s", F.xxhash64("source", F.col("source").isNull()))
+    rows = targets(sums, weights, percent, repeats).withColumn("s", name_of("source"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rows = stash(rows.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "plan", True)
-    left = docs.withColumn("s", F.xxhash64("source", F.col("source").isNull())).filter("size > 0").select("s", "h", "size")
+    left = docs.withColumn("s", name_of("source")).filter("size > 0").select("s", "h", "size")
     cuts, budget = None, rows.filter("source_size > 0").select("s", "budget")
     for step in range(FILLS + 1):
         t = stash(_threshold(left, budget), "cuts", True)
@@ -154,6 +160,6 @@ def mixed(df: DataFrame, source: str = "source", text: str = "text", id_col: str
     while any(c.lower().startswith(p) for c in df.columns):
         p = "_" + p
     every, own = every.select([F.col(c).alias(p + c) for c in every.columns]), [F.col(f"`{c}`") for c in df.columns]
-    rows = df.select(*own, size_of(f"`{text}`").alias(p + "size"), hash_of(f"`{id_col}`").alias(p + "h"))
+    rows = df.select(*own, size_of(f"`{text}`").alias(p + "size"), hash_of(f"`{id_col}`", f"`{text}`").alias(p + "h"))
     rows = rows.join(every, F.col(f"`{source}`").eqNullSafe(F.col(p + "source"))).withColumn(p + "copies", _copies(p)).filter(F.col(p + "copies") > 0)
     return rows.select(*own, F.explode(F.sequence(F.lit(1), F.col(p + "copies"))).alias(p + "copy")).select(own)

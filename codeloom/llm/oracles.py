@@ -9,7 +9,7 @@ f{k} AS (SELECT *, cum <= was AS fits FROM s{k}),
 g{k} AS (SELECT p.source, p.gap - coalesce(sum(f.size) FILTER (f.fits), 0) AS gap, arg_min(f.size, f.h) FILTER (NOT f.fits) AS edge, min(f.h) FILTER (NOT f.fits) AS cut FROM {gaps} p LEFT JOIN f{k} f ON f.source IS NOT DISTINCT FROM p.source GROUP BY p.source, p.gap),
 l{k} AS (SELECT id, source, h, size FROM f{k} WHERE NOT fits)"""
 
-OP1 = rf"""WITH docs AS (SELECT doc_id AS id, source, len(regexp_extract_all(coalesce(text, ''), '{SPACED}')) AS size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+OP1 = rf"""WITH docs AS (SELECT doc_id AS id, source, len(regexp_extract_all(coalesce(text, ''), '{SPACED}')) AS size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 15))::BIGINT AS h FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][1 + (row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1) % 3] AS w FROM docs GROUP BY source),
 o AS (SELECT *, 200 * source_size AS cap, coalesce(sum(200 * source_size) OVER u, 0) AS paid, sum(w) OVER () - coalesce(sum(w) OVER u, 0) AS heavy, 150 * sum(source_size) OVER () AS total FROM src WINDOW u AS (ORDER BY 200.0 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 lvl AS (SELECT paid, heavy, total FROM o WHERE w * (total - paid) < cap * heavy ORDER BY paid LIMIT 1),
