@@ -15,11 +15,13 @@ no pair is frequent enough; pairs never hold the end id, so a document starts at
 lengths tell how far any symbol reaches.
 
 Texts are cut at ASCII white space into words that the tokenizer encodes independently (its normalizer, pre-tokenizer and
-special strings never reach over white space), and a worker remembers the ids of words. Documents are dealt to parts by ranges
-of their ids, so a part is bounded by its range and written by one task in pieces; ids that are equal stay in one part.
+special strings never reach over white space), and a worker remembers the ids of words; for a tokenizer of which that is not
+known to hold, whole texts go to the library. Documents are dealt to parts by ranges of their ids, so a part is bounded by its
+range and written by one task in pieces; an id that many rows share is dealt on by ranges of a checksum of its token ids.
 
-Defined results: a null or empty text is the end id alone; rows that repeat an id follow one another in an order of their ids'
-bytes; null ids come first. Extra columns are not written.
+Defined results: a null or empty text is the end id alone; rows that repeat an id follow one another in the order of the CRC-32
+of their token ids, then of these; null ids come first. Ids must be whole numbers or texts of such. A very long text is a slice
+of its own, and may make a longer shard. Extra columns are not written, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,8 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, map_arrow, new_path, slices, text_bytes, word_hashes, word_spans
 
-#: Ids of a shard; the rounds of replacement, the pairs that one round replaces at most, and how often a pair must occur.
-SHARD_IDS, ROUNDS, ROUND_RULES, OFTEN = 400_000, 5, 8192, 4
+#: Ids of a shard; the pairs that one round replaces at most, and how often a pair must occur.
+SHARD_IDS, ROUND_RULES, OFTEN = 400_000, 8192, 4
 END, NULL_ID = 2, -(1 << 63)
 REMEMBERED = 2_000_000
 
@@ -60,6 +62,11 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.vocab = self.tok.get_vocab_size(with_added_tokens=True)
         self._forget()
+        self.by_words = True
+        self.by_words = all(self.encode(pa.array([t]))[0][:-1].tolist() == self.tok.encode(t, add_special_tokens=False).ids for t in self.PROBES)
+
+    #: Texts that a tokenizer must encode as their words, else it gets whole texts: cases, cuts, spaces, signs, other scripts.
+    PROBES = ["Ab aB. cd,Ef  gh\tij\r\nkl", "x.y z!? don't we've I'LL 3.14 1,000", " lead and trail ", "a\u00a0b\u3000c\u200bd", "ÀÉß ĳ İI Σς", "中文 字。あい", "#tag <b> a|b <|x|> _u_ --- ...", "é e\u0301 ﬁ ½"]
 
     def _forget(self) -> None:
         self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -79,6 +86,9 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with END, one after another; the end of each text)."""
+        if not self.by_words:
+            got = [[*self.tok.encode(t or "", add_special_tokens=False).ids, END] for t in texts.to_pylist()]
+            return np.array([i for ids in got for i in ids], np.uint32), np.cumsum([len(x) for x in got])
         buf, offs = text_bytes(texts)
         if not ((buf[:-1] == ord("<")) & (buf[1:] == ord("|"))).any():
             buf = LOWER[buf]
@@ -108,12 +118,11 @@ def _spread(keys: np.ndarray) -> np.ndarray:
     return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(47)).astype(np.int64)
 
 
-def compress(ids: np.ndarray, vocab: int, rounds: int = ROUNDS, most: int = ROUND_RULES, often: int = OFTEN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rules, lengths, body): each round makes rules of the most frequent pairs and replaces them from left to right."""
+def compress(ids: np.ndarray, vocab: int, most: int = ROUND_RULES, often: int = OFTEN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rules, lengths, body): each round makes rules of the most frequent pairs and replaces them from left to right, until no pair
+    occurs `often` times."""
     body, rules, size = ids.astype(np.uint64), [np.zeros((0, 2), np.uint32)], np.ones(vocab, np.int64)
-    for _ in range(rounds):
-        if len(body) < 2:
-            break
+    while len(body) > 1:
         keys = (body[:-1] << np.uint64(32)) | body[1:]
         inner = (body[:-1] != END) & (body[1:] != END)
         s = np.sort(keys[inner])
@@ -181,6 +190,14 @@ def expand(body: np.ndarray, rules: np.ndarray, lengths: np.ndarray, vocab: int)
     return out
 
 
+def part_of(bounds: np.ndarray, doc: np.ndarray, crc: np.ndarray) -> np.ndarray:
+    """The part of each document. A bound that is repeated stands for an id that fills several parts; its rows are dealt to them by
+    their checksums, and those of equal checksums, in any order, stay together."""
+    low, high = (np.searchsorted(bounds, doc.astype(np.float64), side) for side in ("left", "right"))
+    spread = low + ((high - low + 1) * crc >> 32)
+    return np.where(high - low > 1, spread, high).astype(np.int32)
+
+
 SHARD = "part int, seq int, base long, n_ids long, docs binary, starts binary, sizes binary, rules binary, lengths binary, body binary, wide boolean"
 
 
@@ -189,7 +206,8 @@ def write(df: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text
     spark = df.sparkSession
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text}`").alias("t"))
-    bounds = np.array(sorted(set(rows.approxQuantile("i", [k / parts for k in range(1, parts)], 1 / (4 * parts)))), np.float64)
+    every = rows.select(F.coalesce("i", F.lit(NULL_ID)).alias("i"))
+    bounds = np.array(sorted(every.approxQuantile("i", [k / parts for k in range(1, parts)], 1 / (4 * parts))), np.float64)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
@@ -199,8 +217,9 @@ def write(df: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text
             cuts = np.concatenate([[0], ends])
             ids = ids.astype(kind)
             doc = b.column(0).fill_null(NULL_ID).to_numpy()
-            part = np.searchsorted(bounds, doc.astype(np.float64), "right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(doc), pa.array([ids[x:y].tobytes() for x, y in zip(cuts, cuts[1:])], pa.binary())], names=["part", "i", "ids"])
+            each = [ids[x:y].tobytes() for x, y in zip(cuts, cuts[1:])]
+            crc = np.array([zlib.crc32(x) for x in each], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(part_of(bounds, doc, crc)), pa.array(doc), pa.array(crc), pa.array(each, pa.binary())], names=["part", "i", "crc", "ids"])
 
     vocab = encoder(tokenizer).vocab
 
@@ -231,7 +250,7 @@ def write(df: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text
         if held:
             yield row()
 
-    dealt = map_arrow(rows, tokens, "part int, i long, ids binary").repartition(parts, "part").sortWithinPartitions("part", "i", "ids")
+    dealt = map_arrow(rows, tokens, "part int, i long, crc long, ids binary").repartition(parts, "part").sortWithinPartitions("part", "i", "crc", "ids").drop("crc")
     map_arrow(dealt, shards, SHARD).write.option("compression", "zstd").parquet(path)
 
 
