@@ -176,13 +176,22 @@ def full_sets(df: DataFrame, id_col: str, text: str, wanted: np.ndarray) -> Data
 
 
 def _only(sets: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """The sets of ids that pass a filter, each once."""
+    """The sets of ids that pass a filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array(passes(wanted, b.column(2).to_numpy())))
 
-    return map_arrow(sets, run, SETS).groupBy("hi", "lo").agg(F.first("shingles").alias("shingles"))
+    return map_arrow(sets, run, SETS)
+
+
+def _once(sets: DataFrame) -> DataFrame:
+    """A stashed table of sets without repeats. Only sets that may repeat are shuffled, and the others reach a join as they are, so that
+    a hot one can be split there."""
+    again = filter_words(sets.groupBy("hi", "lo").agg(F.count("*").alias("k")).filter("k > 1").select("hi"), "hi")
+    asked = filter_flag(sets, "hi", again, "again")
+    some = asked.filter("again").groupBy("hi", "lo").agg(F.first("h").alias("h"), F.first("shingles").alias("shingles"))
+    return asked.filter("NOT again").drop("again").unionByName(some)
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +250,7 @@ def class_links(classes: DataFrame, sets_of) -> tuple[DataFrame, DataFrame]:
     shared = bands.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
     live = stash(bands.join(shared, "key"), "live")
     drop_stash(bands)
-    sets = stash(sets_of(id_filter(live.select("c").distinct().join(regs_of.select("c", "id"), "c"), "id")), "sets")
+    sets = _once(stash(sets_of(id_filter(live.select("c").distinct().join(regs_of.select("c", "id"), "c"), "id")), "sets"))
     least = live.groupBy("key").agg(F.min("c").alias("p"))
     pairs = live.join(least, "key").filter("c <> p").select(F.col("p").alias("a"), F.col("c").alias("b")).distinct()
     links = stash(verify(pairs, regs_of, sets), "linked", True)
