@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2 << 20
 #: Rows and bytes of the batches in which rows come to Python.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+#: Bytes that a writer or reader of a table between two steps holds at once.
+ROW_GROUP = 16 << 20
 
 _libc = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 
@@ -76,10 +78,11 @@ def stash(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     path = new_path(spark, name)
     if narrow:
         df = df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")) // 8, 1))
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     del df
     gc.collect()
-    spark._jvm.System.gc()  # shuffle files of finished steps are freed
+    if not narrow:
+        spark._jvm.System.gc()  # shuffle files of finished steps are freed
     return spark.read.schema(schema).parquet(path)
 
 

@@ -233,6 +233,12 @@ def test_contamination_without_tests(spark):
     assert decontam.matches(spark.createDataFrame([(1, "a b")], TEXT), none).count() == 0
 
 
+def test_facts_replace_columns_of_their_names(spark):
+    df = spark.createDataFrame([(1, "a b " * 40, "x", 5)], "doc_id long, text string, N_Words string, Kept int")
+    got = quality.with_facts(df).first()
+    assert (got["n_words"], got["kept"], len(got)) == (80, False, 11)
+
+
 def test_quality_keeps_columns_that_clash(spark):
     good = " ".join(f"w{i}" for i in range(80))
     df = spark.createDataFrame([(1, good, 5, None), (2, "a " * 90, 6, "x"), (3, None, 7, "y")], "doc_id long, text string, kept int, quality_x string")
@@ -252,7 +258,7 @@ def test_token_ids(spark, docs):
     path = P.path("word_bpe_49k.json")
     tok = repair.Encoder(path).tok
     enc = [(i, [*tok.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in docs]
-    enc.sort(key=lambda x: (x[0] is not None, x[0] or 0, np.array(x[1], np.uint16).tobytes()))
+    enc.sort(key=lambda x: (x[0] is not None, x[0] or 0, zlib.crc32(np.array(x[1], np.uint16).tobytes())))
     want, at = [], 0
     for i, x in enc:
         want.append((i, at, len(x), zlib.crc32(np.array(x, "<u4").tobytes())))
@@ -262,6 +268,26 @@ def test_token_ids(spark, docs):
     assert repair.token_ids(df.limit(0), path).count() == 0
 
 
+def test_token_ids_of_one_id(spark):
+    path = P.path("word_bpe_49k.json")
+    docs = [(None if k % 2 else 7, f"text {k} " * (k % 5)) for k in range(300)] + [(1, "a"), (9, "b")]
+    df = spark.createDataFrame(docs, TEXT).repartition(4)
+    tok, out = repair.Encoder(path).tok, f"{repair.new_path(spark, 'test')}"
+    repair.write(df, path, out, parts=8)
+    got = sorted(repair.read(spark, out, repair.encoder(path).vocab, with_ids=True).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 150 + [1] + [7] * 150 + [9]
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:k]) for k in range(len(got))]
+    assert sorted((str(r.doc_id), r.ids) for r in got) == sorted((str(i), [*tok.encode(t, add_special_tokens=False).ids, 2]) for i, t in docs)
+    sizes = [r["n"] for r in spark.read.parquet(out).groupBy("part").agg(F.count("*").alias("k"), F.sum("n_ids").alias("n")).collect()]
+    assert len(sizes) > 4
+
+
+def test_null_ids_meet_targets_too(spark):
+    rows = [(None, "a", f"w{k} " * 10) for k in range(300)] + [(k, "b", "w " * 10) for k in range(300)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) <= 10 for r in got)
+
+
 def test_mix_meets_targets(spark):
     rng = random.Random(8)
     rows = [(k, rng.choice(["a", "b", "c", "d", None]), " ".join("w" for _ in range(rng.choice([0, 1, 5, 40, 400])))) for k in range(400)] + [(k, "big", "w " * 50) for k in range(1000, 1500)] + [(2000, "one", "w " * 7), (2001, "nul", None), (5, "a", "again and again")]
@@ -384,6 +410,8 @@ def test_language_of_held_out_documents(spark, sf):
     assert sum(got[i].lang_pred == true[i] for i in held) >= 0.95 * len(held)
     assert got[9001].lang_pred == got[9002].lang_pred == "und" and got[9002].score == 0 and got[9003].lang_pred in set(true.values())
     assert all(0 <= r.score <= 1 for r in got.values())
+    clash = df.select("doc_id", "text", "lang", F.lit(1).alias("i"), F.lit("x").alias("t"), F.lit(True).alias("place"))
+    assert [r.lang_pred for r in langid.predict(clash, langid.learn(clash)).orderBy("doc_id").collect()] == [got[i].lang_pred for i in sorted(true)]
     assert langid.learn(df.limit(0)) is None and {r.lang_pred for r in langid.predict(df.limit(3), None).collect()} == {"und"}
 
 
