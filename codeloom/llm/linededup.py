@@ -146,14 +146,23 @@ def _first_segment(s: Column, t: Column, key: Column, edits: int) -> Column:
     return out
 
 
-def _enough_pieces(s: Column, t: Column, edits: int) -> Column:
-    """Whether all but `edits` of twice as many pieces as segments stand in t within reach of their places: an edit spoils one piece."""
-    pieces, found = 2 * (edits + 1), F.lit(0)
-    for k in range(pieces):
-        at, size = _segment(F.char_length(s), F.lit(k), pieces)
-        low = F.greatest(at - edits, F.lit(1))
-        found = found + F.contains(F.substring(t, low, at + size + edits - low), F.substring(s, at, size)).cast("int")
-    return found >= pieces - edits
+def _pieces(s: Column, n: Column, edits: int) -> Column:
+    """Twice as many pieces as segments of a line of n characters."""
+    cut = [_segment(n, F.lit(k), 2 * (edits + 1)) for k in range(2 * (edits + 1))]
+    return F.array(*[F.substring(s, at, size) for at, size in cut])
+
+
+def _reaches(t: Column, n: Column, edits: int) -> Column:
+    """For each piece of a line of n characters the part of t in which it must stand, unless an edit has spoiled it."""
+    cut = [_segment(n, F.lit(k), 2 * (edits + 1)) for k in range(2 * (edits + 1))]
+    low = [F.greatest(at - edits, F.lit(1)) for at, _ in cut]
+    return F.array(*[F.substring(t, x, at + size + edits - x) for x, (at, size) in zip(low, cut)])
+
+
+def _enough(pieces: Column, reaches: Column, edits: int) -> Column:
+    """Whether all pieces but one an edit stand within reach of their places."""
+    count = 2 * (edits + 1)
+    return sum((F.contains(F.get(reaches, F.lit(k)), F.get(pieces, F.lit(k))).cast("int") for k in range(count)), F.lit(0)) >= count - edits
 
 
 def _among(df: DataFrame, col: str, ids: DataFrame, id_col: str) -> DataFrame:
@@ -170,6 +179,21 @@ def distinct_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     return rows.select("doc", "pos", "h1", "h2"), stash(lines, "lines")  # numbers stand once they are written
 
 
+def _links_between(own: Column, every: Column, key: Column, edits: int) -> Column:
+    """struct(a, b, distance) of the links between two arrays of lines struct(id, line, len), the first of indexed ones. What the screen
+    needs of a line is made once a line, not once a pair."""
+    cut = F.transform(own, lambda p: F.struct(p["id"], p["line"], p["len"], _pieces(p["line"], p["len"], edits).alias("pieces")))
+
+    def links_of(q: Column, lines: Column) -> Column:
+        indexed = lambda p: (p["len"] < q["len"]) | ((p["len"] == q["len"]) & (p["id"] < q["id"]))
+        reaches = F.array(*[_reaches(q["line"], q["len"] - less, edits) for less in range(edits + 1)])
+        near = lambda r: F.filter(lines, lambda p: indexed(p) & _enough(p["pieces"], F.get(r, q["len"] - p["len"]), edits) & _first_segment(p["line"], q["line"], key, edits))
+        far = lambda p: F.struct(p["id"].alias("a"), q["id"].alias("b"), bounded_distance(p["line"], q["line"], edits).alias("distance"))
+        return F.filter(F.transform(_let(reaches, near), far), lambda r: r["distance"] <= edits)
+
+    return _let(cut, lambda lines: F.flatten(F.transform(every, lambda q: links_of(q, lines))))
+
+
 def line_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(a, b, distance) of distinct lines(id, line, len) within `edits` of each other, once a pair; a is the shorter one."""
     long = lines.filter(F.col("len") >= min_chars)
@@ -186,17 +210,15 @@ def line_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     x, y = small.filter("own").select("key", F.col("id").alias("a"), F.col("len").alias("l_a")), small.select("key", F.col("id").alias("b"), F.col("len").alias("l_b"))
     pairs = x.join(y, "key").filter("l_a < l_b OR l_a = l_b AND a < b").select("key", "a", "b")
     pairs = pairs.join(text.select(F.col("id").alias("a"), F.col("line").alias("s")), "a").join(text.select(F.col("id").alias("b"), F.col("line").alias("t")), "b")
-    pairs = pairs.filter(_enough_pieces(F.col("s"), F.col("t"), edits)).filter(_first_segment(F.col("s"), F.col("t"), F.col("key"), edits))
+    n_s = F.char_length("s")
+    pairs = pairs.filter(_enough(_pieces(F.col("s"), n_s, edits), _reaches(F.col("t"), n_s, edits), edits)).filter(_first_segment(F.col("s"), F.col("t"), F.col("key"), edits))
     # dealt out evenly, however few bytes they are; the planner does not take an exploded value before that, nor twice
     pairs = pairs.repartition(n).select("a", "b", F.explode_outer(F.array(bounded_distance(F.col("s"), F.col("t"), edits))).alias("distance"))
 
     placed = large.join(text, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("s") / BLOCK)))
     blocks = stash(placed.groupBy("key", "block").agg(F.collect_list(F.when(F.col("own"), F.struct("id", "line", "len"))).alias("own"), F.collect_list(F.struct("id", "line", "len")).alias("every")), "blocks")
     both = blocks.filter(F.size("own") > 0).select("key", "own").join(blocks.select("key", "every"), "key").repartition(n)
-    indexed = lambda p, q: (p["len"] < q["len"]) | ((p["len"] == q["len"]) & (p["id"] < q["id"]))
-    far = lambda p, q: F.when(indexed(p, q) & _enough_pieces(p["line"], q["line"], edits) & _first_segment(p["line"], q["line"], F.col("key"), edits), bounded_distance(p["line"], q["line"], edits))
-    of = lambda p: F.filter(F.transform("every", lambda q: F.struct(p["id"].alias("a"), q["id"].alias("b"), far(p, q).alias("distance"))), lambda r: r["distance"] <= edits)
-    inside = both.select(F.explode_outer(F.flatten(F.transform("own", of))).alias("p")).filter("p IS NOT NULL").select("p.*")
+    inside = both.select(F.explode_outer(_links_between(F.col("own"), F.col("every"), F.col("key"), edits)).alias("p")).filter("p IS NOT NULL").select("p.*")
     return pairs.filter(F.col("distance") <= edits).unionByName(inside)
 
 
