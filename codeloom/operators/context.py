@@ -6,16 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_CHARS, MARK = 32000, "\n...[truncated]"
+#: Parts in which a group is cut to the budget first.
+SPLITS = 32
 
 # fixed values: section headings
 HISTORY, CHUNKS, CHAIN, CALLERS, IMPACTED, ENDPOINTS = "=== CONVERSATION HISTORY ===", "=== RELEVANT CODE CHUNKS ===", "=== CALL CHAIN ===", "=== CALLERS ===", "=== IMPACTED CLASSES ===", "=== HTTP ENDPOINTS ==="
 
 
 def within_budget(df: DataFrame, group: list[str], order: list[Column], size: Column, most: int = MAX_CHARS) -> DataFrame:
-    """df with ordinal and before, the size of the rows before it in its group; rows stay while that does not exceed the budget."""
+    """df with ordinal and before, the size of the rows before it in its group; rows stay while that does not exceed the budget.
+
+    Each group is cut to the budget in SPLITS parts first: a row that has more before it in its part has so in its group, and the
+    rows of the part that stay before it are enough to show that. So a hot group does not come to one task.
+    """
+    part = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("_size", size).withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(SPLITS)))
+    df = df.withColumn("_before", F.coalesce(F.sum("_size").over(part), F.lit(0))).filter(F.col("_before") <= most).drop("_part", "_before")
     w = Window.partitionBy(*group).orderBy(*order)
     before = F.coalesce(F.sum("_size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = df.withColumn("_size", size).withColumn("ordinal", F.row_number().over(w)).withColumn("before", before)
+    out = df.withColumn("ordinal", F.row_number().over(w)).withColumn("before", before)
     return out.filter(F.col("before") <= most).drop("_size")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,19 +22,38 @@ def one_hop(nodes: DataFrame, edges: DataFrame, kind: str | None, match: Column,
     return nodes.join(hop, nodes[key] == hop["_to"]).drop("_to")
 
 
-def trails(edges: DataFrame, seeds: DataFrame, most: int, edge_id: str = "edge_id", reverse: bool = False) -> DataFrame:
-    """(root, node, depth, path): one row for each trail of 1 to `most` edges from seeds(root); an edge occurs once in a trail, a
-    node may recur. The steps are unrolled joins on the edge table, each with its own shuffle on the frontier only."""
+def steps(edges: DataFrame, seeds: DataFrame, most: int, edge_id: str = "edge_id", reverse: bool = False) -> Iterator[DataFrame]:
+    """The rows of `trails` depth by depth, until there are none. Each frontier is kept, so no step is computed twice."""
     a, b = ("dst", "src") if reverse else ("src", "dst")
     e = edges.select(F.col(a).alias("_from"), F.col(b).alias("_to"), F.col(edge_id).alias("_edge"))
     step = seeds.select("root", F.col("root").alias("node"), F.array().cast(f"array<{dict(e.dtypes)['_edge']}>").alias("path"))
-    out = None
     for depth in range(1, most + 1):
         step = step.join(e, step.node == e["_from"]).filter(~F.array_contains("path", F.col("_edge")))
-        step = step.select("root", F.col("_to").alias("node"), F.array_append("path", F.col("_edge")).alias("path"))
-        part = step.select("root", "node", F.lit(depth).alias("depth"), "path")
-        out = part if out is None else out.unionByName(part)
-    return out
+        step = kept(step.select("root", F.col("_to").alias("node"), F.array_append("path", F.col("_edge")).alias("path")))
+        if step.isEmpty():
+            return
+        yield step.select("root", "node", F.lit(depth).alias("depth"), "path")
+
+
+def trails(edges: DataFrame, seeds: DataFrame, most: int, edge_id: str = "edge_id", reverse: bool = False) -> DataFrame:
+    """(root, node, depth, path): one row for each trail of 1 to `most` edges from seeds(root); an edge occurs once in a trail, a
+    node may recur. Each step is a join of the frontier with the edge table."""
+    parts = list(steps(edges, seeds, most, edge_id, reverse))
+    if not parts:
+        root, edge = dict(seeds.dtypes)["root"], dict(edges.dtypes)[edge_id]
+        return seeds.sparkSession.createDataFrame([], f"root {root}, node {root}, depth int, path array<{edge}>")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A table that several plans read: a checkpoint where the cluster names a folder for them, else in the executors' memory."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.persist()
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
 
 
 def keep_first(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:

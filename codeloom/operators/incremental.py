@@ -13,11 +13,12 @@ def fingerprints(files: DataFrame, path: str = "path", content: str = "content")
     return files.select(F.col(path).alias("path"), F.sha2(F.col(content).cast("binary"), 256).alias("sha256"))
 
 
-def change_set(current: DataFrame, stored: DataFrame) -> DataFrame:
-    """(path, status) for every path of (path, sha256) tables: ADDED, MODIFIED, UNCHANGED or DELETED."""
+def change_set(current: DataFrame, stored: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """(path, status) for every path of (path, sha256) tables: ADDED, MODIFIED, UNCHANGED or DELETED; with sha256 in `keep` the new hash
+    too, which is null for what is deleted."""
     c, s = current.select("path", F.col("sha256").alias("now")), stored.select("path", F.col("sha256").alias("was"))
     status = F.when(F.col("was").isNull(), "ADDED").when(F.col("now").isNull(), "DELETED").when(F.col("now") != F.col("was"), "MODIFIED").otherwise("UNCHANGED")
-    return c.join(s, "path", "full_outer").select("path", status.alias("status"))
+    return c.join(s, "path", "full_outer").select("path", status.alias("status"), *[F.col("now").alias(k) for k in keep])
 
 
 def change_counts(changes: DataFrame) -> DataFrame:

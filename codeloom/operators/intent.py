@@ -32,24 +32,21 @@ def _normal(question: Column) -> Column:
     return F.lower(F.trim(F.coalesce(question, F.lit(""))))
 
 
-def intent(question: Column) -> Column:
-    """The first intent by priority that has a hit; the default for a blank question or none."""
-    q, out = _normal(question), None
-    for name, patterns in PATTERNS:
-        hit = None
-        for p in patterns:
-            hit = _hit(q, p) if hit is None else hit | _hit(q, p)
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return F.when(q == "", DEFAULT).otherwise(out.otherwise(DEFAULT))
-
-
-def hits(question: Column) -> Column:
-    """Hits among the patterns of all intents."""
-    q, n = _normal(question), F.lit(0)
-    for _, patterns in PATTERNS:
-        for p in patterns:
-            n = n + F.when(_hit(q, p), 1).otherwise(0)
-    return n
+def found(question: Column) -> Column:
+    """The hits of each intent's patterns, in their order: every pattern is tested once."""
+    q = _normal(question)
+    return F.array(*[sum((_hit(q, p).cast("int") for p in patterns[1:]), _hit(q, patterns[0]).cast("int")) for _, patterns in PATTERNS])
+
+
+def first_found(counts: Column) -> Column:
+    """The first intent by priority that has a hit, or the default."""
+    at = F.array_position(F.transform(counts, lambda n: n > 0), F.lit(True)).cast("int")
+    return F.coalesce(F.get(F.array(*[F.lit(name) for name, _ in PATTERNS]), at - 1), F.lit(DEFAULT))
+
+
+def footer(text: Column, level: Column, name: Column, form: str) -> Column:
+    """An answer of medium confidence ends with what it was taken for."""
+    return F.when(level == "MEDIUM", F.concat(text, F.replace(F.lit(form), F.lit("{intent}"), F.lower(F.replace(name, F.lit("_"), F.lit(" ")))))).otherwise(text)
 
 
 def confidence(n: Column) -> Column:
@@ -67,7 +64,8 @@ def routed(name: Column, level: Column) -> Column:
 
 def classify(df: DataFrame, question: str) -> DataFrame:
     """df with intent, hits, confidence, tier and routed."""
-    q = F.col(question)
-    out = df.withColumn("intent", intent(q)).withColumn("hits", hits(q)).withColumn("confidence", confidence(F.col("hits")))
-    out = out.withColumn("tier", tier(F.col("confidence")))
+    rows = df.withColumn("_found", found(F.col(question)))
+    total = F.aggregate("_found", F.lit(0), lambda a, n: a + n)
+    out = rows.withColumn("intent", first_found(F.col("_found"))).withColumn("hits", total).drop("_found")
+    out = out.withColumn("confidence", confidence(F.col("hits"))).withColumn("tier", tier(F.col("confidence")))
     return out.withColumn("routed", routed(F.col("intent"), F.col("tier")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,12 +82,18 @@ def callers(methods: DataFrame, edges: DataFrame, part: str) -> DataFrame:
     return graph.one_hop(methods, edges, "CALLS", F.col("m.qualified_name").contains(part), "qualified_name").orderBy("qualified_name", "edge_id").limit(graph.CALLERS_LIMIT)
 
 
-def call_chain(methods: DataFrame, edges: DataFrame, part: str, service: str) -> DataFrame:
-    """A row a path of up to five calls that ends in the service, the shortest first."""
+def call_chain(methods: DataFrame, edges: DataFrame, part: str, service: str, most: int = graph.CHAIN_LIMIT) -> DataFrame:
+    """A row a path of up to five calls that ends in the service, the shortest first. No deeper step is made than the limit asks for."""
     roots = methods.filter(F.col("qualified_name").contains(part)).select(F.col("qualified_name").alias("root"))
-    found = graph.trails(edges.filter("kind = 'CALLS'"), roots, graph.CHAIN_DEPTH)
-    ends = by_service(methods, service).select(F.col("qualified_name").alias("node"))
-    return found.join(ends, "node").orderBy("depth", "node", "root", "path").limit(graph.CHAIN_LIMIT)
+    ends, found, parts = by_service(methods, service).select(F.col("qualified_name").alias("node")), 0, []
+    for step in graph.steps(edges.filter("kind = 'CALLS'"), roots, graph.CHAIN_DEPTH):
+        parts.append(graph.kept(step.join(ends, "node").orderBy("depth", "node", "root", "path").limit(most)))
+        found += parts[-1].count()
+        if found >= most:
+            break
+    if not parts:
+        return roots.select(F.col("root").alias("node"), "root", F.lit(0).alias("depth"), F.array().cast("array<long>").alias("path")).limit(0)
+    return reduce(DataFrame.unionByName, parts).orderBy("depth", "node", "root", "path").limit(most)
 
 
 def ancestors(edges: DataFrame, name: str) -> DataFrame:
@@ -102,15 +110,28 @@ def _from(edges: DataFrame, name: str, kind: str, most: int) -> DataFrame:
 
 
 def chunk_view(chunks: DataFrame) -> DataFrame:
-    return chunks.select("element_name", "class_name", "chunk_type", "path", "content")
+    return chunks.select("content", "chunk_type", "element_name", "class_name", "service_name")
 
 
 def method_view(methods: DataFrame) -> DataFrame:
-    return methods.select("simple_name", "class_name", "qualified_name", "is_endpoint", "http_method", "endpoint_path", "cyclomatic_complexity")
+    return methods.select("simple_name", "qualified_name", "class_name", "is_endpoint", "http_method", "endpoint_path", "is_transactional")
 
 
 def class_view(classes: DataFrame) -> DataFrame:
-    return classes.select("simple_name", "qualified_name", "node_type", "spring_stereotype")
+    return classes.select("simple_name", "qualified_name", "package_name", "node_type")
+
+
+def query_view(question: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
+    """The row of question(intent, confidence) with the number of rows of all parts, and each part (column rank) as an array."""
+    out = question.select("intent", "confidence")
+    for name, df in parts.items():  # retrieval limits bound every part to a few dozen rows
+        one = df.agg(F.array_sort(F.collect_list(F.struct("rank", F.struct([c for c in df.columns if c != "rank"]).alias("row")))).alias("_rows"))
+        out = out.crossJoin(F.broadcast(one.select(F.transform("_rows", lambda r: r["row"]).alias(name))))
+    return out.withColumn("total", reduce(lambda a, b: a + b, [F.size(k) for k in parts]))
+
+
+def ask_view(answers: DataFrame) -> DataFrame:
+    return answers.select("answer", "synthesized", "intent", "confidence", "total", "session_id")
 
 
 def context_size(*parts: DataFrame) -> Column:

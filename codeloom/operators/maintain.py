@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +43,19 @@ def delete_json_scope(table: DataFrame, column: str, field: str, value: str) ->
     return table.filter(~F.get_json_object(F.col(column), f"$.{field}").eqNullSafe(F.lit(value)))
 
 
+def latest(events: DataFrame, key: str, seq: str, gone: str | None = None) -> DataFrame:
+    """The last event of every key of an append-only log, without keys whose last status is `gone`."""
+    others = [c for c in events.columns if c != key]
+    out = events.groupBy(key).agg(F.max_by(F.struct(*others), seq).alias("_r")).select(key, "_r.*")
+    return out if gone is None else out.filter(~F.col("status").eqNullSafe(F.lit(gone)))
+
+
+def deleted_counts(tables: dict[str, DataFrame], service: str, column: str = "service_name") -> DataFrame:
+    """(table_name, deleted): the rows of a service that a purge takes from each table."""
+    parts = [t.filter(F.col(column) == service).agg(F.count("*").alias("deleted")).select(F.lit(k).alias("table_name"), "deleted") for k, t in tables.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def register(registry: DataFrame, delta: DataFrame) -> DataFrame:
     """Registry upsert: everything new but the first time of ingestion."""
     return upsert(registry, delta, ["service_name"], keep=["ingested_at"])

@@ -47,6 +47,12 @@ def sessions(events: DataFrame, user: str = "user_id", ts: str = "ts", idle: str
     return events.withColumn("_new", F.coalesce(fresh.cast("int"), F.lit(1))).withColumn("session_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
+def remembered(turns: DataFrame, session: str = "conv_id", index: str = "turn_index", seq: str = "turn") -> DataFrame:
+    """One row a session and index, the last one written: at the cap each turn replaces the one before."""
+    others = [c for c in turns.columns if c not in (session, index)]
+    return turns.groupBy(session, index).agg(F.max_by(F.struct(*others), seq).alias("_r")).select(session, index, "_r.*")
+
+
 def resumed(found: Column, same_service: Column, last_active: Column, now: Column, idle: str = IDLE) -> Column:
     """Whether a session goes on."""
     return F.coalesce(found & same_service & (now - last_active <= F.expr(f"INTERVAL {idle}")), F.lit(False))

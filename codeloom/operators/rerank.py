@@ -85,7 +85,9 @@ def config_matches(df: DataFrame, kind: str = "CONFIG", boosted: int = 5, others
 
 def cross_encode(df: DataFrame, judge: Callable[[DataFrame], DataFrame], k: int, rank: str = "rank", distance: str = "distance") -> DataFrame:
     """Blend of a judge's score 0..10 (column `judged`, null where it failed) and similarity; a failed row keeps its similarity on its
-    own scale. `judge` adds the column, for instance by a pandas UDF."""
+    own scale. `judge` adds the column, for instance by a pandas UDF. A single candidate is not judged and has no score."""
+    if df.limit(2).count() < 2:
+        return df.withColumn("judged", F.lit(None).cast("double")).withColumn("score", F.lit(None).cast("double"))
     sim = similarity(F.col(distance))
     scored = judge(df).withColumn("score", F.when(F.col("judged").isNotNull(), 0.6 * F.col("judged") + 0.4 * sim * 10).otherwise(sim))
     return scored.orderBy(F.col("score").desc(), F.col(rank)).limit(k)

@@ -34,29 +34,36 @@ def search(store: Store, q: Sequence[float], service: str, k: int, kind: str | N
     return _ranked(vector.topk(store.chunks, q, k, threshold, where if kind is None else where & (F.col("chunk_type") == kind)))
 
 
+def raw(store: Store, q: Sequence[float], service: str, k: int = 8) -> DataFrame:
+    """The contents of the chunks most like a question, of any type and above no threshold but zero."""
+    return search(store, q, service, k, threshold=0.0).select("rank", "vec_id", "content", "chunk_type", "element_name")
+
+
 def _seeds(hits: DataFrame) -> DataFrame:
     return hits.select("rank", T.approximate_name(F.col("service_name"), F.col("class_name"), F.col("element_name")).alias("seed")).filter("seed IS NOT NULL")
 
 
 def _matches(nodes: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(rank, node) for nodes whose name contains a seed; seeds are a handful of rows, so this is a broadcast nested loop."""
-    return nodes.select(F.col("qualified_name").alias("node")).join(F.broadcast(seeds.limit(100)), F.contains(F.col("node"), F.col("seed"))).select("rank", "node")
+    """(rank, node) for nodes whose name contains a seed; seeds are the rows of a top-k, so this is a broadcast nested loop."""
+    return nodes.select(F.col("qualified_name").alias("node")).join(F.broadcast(seeds), F.contains(F.col("node"), F.col("seed"))).select("rank", "node")
 
 
-def callers_of(store: Store, hits: DataFrame, most: int) -> DataFrame:
+def callers_of(store: Store, hits: DataFrame, most: int | None) -> DataFrame:
     at = _matches(store.methods, _seeds(hits))
     calls = store.edges.filter("kind = 'CALLS'").join(at, F.col("dst") == F.col("node")).select("rank", F.col("src").alias("qualified_name"))
     each = graph.limit_per_seed(calls, "rank", [F.col("qualified_name")], graph.CALLERS_LIMIT)
-    return graph.keep_first(each, ["qualified_name"], [F.col("rank")]).orderBy("rank", "qualified_name").limit(most)
+    out = graph.keep_first(each, ["qualified_name"], [F.col("rank")]).orderBy("rank", "qualified_name")
+    return out if most is None else out.limit(most)
 
 
-def chain_of(store: Store, hits: DataFrame, service: str, most: int) -> DataFrame:
+def chain_of(store: Store, hits: DataFrame, service: str, most: int | None) -> DataFrame:
     at = _matches(store.methods, _seeds(hits))
     found = graph.trails(store.edges.filter("kind = 'CALLS'"), at.select(F.col("node").alias("root")).distinct(), graph.CHAIN_DEPTH)
     here = store.methods.filter(F.col("service_name") == service).select(F.col("qualified_name").alias("node"))
     rows = found.join(here, "node").join(at.select("rank", F.col("node").alias("root")), "root")
     each = graph.limit_per_seed(rows, "rank", [F.col("depth"), F.col("node")], graph.CHAIN_LIMIT)
-    return graph.keep_first(each, ["node"], [F.col("rank"), F.col("depth")]).orderBy("rank", "depth", "node").limit(most).select("rank", "depth", F.col("node").alias("qualified_name"))
+    out = graph.keep_first(each, ["node"], [F.col("rank"), F.col("depth")]).orderBy("rank", "depth", "node")
+    return (out if most is None else out.limit(most)).select("rank", "depth", F.col("node").alias("qualified_name"))
 
 
 def related_classes(store: Store, hits: DataFrame, kinds: list[str], most: int, service: str | None = None) -> DataFrame:
@@ -102,7 +109,7 @@ def hybrid(s: Store, q: Sequence[float], service: str, k: int) -> dict[str, Data
     """Vector hits, and callers then chain of each, once a method."""
     hits = search(s, q, service, k, threshold=vector.ANY_TYPE)
     named = hits.filter("class_name IS NOT NULL")
-    both = rerank.bag_union([callers_of(s, named, 1 << 20).select("rank", "qualified_name"), chain_of(s, named, service, 1 << 20).select("rank", "qualified_name")])
+    both = rerank.bag_union([callers_of(s, named, None).select("rank", "qualified_name"), chain_of(s, named, service, None).select("rank", "qualified_name")])
     return {"chunks": hits, "graph": graph.keep_first(both, ["qualified_name"], [F.col("rank"), F.col("part_no")])}
 
 

@@ -12,20 +12,20 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
 from codeloom.functions import vectors
-from codeloom.operators import context, graph, incremental, intent, maintain, memory, rerank, retrieve, stats, vector
-from codeloom.sources import chunkers
+from codeloom.operators import context, graph, incremental, intent, lookup, maintain, memory, rerank, retrieve, stats, vector
+from codeloom.sources import chunkers, java
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, name: str | None = None):
     """Register a function of (spark, tables) under its name, with its SQL."""
 
     def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir, f=f: f(spark, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        QUERIES[name or f.__name__] = lambda spark, sf_dir, f=f: f(spark, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
         if sql is not None:
-            ORACLES[f.__name__] = sql
+            ORACLES[name or f.__name__] = sql
         return f
 
     return add
@@ -66,9 +66,9 @@ def vec_topk_type_035(spark, t):
     return vector.topk(chunk_table(t), first_vector(t), 20, vector.CODE_ONLY, F.col("chunk_type") == "CODE").select("vec_id", "chunk_type", "similarity")
 
 
-@query(f"WITH {SQL_CHUNKS} SELECT vec_id, chunk_type, round(sim, 6) AS similarity FROM chunks WHERE sim > 0.4 AND service_name = 'svc1' ORDER BY round(sim, 6) DESC, vec_id LIMIT 8")
+@query(f"WITH {SQL_CHUNKS} SELECT vec_id, chunk_type, round(sim, 6) AS similarity FROM chunks WHERE sim > 0.4 AND chunk_type = 'BUSINESS_CONTEXT' ORDER BY round(sim, 6) DESC, vec_id LIMIT 8".replace("WHERE vec_id = 0", "WHERE label = 4 ORDER BY vec_id LIMIT 1"))
 def vec_topk_context_040(spark, t):
-    return vector.topk(chunk_table(t), first_vector(t), 8, vector.CONTEXT_ONLY, F.col("service_name") == "svc1").select("vec_id", "chunk_type", "similarity")
+    return vector.topk(chunk_table(t), first_vector(t, "label = 4"), 8, vector.CONTEXT_ONLY, F.col("chunk_type") == "BUSINESS_CONTEXT").select("vec_id", "chunk_type", "similarity")
 
 
 @query("""WITH q AS (SELECT vec_id AS query, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0),
@@ -80,10 +80,10 @@ def vec_knn_in_group(spark, t):
     return vector.topk_in_group(e, q, "label", 5).select("query", "vec_id", "similarity", "rank")
 
 
-@query("SELECT vec_id, '[' || array_to_string(list_transform(embedding[1:2], lambda x: CAST(round(x::DOUBLE * 1000) AS BIGINT)::VARCHAR), ',') || ']' AS rendered, round(CASE WHEN vec_id % 7 = 0 THEN 0.7 ELSE 1 - vec_id % 10 / 10.0 END, 6) AS similarity FROM embeddings")
+@query("SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: CAST(round(x::DOUBLE * 1000) AS BIGINT)::VARCHAR), ',') || ']' AS rendered, round(CASE WHEN vec_id % 7 = 0 THEN 0.7 ELSE 1 - vec_id % 10 / 10.0 END, 6) AS similarity FROM embeddings")
 def vec_rendering(spark, t):
     e = t("embeddings")
-    thousandths = F.transform(F.slice("embedding", 1, 2), lambda x: F.round(x.cast("double") * 1000).cast("long"))
+    thousandths = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("long"))
     distance = F.when(F.col("vec_id") % 7 == 0, None).otherwise((F.col("vec_id") % 10) / 10.0)
     return e.select("vec_id", vectors.rendered(thousandths).alias("rendered"), F.round(vectors.similarity(distance), 6).alias("similarity"))
 
@@ -95,29 +95,45 @@ def _sql_has(words: list[str]) -> str:
 def _sql_score(question: str) -> str:
     gain = lambda cond, col, value, amount: f" + CASE WHEN {cond} AND {col} = '{value}' THEN {amount} ELSE 0 END"
     s = "sim + CASE WHEN contains(q, lower(element_name)) THEN 0.30 ELSE 0 END + CASE WHEN contains(q, lower(class_name)) THEN 0.15 ELSE 0 END"
-    have = ("chunk_type", "is_endpoint", "is_scheduled", "is_transactional", "is_event_handler")
+    have = ("chunk_type", "language", *FLAGS)
     for words, gains in rerank.RULES:
         for col, value, amount in gains:
             if col in have:
                 s += gain(_sql_has(words), col, value, amount)
     s += gain(f"NOT {_sql_has(rerank.TEST_WORDS)}", "chunk_type", "TEST", rerank.TEST_LOSS)
     starts = "(" + " OR ".join(f"starts_with(q, '{w}')" for w in rerank.QUESTION_STARTS) + ")"
-    s += gain(starts, "chunk_type", "DOCUMENTATION", 0.10)
+    for col, value, amount in rerank.QUESTION_GAINS:
+        s += gain(starts, col, value, amount)
     return f"least({s}, 1.0)"
 
 
-SQL_FLAGS = "CASE WHEN vec_id % 3 = 0 THEN 'true' END AS is_endpoint, CASE WHEN vec_id % 4 = 0 THEN 'true' END AS is_scheduled, CASE WHEN vec_id % 5 = 0 THEN 'true' END AS is_transactional, CASE WHEN vec_id % 6 = 0 THEN 'true' END AS is_event_handler"
-FLAGS = {"is_endpoint": 3, "is_scheduled": 4, "is_transactional": 5, "is_event_handler": 6}
-SQL_SCORED = f"WITH {SQL_CHUNKS}, f AS (SELECT *, {SQL_FLAGS}, lower('{QUESTION}') AS q FROM chunks), scored AS (SELECT vec_id, chunk_type, round(sim, 6) AS similarity, round({_sql_score(QUESTION)}, 6) AS score FROM f)"
+def _sql_score_of_chunks(question: str) -> str:
+    """The score of rows that have no flags."""
+    s = _sql_score(question)
+    for flag in FLAGS:
+        s = s.replace(f"{flag} = 'true'", "FALSE")
+    return s.replace("language = 'YAML'", "FALSE")
 
 
-def scored(t) -> DataFrame:
+FLAGS = {"is_endpoint": 3, "is_scheduled": 4, "is_transactional": 5, "is_event_handler": 6, "has_throws_doc": 7, "is_doc_chunk": 8}
+SQL_FLAGS = ", ".join(f"CASE WHEN vec_id % {k} = 0 THEN 'true' END AS {name}" for name, k in FLAGS.items()) + ", CASE WHEN vec_id % 9 = 0 THEN 'YAML' ELSE 'yaml' END AS language"
+#: A question that every rule has a word of.
+EVERY_RULE = "what is the configured timeout, which endpoint has the table, why should the exception roll back the transaction of the cron job when a kafka message is written to element12 of class7"
+def _sql_scored(question: str) -> str:
+    return f"WITH {SQL_CHUNKS}, f AS (SELECT *, {SQL_FLAGS}, lower('{question}') AS q FROM chunks), scored AS (SELECT vec_id, chunk_type, round(sim, 6) AS similarity, round({_sql_score(question)}, 6) AS score FROM f)"
+
+
+SQL_SCORED = _sql_scored(QUESTION)
+
+
+def scored(t, question: str = QUESTION) -> DataFrame:
     c = chunk_table(t)
     q = F.array(*[F.lit(float(x)) for x in first_vector(t)])
     c = c.withColumn("sim", vectors.cosine(F.col("embedding"), q)).withColumn("distance", 1 - F.col("sim")).withColumn("similarity", F.round("sim", 6))
     for name, k in FLAGS.items():
         c = c.withColumn(name, F.when(F.col("vec_id") % k == 0, "true"))
-    return c.withColumn("score", F.round(rerank.metadata_score(c, F.lit(QUESTION)), 6))
+    c = c.withColumn("language", F.when(F.col("vec_id") % 9 == 0, "YAML").otherwise("yaml"))
+    return c.withColumn("score", F.round(rerank.metadata_score(c, F.lit(question)), 6))
 
 
 @query(f"{SQL_SCORED} SELECT * FROM scored")
@@ -125,6 +141,11 @@ def rerank_metadata_score(spark, t):
     return scored(t).select("vec_id", "chunk_type", "similarity", "score")
 
 
+@query(f"{_sql_scored(EVERY_RULE)} SELECT * FROM scored")
+def rerank_every_rule(spark, t):
+    return scored(t, EVERY_RULE).select("vec_id", "chunk_type", "similarity", "score")
+
+
 @query(f"{SQL_SCORED} SELECT * FROM scored ORDER BY score DESC, vec_id LIMIT 10")
 def rerank_topk_stable(spark, t):
     return scored(t).select("vec_id", "chunk_type", "similarity", "score").orderBy(F.col("score").desc(), "vec_id").limit(10)
@@ -156,17 +177,54 @@ def null_relevance_fill(spark, t):
     return retrieve.null_fill(c).select("vec_id", "rank", "relevant")
 
 
+SQL_METHODS = """methods AS (SELECT p_partkey, 'svc' || p_partkey % 3 || '.Class' || p_partkey % 50 || '.element' || p_partkey % 100 || '#' || p_partkey AS qualified_name, 'svc' || p_partkey % 3 AS service_name, 'Class' || p_partkey % 50 AS class_name,
+'element' || p_partkey % 100 AS simple_name, p_size >= 45 AS is_endpoint, p_size % 4 = 0 AS is_transactional, p_size % 5 = 0 AS is_scheduled, p_size % 6 = 0 AS is_event_handler, p_size AS cyclomatic_complexity FROM part)"""
+#: Two edges from every part: halves lead to a root, sevenfolds go round; with loops and parallel edges.
+SQL_EDGES = "edges AS (SELECT p_partkey AS src, p_partkey >> 1 AS dst, p_partkey * 2 AS edge_id FROM part UNION ALL SELECT p_partkey, p_partkey * 7 % 199, p_partkey * 2 + 1 FROM part)"
+SQL_CLASSES = """classes AS (SELECT s_suppkey, 'svc' || s_suppkey % 3 || '.Class' || s_suppkey % 50 || '#' || s_suppkey AS qualified_name, 'svc' || s_suppkey % 3 AS service_name, 'Class' || s_suppkey % 50 AS simple_name, 'svc' || s_suppkey % 3 AS package_name,
+CASE s_suppkey % 4 WHEN 0 THEN 'REST_CONTROLLER' WHEN 1 THEN 'CONTROLLER' WHEN 2 THEN 'SERVICE' END AS spring_stereotype, CASE WHEN s_suppkey % 5 = 0 THEN 'INTERFACE' ELSE 'CLASS' END AS node_type FROM supplier),
+class_edges AS (SELECT 'DEPENDS_ON' AS kind, s_suppkey AS src, s_suppkey * 7 % 10 AS dst FROM supplier UNION ALL SELECT 'INHERITS', s_suppkey, s_suppkey >> 1 FROM supplier UNION ALL SELECT 'IMPLEMENTS', s_suppkey, s_suppkey * 3 % 10 FROM supplier)"""
+
+
+def methods(t) -> DataFrame:
+    p = F.col("p_partkey")
+    name = F.concat(F.lit("svc"), p % 3, F.lit(".Class"), p % 50, F.lit(".element"), p % 100, F.lit("#"), p)
+    flags = {"is_endpoint": F.col("p_size") >= 45, "is_transactional": F.col("p_size") % 4 == 0, "is_scheduled": F.col("p_size") % 5 == 0, "is_event_handler": F.col("p_size") % 6 == 0}
+    return t("part").select("p_partkey", name.alias("qualified_name"), F.concat(F.lit("svc"), p % 3).alias("service_name"), F.concat(F.lit("Class"), p % 50).alias("class_name"), F.concat(F.lit("element"), p % 100).alias("simple_name"), *[c.alias(k) for k, c in flags.items()], F.col("p_size").alias("cyclomatic_complexity"))
+
+
+def part_edges(t) -> DataFrame:
+    """Two edges from every part."""
+    p = t("part").select(F.col("p_partkey").alias("src"))
+    e = p.select("src", F.shiftright("src", 1).alias("dst"), (F.col("src") * 2).alias("edge_id"))
+    return e.unionByName(p.select("src", (F.col("src") * 7 % 199).alias("dst"), (F.col("src") * 2 + 1).alias("edge_id")))
+
+
+def classes(t) -> DataFrame:
+    k = F.col("s_suppkey")
+    service = F.concat(F.lit("svc"), k % 3)
+    kind = F.when(k % 4 == 0, "REST_CONTROLLER").when(k % 4 == 1, "CONTROLLER").when(k % 4 == 2, "SERVICE")
+    return t("supplier").select("s_suppkey", F.concat(service, F.lit(".Class"), k % 50, F.lit("#"), k).alias("qualified_name"), service.alias("service_name"), F.concat(F.lit("Class"), k % 50).alias("simple_name"), service.alias("package_name"), kind.alias("spring_stereotype"), F.when(k % 5 == 0, "INTERFACE").otherwise("CLASS").alias("node_type"))
+
+
 def _store(t) -> retrieve.Store:
-    names = t("part").select(F.concat(F.lit("svc"), F.col("p_partkey") % 3, F.lit(".Class"), F.col("p_partkey") % 50, F.lit(".element"), F.col("p_partkey") % 100, F.lit("#"), "p_partkey").alias("qualified_name"), F.concat(F.lit("svc"), F.col("p_partkey") % 3).alias("service_name"), "p_partkey", (F.col("p_size") >= 45).alias("is_endpoint"))
-    e = part_edges(t)
-    by = names.select("p_partkey", "qualified_name")
-    calls = e.join(by.select(F.col("p_partkey").alias("src"), F.col("qualified_name").alias("a")), "src").join(by.select(F.col("p_partkey").alias("dst"), F.col("qualified_name").alias("b")), "dst")
-    return retrieve.Store(chunk_table(t).withColumn("content", F.col("element_name")), names, names, calls.select("edge_id", F.lit("CALLS").alias("kind"), F.col("a").alias("src"), F.col("b").alias("dst")))
+    """Chunks from embeddings, methods and calls from parts, classes and their edges from suppliers."""
+    m, c = methods(t), classes(t)
+    by = m.select("p_partkey", "qualified_name")
+    calls = part_edges(t).join(by.select(F.col("p_partkey").alias("src"), F.col("qualified_name").alias("a")), "src").join(by.select(F.col("p_partkey").alias("dst"), F.col("qualified_name").alias("b")), "dst")
+    calls = calls.select("edge_id", F.lit("CALLS").alias("kind"), F.col("a").alias("src"), F.col("b").alias("dst"))
+    k, names = F.col("s_suppkey"), c.select("s_suppkey", "qualified_name")
+    ends = {"DEPENDS_ON": k * 7 % 10, "INHERITS": F.shiftright(k, 1), "IMPLEMENTS": k * 3 % 10}
+    for i, (kind, dst) in enumerate(ends.items()):
+        e = names.select(F.col("qualified_name").alias("src"), dst.alias("to"), (-1 - k * 3 - i).alias("edge_id"))
+        e = e.join(names.select(F.col("s_suppkey").alias("to"), F.col("qualified_name").alias("dst")), "to").select("edge_id", F.lit(kind).alias("kind"), "src", "dst")
+        calls = calls.unionByName(e)
+    return retrieve.Store(chunk_table(t).withColumn("content", F.col("element_name")), m, c, calls)
 
 
 @query(f"""WITH {SQL_CHUNKS.replace("WHERE vec_id = 0", "WHERE label = 0 ORDER BY vec_id LIMIT 1")}, hits AS (SELECT vec_id, service_name, class_name, element_name, round(sim, 6) AS similarity FROM chunks WHERE sim > 0.35 AND service_name = 'svc0' AND chunk_type = 'CODE' ORDER BY round(sim, 6) DESC, vec_id LIMIT 20),
 r AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, vec_id) AS rank, lower('{QUESTION}') AS q, similarity AS sim, 'CODE' AS chunk_type FROM hits),
-f AS (SELECT vec_id, rank, similarity, round({_sql_score(QUESTION).replace("is_endpoint = 'true'", "FALSE").replace("is_scheduled = 'true'", "FALSE").replace("is_transactional = 'true'", "FALSE").replace("is_event_handler = 'true'", "FALSE")}, 6) AS score FROM r)
+f AS (SELECT vec_id, rank, similarity, round({_sql_score_of_chunks(QUESTION)}, 6) AS score FROM r)
 SELECT * FROM f ORDER BY score DESC, rank LIMIT 8""")
 def find_implementation(spark, t):
     label = retrieve.find_implementation(_store(t), QUESTION, first_vector(t, "label = 0"), "svc0")["chunks"]
@@ -175,32 +233,18 @@ def find_implementation(spark, t):
 
 # ---------------------------------------------------------------- graph
 
-SQL_EDGES = """li AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS n FROM lineitem WHERE l_quantity >= 45),
-e AS (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY n) AS dst, l_orderkey * 1000 + n AS edge_id FROM li),
-edges AS (SELECT * FROM e WHERE dst IS NOT NULL)"""
-
-
-def part_edges(t) -> DataFrame:
-    """Part-to-part edges between consecutive line items of an order, of large quantities."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    li = t("lineitem").filter("l_quantity >= 45")
-    e = li.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"), (F.col("l_orderkey") * 1000 + F.row_number().over(w)).alias("edge_id"))
-    return e.filter("dst IS NOT NULL")
-
-
 @query("SELECT c_custkey, c_name, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE contains(c_name, '7') ORDER BY c_name, o_orderkey LIMIT 20")
 def callers_one_hop(spark, t):
     c, e = t("customer").select("c_custkey", "c_name"), t("orders").select(F.col("o_custkey").alias("src"), F.col("o_custkey").alias("dst"), "o_orderkey")
     return graph.one_hop(c, e, None, F.col("m.c_name").contains("7"), "c_custkey").select("c_custkey", "c_name", "o_orderkey").orderBy("c_name", "o_orderkey").limit(20)
 
 
-@query(f"""WITH RECURSIVE {SQL_EDGES}, walk AS (SELECT src AS root, dst AS node, 1 AS depth, [edge_id] AS path FROM edges WHERE src < 100
+@query(f"""WITH RECURSIVE {SQL_EDGES}, walk AS (SELECT src AS root, dst AS node, 1 AS depth, [edge_id] AS path FROM edges
 UNION ALL SELECT w.root, e.dst, w.depth + 1, list_append(w.path, e.edge_id) FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < 5 AND NOT list_contains(w.path, e.edge_id))
 SELECT root, node, depth, count(*) AS n FROM walk GROUP BY ALL""")
 def chain_1_5_trails(spark, t):
     e = part_edges(t)
-    seeds = e.filter("src < 100").select(F.col("src").alias("root")).distinct()
-    return graph.trails(e, seeds, graph.CHAIN_DEPTH).groupBy("root", "node", "depth").agg(F.count("*").alias("n"))
+    return graph.trails(e, e.select(F.col("src").alias("root")).distinct(), graph.CHAIN_DEPTH).groupBy("root", "node", "depth").agg(F.count("*").alias("n"))
 
 
 SQL_TREE = "tree AS (SELECT 'o' || o_orderkey AS child, 'c' || o_custkey AS parent FROM orders UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"
@@ -233,31 +277,31 @@ def dependents_in_scope(spark, t):
     return hop.filter("c_mktsegment = 'BUILDING'").select(F.col("node").alias("child"), "c_mktsegment")
 
 
-@query("SELECT DISTINCT p_partkey, p_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE contains(s_name, '5') AND l_quantity >= 48")
+@query("SELECT DISTINCT p_partkey, p_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE contains(s_name, '5')")
 def implementors_contains(spark, t):
     nodes = t("part").select(F.concat(F.lit("p"), "p_partkey").alias("node"), "p_partkey", "p_name").unionByName(t("supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node"), F.lit(None).cast("long").alias("p_partkey"), F.col("s_name").alias("p_name")))
-    e = t("lineitem").filter("l_quantity >= 48").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
+    e = t("lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
     return graph.one_hop(nodes, e, None, F.col("m.node").startswith("s") & F.col("m.p_name").contains("5"), "node").select("p_partkey", "p_name").distinct()
 
 
-@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_nationkey = 7 AND c_mktsegment = 'MACHINERY'")
+@query(f"WITH {SQL_METHODS} SELECT p_partkey, qualified_name FROM methods WHERE service_name = 'svc1' AND is_endpoint")
 def flag_filter(spark, t):
-    return t("customer").filter("c_nationkey = 7 AND c_mktsegment = 'MACHINERY'").select("c_custkey", "c_mktsegment")
+    return lookup.flagged(methods(t), "svc1", "is_endpoint").select("p_partkey", "qualified_name")
 
 
-@query("SELECT p_partkey, p_size FROM part WHERE p_size >= 40 ORDER BY p_size DESC, p_partkey LIMIT 500")
+@query(f"WITH {SQL_METHODS} SELECT p_partkey, cyclomatic_complexity FROM methods WHERE service_name = 'svc0' AND cyclomatic_complexity >= 40 ORDER BY cyclomatic_complexity DESC, qualified_name")
 def high_complexity(spark, t):
-    return t("part").filter("p_size >= 40").select("p_partkey", "p_size").orderBy(F.col("p_size").desc(), "p_partkey")
+    return lookup.complex_methods(methods(t), "svc0", 40).select("p_partkey", "cyclomatic_complexity")
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+@query(f"WITH {SQL_CLASSES} SELECT qualified_name, spring_stereotype FROM classes WHERE service_name = 'svc2' AND spring_stereotype IS NOT NULL")
 def not_null_filter(spark, t):
-    return t("events").select("event_id", F.get_json_object("props", "$.k").alias("k")).filter(F.col("k").isNotNull())
+    return lookup.beans(classes(t), "svc2").select("qualified_name", "spring_stereotype")
 
 
-@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' UNION SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'P'")
+@query(f"WITH {SQL_CLASSES}, twice AS (SELECT * FROM classes UNION ALL SELECT * FROM classes) SELECT qualified_name, spring_stereotype FROM twice WHERE service_name = 'svc0' AND spring_stereotype = 'CONTROLLER' UNION SELECT qualified_name, spring_stereotype FROM twice WHERE service_name = 'svc0' AND spring_stereotype = 'REST_CONTROLLER'")
 def controllers_union_distinct(spark, t):
-    return t("orders").filter(F.col("o_orderstatus").isin("F", "P")).select("o_orderkey", "o_orderstatus")
+    return lookup.controllers(classes(t).unionByName(classes(t)), "svc0").select("qualified_name", "spring_stereotype")
 
 
 @query("SELECT user_id, count(*) AS branches FROM events WHERE event_type IN ('error', 'purchase') GROUP BY user_id ORDER BY branches DESC, user_id LIMIT 10")
@@ -287,7 +331,7 @@ def complexity_per_group(spark, t):
 @query("SELECT l_partkey, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n = 1")
 def distinct_keep_first(spark, t):
     li = t("lineitem").select("l_partkey", "l_orderkey", "l_linenumber")
-    return li.groupBy("l_partkey").agg(F.min(F.struct("l_orderkey", "l_linenumber")).alias("m")).select("l_partkey", "m.l_orderkey", "m.l_linenumber")
+    return graph.keep_first(li, ["l_partkey"], [F.col("l_orderkey"), F.col("l_linenumber")])
 
 
 @query(f"WITH {SQL_EDGES} SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT dst FROM edges) AND p_size > 1")
@@ -295,19 +339,20 @@ def dead_nodes(spark, t):
     return graph.unreachable(t("part").select("p_partkey", "p_size"), part_edges(t), "p_partkey", F.col("p_size") <= 1).select("p_partkey")
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events u WHERE ts >= TIMESTAMP '2024-01-20' AND event_type <> 'this' AND NOT EXISTS (SELECT 1 FROM events d WHERE d.ts < TIMESTAMP '2024-01-03' AND d.user_id = u.user_id AND d.event_type = u.event_type)")
+@query("SELECT DISTINCT user_id, event_type FROM events u WHERE ts >= TIMESTAMP '2024-01-04' AND event_type <> 'this' AND NOT EXISTS (SELECT 1 FROM events d WHERE d.ts < TIMESTAMP '2024-01-04' AND d.user_id = u.user_id AND d.event_type = u.event_type)")
 def external_refs_anti(spark, t):
     e = t("events").select("user_id", "event_type", "ts")
-    return graph.external_references(e.filter("ts >= TIMESTAMP '2024-01-20'"), e.filter("ts < TIMESTAMP '2024-01-03'"), ["user_id"], "event_type")
+    return graph.external_references(e.filter("ts >= TIMESTAMP '2024-01-04'"), e.filter("ts < TIMESTAMP '2024-01-04'"), ["user_id"], "event_type")
 
 
-@query("""SELECT user_id, event_type, array_to_string(list(event_id ORDER BY ts, event_id) FILTER (value < 10), ',') AS defs, array_to_string(list(event_id ORDER BY ts, event_id) FILTER (value >= 10), ',') AS uses
-FROM events WHERE user_id < 20 GROUP BY 1, 2""")
+@query("""SELECT user_id, event_type, array_to_string(list(event_id ORDER BY ts, event_id) FILTER (value < 10), ',') AS defs, array_to_string(list(event_id ORDER BY ts, event_id) FILTER (value >= 10), ',') AS uses, count(*) FILTER (value < 10) = 0 AS only_used
+FROM events GROUP BY 1, 2""")
 def def_use_summary(spark, t):
-    e = t("events")
-    ids = lambda cond: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("ts", "event_id")))), lambda x: x["event_id"].cast("string")), ",")
-    got = e.groupBy("user_id", "event_type").agg(ids(F.col("value") < 10).alias("defs"), ids(F.col("value") >= 10).alias("uses"))
-    return got.select("user_id", "event_type", F.nullif("defs", F.lit("")).alias("defs"), F.nullif("uses", F.lit("")).alias("uses"))
+    e = t("events").select(F.col("user_id").alias("method_qn"), F.col("event_type").alias("var"), F.struct("ts", "event_id").alias("ord"), F.col("event_id").alias("line"), "value", F.lit(None).cast("string").alias("more"))
+    defs, uses = e.filter("value < 10").withColumnsRenamed({"more": "source_expr"}), e.filter("value >= 10").withColumnsRenamed({"more": "context"})
+    got = java.flow_summary(defs.withColumn("def_type", F.lit("D")).withColumn("var_type", F.lit("")), uses.withColumn("use_type", F.lit("U")))
+    ids = lambda c: F.array_join(F.transform(c, lambda x: x["line"].cast("string")), ",").alias(c)
+    return got.select(F.col("method_qn").alias("user_id"), F.col("var").alias("event_type"), ids("defs"), ids("uses"), F.col("place.only_used").alias("only_used"))
 
 
 @query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey <> 2")
@@ -323,9 +368,8 @@ def detach_delete_edges(spark, t):
 
 
 @query(f"""WITH {SQL_CHUNKS}, hits AS (SELECT vec_id, service_name || '.' || class_name || '.' || element_name AS seed, round(sim, 6) AS similarity FROM chunks WHERE sim > 0 ORDER BY round(sim, 6) DESC, vec_id LIMIT 20),
-r AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, vec_id) AS rank FROM hits), {SQL_EDGES},
-names AS (SELECT p_partkey, 'svc' || p_partkey % 3 || '.Class' || p_partkey % 50 || '.element' || p_partkey % 100 || '#' || p_partkey AS qualified_name FROM part),
-calls AS (SELECT r.rank, a.qualified_name FROM r JOIN names b ON contains(b.qualified_name, r.seed) JOIN edges e ON e.dst = b.p_partkey JOIN names a ON a.p_partkey = e.src),
+r AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, vec_id) AS rank FROM hits), {SQL_METHODS}, {SQL_EDGES},
+names AS (SELECT p_partkey, qualified_name FROM methods), calls AS (SELECT r.rank, a.qualified_name FROM r JOIN names b ON contains(b.qualified_name, r.seed) JOIN edges e ON e.dst = b.p_partkey JOIN names a ON a.p_partkey = e.src),
 lim AS (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY qualified_name) AS n FROM calls), firsts AS (SELECT qualified_name, min(rank) AS rank FROM lim WHERE n <= 20 GROUP BY 1)
 SELECT rank, qualified_name FROM firsts ORDER BY rank, qualified_name LIMIT 15""")
 def hybrid_expand(spark, t):
@@ -489,7 +533,7 @@ def enrich_text(spark, t):
 h AS (SELECT *, sum((length(line) % 5 = 0)::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)::BIGINT AS section FROM l)
 SELECT doc_id, section, min(pos) + 1 AS start_line, max(pos) + 1 AS end_line, arg_min(line, pos) AS first_line FROM h GROUP BY 1, 2""")
 def section_split(spark, t):
-    rows = chunkers.sections(t("documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content")), heading=F.length("line") % 5 == 0, blank=True)
+    rows = chunkers.sections(t("documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content")), heading=lambda x: F.length(x) % 5 == 0, blank=True)
     first = t("documents").select("doc_id", F.split("text", "\n").alias("lines"))
     return rows.join(first, F.col("path") == F.col("doc_id")).select("doc_id", "section", "start_line", "end_line", F.expr("lines[start_line - 1]").alias("first_line"))
 
