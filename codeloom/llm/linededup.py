@@ -55,9 +55,9 @@ def bounded_distance(a: Column, b: Column, most: int = EDITS) -> Column:
     """The edit distance of two strings if it is at most `most`, else some larger number, by bit vectors along a band.
 
     Bit k of a vector stands for row i + most + 1 - width + k of column i. The distance is followed down the band's last
-    diagonal, along which it never falls, until the last row, and then along that row for 2 * most columns at most, in each of
-    which it falls by one at most: beyond 3 * most there is nothing more to find out. The first string must have `most` characters
-    or more.
+    diagonal, along which it never falls, until the last row, and then along that row, for as many columns as the second string
+    has more than the first one less `most`; in each it falls by one at most. Beyond the sum of those columns and `most` there is
+    nothing more to find out, which comes the sooner the longer the first string is. It must have `most` characters or more.
     """
     width = 2 * most + 2
     full, diagonal = (1 << width) - 1, 1 << (width - 1)
@@ -92,7 +92,7 @@ def bounded_distance(a: Column, b: Column, most: int = EDITS) -> Column:
             return _let(eq, with_x)
 
         def guarded(acc: Column, i: Column) -> Column:
-            return F.when(acc["d"] > 3 * most, acc).otherwise(step(acc, i))
+            return F.when(acc["d"] > F.size(t) - F.size(s) + 2 * most, acc).otherwise(step(acc, i))
 
         start = F.struct(lit(full & ~((1 << (width - most - 1)) - 1)).alias("vp"), lit(0).alias("vn"), F.lit(most).cast("int").alias("d"), lit(diagonal >> 1).alias("row"))
         steps = F.when(F.size(t) > 0, F.sequence(F.lit(0), F.size(t) - 1)).otherwise(F.array().cast("array<int>"))
@@ -188,7 +188,7 @@ def _links_between(own: Column, every: Column, key: Column, edits: int) -> Colum
         indexed = lambda p: (p["len"] < q["len"]) | ((p["len"] == q["len"]) & (p["id"] < q["id"]))
         reaches = F.array(*[_reaches(q["line"], q["len"] - less, edits) for less in range(edits + 1)])
         near = lambda r: F.filter(lines, lambda p: indexed(p) & _enough(p["pieces"], F.get(r, q["len"] - p["len"]), edits) & _first_segment(p["line"], q["line"], key, edits))
-        far = lambda p: F.struct(p["id"].alias("a"), q["id"].alias("b"), bounded_distance(p["line"], q["line"], edits).alias("distance"))
+        far = lambda p: F.struct(p["id"].alias("a"), q["id"].alias("b"), bounded_distance(q["line"], p["line"], edits).alias("distance"))
         return F.filter(F.transform(_let(reaches, near), far), lambda r: r["distance"] <= edits)
 
     return _let(cut, lambda lines: F.flatten(F.transform(every, lambda q: links_of(q, lines))))
@@ -213,7 +213,7 @@ def line_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     n_s = F.char_length("s")
     pairs = pairs.filter(_enough(_pieces(F.col("s"), n_s, edits), _reaches(F.col("t"), n_s, edits), edits)).filter(_first_segment(F.col("s"), F.col("t"), F.col("key"), edits))
     # dealt out evenly, however few bytes they are; the planner does not take an exploded value before that, nor twice
-    pairs = pairs.repartition(n).select("a", "b", F.explode_outer(F.array(bounded_distance(F.col("s"), F.col("t"), edits))).alias("distance"))
+    pairs = pairs.repartition(n).select("a", "b", F.explode_outer(F.array(bounded_distance(F.col("t"), F.col("s"), edits))).alias("distance"))
 
     placed = large.join(text, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("s") / BLOCK)))
     blocks = stash(placed.groupBy("key", "block").agg(F.collect_list(F.when(F.col("own"), F.struct("id", "line", "len"))).alias("own"), F.collect_list(F.struct("id", "line", "len")).alias("every")), "blocks")
