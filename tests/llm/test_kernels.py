@@ -30,18 +30,27 @@ def plain_facts(t):
     longest = 0
     while longest < n and len({tuple(w[i : i + longest + 1]) for i in range(n - longest)}) < n - longest:
         longest += 1
-    return n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), dup, cover(three, 3), cover(ten, 10), longest
+    again, covered = cover(three, 3), cover(ten, 10)
+    failed = n < 50 or 100 * again > 50 * n
+    return n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), dup, again, covered, longest, failed, not failed and covered <= 0.2 * n and longest <= 100
 
 
-def test_quality_facts():
+@pytest.mark.parametrize("levels", [4, 0])
+def test_quality_facts(levels, monkeypatch):
+    monkeypatch.setattr(quality, "LEVEL_WORDS", levels)
     rng = random.Random(1)
     texts = [None, "", " ", "a", "a a", "a a a a a", "a b a b a b a", "\n\n", "x\nx\n x\nx", "ab\x0bab ab", "ü ü ü ü", "a\r\na\r\n", "#$% <a>", "x" * 700 + " " + "x" * 700]
     texts += [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 60))) for _ in range(80)]
     phrase = " ".join(f"w{i}" for i in range(30))
     texts += [phrase + " mid " + phrase, phrase + " " + phrase]
+    fresh = lambda n: " ".join(f"f{rng.randint(0, 10**9)}" for _ in range(n))
+    texts += [" ".join([fresh(a), phrase, fresh(b), phrase, fresh(a)]) for a, b in ((30, 30), (200, 200), (0, 400))]
+    long = " ".join(f"v{i}" for i in range(101))
+    texts += [" ".join([long, fresh(1500), long]), " ".join([long[5:], fresh(1500), long[5:]]), fresh(49), fresh(50)]
     got = quality.facts(pa.array(texts))
     for i, t in enumerate(texts):
-        assert plain_facts(t) == tuple(int(got[k][i]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered", "longest_repeat")), t
+        assert plain_facts(t) == tuple(int(got[k][i]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered", "longest_repeat", "base_failed", "kept")), t
+    assert set(got["kept"].tolist()) == {True, False}
 
 
 def test_window_hashes_agree_with_equality():

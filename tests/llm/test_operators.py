@@ -471,9 +471,38 @@ def test_pipeline(spark, sf):
             assert after == {r.doc_id for r in setsketch.near_duplicates(docs).filter("kept").collect()}
         if name == "decontaminate":
             assert before - after == {r.doc_id for r in decontam.contamination(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).filter("contaminated").collect()}
+        if name == "mix_sources":
+            want = {r.id: r.copies for r in mixing.mix(docs).collect() if r.copies}
+            assert Counter(r.doc_id for r in out.select("doc_id").collect()) == Counter(want)
         seen.append(name)
         docs = out
     assert seen == ["quality_rules", "near_dedup", "decontaminate", "mix_sources"]
-    last = cp.STAGES[-1][1](spark, docs, sf)
-    n = docs.count()
-    assert last.count() == n and cp.run(spark, sf).count() == n
+    tok = repair.Encoder(P.path("word_bpe_49k.json")).tok
+    rows = sorted((r.doc_id, [*tok.encode(r.text or "", add_special_tokens=False).ids, 2]) for r in docs.select("doc_id", "text").collect())
+    rows = sorted(rows, key=lambda r: (r[0], zlib.crc32(np.array(r[1], np.uint16).tobytes())))
+    want, at = [], 0
+    for i, ids in rows:
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert rows_of(cp.STAGES[-1][1](spark, docs, sf)) == sorted(want, key=str) == rows_of(cp.run(spark, sf))
+
+
+def test_stages_take_odd_tables(spark, sf, tmp_path):
+    import corpus_pipeline as cp
+
+    rng = random.Random(12)
+    prose = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    a, b, item = prose(120), prose(90), prose(20)
+    spark.createDataFrame([(1, item), (None, None), (1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, a, "en", "s", 1, 7, "x"), (1, a, "en", "s", 1, 7, "x"), (2, a, None, None, 2, 7, "y"), (None, b, "de", "t", 3, None, None), (None, b, "de", "t", 3, None, None), (4, None, "en", "s", 0, 1, "z"), (5, "", None, None, 0, 1, "z"), (6, item + " " + prose(60), "en", "u", 5, 2, "k"), (7, prose(80), "en", None, 6, 2, "k"), (7, prose(80), "en", "u", 6, 2, "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_words long, kept int, seg string")
+    stages = dict(cp.STAGES)
+    for name, stage in cp.STAGES[:-1]:  # each on all of the odd rows, and on none
+        out = stage(spark, df.repartition(3), str(tmp_path))
+        assert out.columns == df.columns and {tuple(r) for r in out.collect()} <= set(rows), name
+        assert stage(spark, df.limit(0), str(tmp_path)).count() == 0, name
+    ids = lambda name: sorted(str(r.doc_id) for r in stages[name](spark, df, str(tmp_path)).select("doc_id").collect())
+    assert ids("quality_rules") == sorted(["1", "1", "2", "None", "None", "6", "7", "7"])
+    assert ids("near_dedup") == sorted(["1", "None", "4", "5", "6", "7", "7"])
+    assert ids("decontaminate") == sorted(["1", "1", "2", "None", "None", "4", "5", "7", "7"])
+    assert stages["token_ids"](spark, df, str(tmp_path)).count() == len(rows) and stages["token_ids"](spark, df.limit(0), str(tmp_path)).count() == 0
