@@ -80,6 +80,15 @@ def vec_knn_in_group(spark, t):
     return vector.topk_in_group(e, q, "label", 5).select("query", "vec_id", "similarity", "rank")
 
 
+@query()
+def vec_ann_topk(spark, t):
+    """Approximate: held against the exact search in the tests."""
+    e = t("embeddings")
+    c = vector.centroids(e)
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q_vector"))
+    return vector.topk_listed(vector.listed(e, c), q, c, 10).select("query", "vec_id", "similarity", "rank")
+
+
 @query("SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: CAST(round(x::DOUBLE * 1000) AS BIGINT)::VARCHAR), ',') || ']' AS rendered, round(CASE WHEN vec_id % 7 = 0 THEN 0.7 ELSE 1 - vec_id % 10 / 10.0 END, 6) AS similarity FROM embeddings")
 def vec_rendering(spark, t):
     e = t("embeddings")

@@ -72,6 +72,26 @@ def test_vector_topk(spark):
     assert df.limit(1).select(vectors.rendered(F.col("embedding"))).first()[0].startswith("[1.0,")
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_listed_search_finds_nine_of_ten(spark, sf):
+    from codeloom.plans import registry
+
+    got = registry.QUERIES["vec_ann_topk"](spark, f"/root/testdata/{sf}").collect()
+    e = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q_vector")).withColumn("all", F.lit(1))
+    want = {(r["query"], r["vec_id"]) for r in vector.topk_in_group(e.withColumn("all", F.lit(1)), q, "all", 10).collect()}
+    assert len({(r["query"], r["vec_id"]) for r in got} & want) >= 0.9 * len(want)
+    assert vector.listed(e, vector.centroids(e)).count() == e.count()
+
+
+def test_listed_rows_without_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [0.0, 2.0])], "vec_id int, embedding array<float>")
+    c = vector.centroids(df, lists=2)
+    assert rows(vector.listed(df, c).select("vec_id").filter("list_no < 0")) == [(2,)] and vector.listed(df, c, probes=2).filter("vec_id = 1").count() == 2
+    none = df.limit(0)
+    assert vector.listed(none, vector.centroids(none)).count() == 0
+
+
 @pytest.fixture(scope="module")
 def small_graph(spark):
     n = spark.createDataFrame([(x, "s") for x in "abcde"], "qn string, service string")
@@ -143,6 +163,51 @@ def test_memory(spark):
     assert [r[0] for r in spark.createDataFrame([("x" * 500,), (None,)], "a string").select(F.length(memory.summary(F.col("a")))).collect()] == [400, 0]
 
 
+def test_budget_in_parts_equals_one_pass(spark):
+    import random
+
+    rng = random.Random(2)
+    df = spark.createDataFrame([(k % 3, k, rng.choice([0, 1, 50, 900])) for k in range(600)], "g int, k int, n int")
+    for most in (0, 100, 7000):
+        want = []
+        for g in range(3):
+            before = 0
+            for i, (_, k, n) in enumerate(sorted((tuple(r) for r in df.filter(f"g = {g}").collect()), key=lambda r: r[1])):
+                if before <= most:
+                    want.append((g, k, i + 1, before))
+                before += n
+        assert rows(context.within_budget(df, ["g"], [F.col("k")], F.col("n"), most).select("g", "k", "ordinal", "before")) == sorted(want, key=str)
+
+
+def test_embedding_of_a_column_equals_that_of_a_text(spark):
+    from codeloom.functions import embed
+
+    texts = ["a b a", "", None, "Straße 12, b-c", "b"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(embed.embedded(F.col("t"))).collect()]
+    assert got[2] is None and all(g == pytest.approx(embed.vector(t), abs=1e-6) for g, t in zip(got, texts) if t is not None)
+
+
+def test_another_format(spark):
+    mine = scan.Format("ini", 7, lambda p, c: p.endswith(".yml") & c.startswith("["), lambda f: f.select("path", F.lit("x").alias("element_name"), "content", F.lit("INI").alias("chunk_type")))
+    files = spark.createDataFrame([("/a.yml", "[s]"), ("/b.yml", "k: v\n"), ("/c.yml", "openapi: [")], "path string, content string")
+    got = rows(scan.chunks(files, "s", [*scan.FORMATS, mine]).select("path", "chunk_type"))
+    assert got == [("/a.yml", "INI"), ("/b.yml", "CONFIG")]
+
+
+def test_yaml_without_a_library(spark, monkeypatch):
+    f = spark.createDataFrame([("/a.yml", "# c\nserver:\n  port: 80\nspring: app\n")], "path string, content string")
+    whole = rows(chunkers.yaml_keys(f).select("element_name", "content"))
+    monkeypatch.setattr(chunkers, "yaml", None)
+    assert rows(chunkers.yaml_keys(f).select("element_name")) == [(k,) for k, _ in whole] == [("server",), ("spring",)]
+    assert whole == [("server", "server:\n  port: 80\n"), ("spring", "spring:\napp\n")]
+
+
+def test_sections_without_shuffling(spark):
+    f = spark.createDataFrame([("/a.md", "## A\nx\n## B\n"), ("/b.md", ""), ("/c.md", None), ("/d.md", "only\ntext")], "path string, content string")
+    assert rows(chunkers.markdown(f).select("path", "element_name", "start_line", "end_line")) == [("/a.md", "A", 1, 2), ("/d.md", "Introduction", 1, 2)]
+    assert "Exchange" not in chunkers.markdown(f)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_context(spark):
     none = lambda s: spark.createDataFrame([], s)
     method = "rank int, class_name string, simple_name string, is_endpoint boolean, http_method string, endpoint_path string"
