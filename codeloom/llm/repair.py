@@ -114,8 +114,8 @@ def encoder(path: str) -> Encoder:
     return _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
 
 
-def _spread(keys: np.ndarray) -> np.ndarray:
-    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(47)).astype(np.int64)
+def _spread(keys: np.ndarray, shift: int = 47) -> np.ndarray:
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(shift)).astype(np.int64)
 
 
 def compress(ids: np.ndarray, vocab: int, most: int = ROUND_RULES, often: int = OFTEN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,6 +125,8 @@ def compress(ids: np.ndarray, vocab: int, most: int = ROUND_RULES, often: int =
     while len(body) > 1:
         keys = (body[:-1] << np.uint64(32)) | body[1:]
         inner = (body[:-1] != END) & (body[1:] != END)
+        place = _spread(keys, 44)
+        inner &= np.bincount(place[inner], minlength=1 << 20)[place] >= often  # pairs in a rarer place are too rare themselves
         s = np.sort(keys[inner])
         head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
         count = np.diff(np.append(head, len(s)))
@@ -136,15 +138,17 @@ def compress(ids: np.ndarray, vocab: int, most: int = ROUND_RULES, often: int =
             break
         table = np.zeros(1 << 17, np.int64)
         table[_spread(pairs)] = np.arange(len(pairs))  # of pairs that share a place one is replaced now
-        place = table[_spread(keys)]
-        at = np.flatnonzero((pairs[place] == keys) & inner)
-        found = place[at]
+        some = np.flatnonzero(inner)
+        found = table[_spread(keys[some])]
+        hit = pairs[found] == keys[some]
+        at, found = some[hit], found[hit]
         # of places that follow one another every second is replaced
         head = np.ones(len(at), bool)
         head[1:] = at[1:] != at[:-1] + 1
         run = np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
         at, found = at[run % 2 == 0], found[run % 2 == 0]
-        used, found = np.unique(found, return_inverse=True)
+        seen = np.bincount(found, minlength=len(pairs)) > 0
+        used, found = np.flatnonzero(seen), (np.cumsum(seen) - 1)[found]
         new = np.stack([pairs[used] >> np.uint64(32), pairs[used] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
         body[at] = np.uint64(len(size)) + found.astype(np.uint64)
         keep = np.ones(len(body), bool)
