@@ -37,6 +37,8 @@ from .components import components
 EDITS, MIN_CHARS = 2, 30
 #: Lines of a bucket up to which its pairs are rows of a join, and lines of a block of a larger one.
 SMALL, BLOCK = 32, 256
+#: Columns after which most pairs are known to be too far apart.
+SCREEN = 24
 
 
 def _let(value: Column, then) -> Column:
@@ -63,7 +65,9 @@ def bounded_distance(a: Column, b: Column, most: int = EDITS) -> Column:
     full, diagonal = (1 << width) - 1, 1 << (width - 1)
     lit = lambda x: F.lit(x).cast("long")
 
-    def distance(s: Column, t: Column) -> Column:
+    def columns(s: Column, t: Column, rows: Column, bound: Column, upto: Column) -> Column:
+        """The distance followed through so many columns, for a first string of so many characters."""
+
         def step(acc: Column, i: Column) -> Column:
             eq = lit(0)
             for k in range(width):
@@ -79,7 +83,7 @@ def bounded_distance(a: Column, b: Column, most: int = EDITS) -> Column:
                     half = F.shiftright(d, 1)
                     down = F.when(d.bitwiseAND(lit(diagonal)) == 0, 1).otherwise(0)
                     along = F.when(hp.bitwiseAND(acc["row"]) != 0, 1).when(hn.bitwiseAND(acc["row"]) != 0, -1).otherwise(0)
-                    on_diagonal = i < F.size(s) - most
+                    on_diagonal = i < rows - most
                     return F.struct(
                         hn.bitwiseOR(half.bitwiseOR(hp).bitwiseXOR(lit(full))).alias("vp"),
                         half.bitwiseAND(hp).alias("vn"),
@@ -91,18 +95,23 @@ def bounded_distance(a: Column, b: Column, most: int = EDITS) -> Column:
 
             return _let(eq, with_x)
 
-        def guarded(acc: Column, i: Column) -> Column:
-            return F.when(acc["d"] > F.size(t) - F.size(s) + 2 * most, acc).otherwise(step(acc, i))
-
         start = F.struct(lit(full & ~((1 << (width - most - 1)) - 1)).alias("vp"), lit(0).alias("vn"), F.lit(most).cast("int").alias("d"), lit(diagonal >> 1).alias("row"))
-        steps = F.when(F.size(t) > 0, F.sequence(F.lit(0), F.size(t) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(steps, start, guarded)["d"]
+        steps = F.when(upto > 0, F.sequence(F.lit(0), upto - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(steps, start, lambda acc, i: F.when(acc["d"] > bound, acc).otherwise(step(acc, i)))["d"]
+
+    def chars(x: Column, upto: int | None) -> Column:  # the same few characters before both, so that neither is too short
+        return F.split(F.concat(F.lit("-" * most), x if upto is None else F.substring(x, 1, upto)), "")
 
-    def middles(x: Column, y: Column) -> Column:  # the same few characters before both, so that neither is too short
-        return _let(F.split(F.concat(F.lit("-" * most), x), ""), lambda s: _let(F.split(F.concat(F.lit("-" * most), y), ""), lambda t: distance(s, t)))
+    def through(x: Column, y: Column, upto: int | None) -> Column:
+        rows, cols = F.char_length(x) + most, F.char_length(y) + most
+        bound = cols - rows + 2 * most
+        d = _let(chars(x, upto and upto + most), lambda s: _let(chars(y, upto), lambda t: columns(s, t, rows, bound, cols if upto is None else F.least(cols, F.lit(upto)))))
+        return d if upto is None else F.when((cols <= upto) | (d > bound), d)  # null while it is open
 
-    far = F.abs(F.char_length(a) - F.char_length(b)) > most
-    return F.when(far, most + 1).otherwise(_let(_unlike(a, b), lambda p: _let(_unlike(F.reverse(p["x"]), F.reverse(p["y"])), lambda q: middles(q["x"], q["y"]))))
+    # what both begin with is left out, and for pairs that are open after SCREEN columns what both end with, too
+    rest = lambda p: _let(_unlike(F.reverse(p["x"]), F.reverse(p["y"])), lambda q: through(q["x"], q["y"], None))
+    near = _let(_unlike(a, b), lambda p: F.coalesce(through(p["x"], p["y"], SCREEN), rest(p)))
+    return F.when(F.abs(F.char_length(a) - F.char_length(b)) > most, most + 1).otherwise(near)
 
 
 def _probes(edits: int) -> Column:
@@ -114,7 +123,7 @@ def _probes(edits: int) -> Column:
 
 def _segment(n: Column, i: Column, parts: int) -> tuple[Column, Column]:
     """(place, length) of segment i of a line of n characters; the segments from the number parts - n % parts on are longer by one."""
-    size, short = F.floor(n / parts).cast("int"), F.lit(parts) - n % parts
+    size, short = F.call_function("div", n, F.lit(parts)).cast("int"), F.lit(parts) - n % parts
     return (F.lit(1) + size * i + F.greatest(i - short, F.lit(0))).cast("int"), (size + F.when(i >= short, 1).otherwise(0)).cast("int")
 
 
