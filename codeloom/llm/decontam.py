@@ -15,7 +15,7 @@ is no shuffle of texts or postings; where there are several blocks, their hits a
 
 Defined results: null or empty texts have no words and are not contaminated; items without words have no windows. Item ids
 are compared as strings and a repeated item counts once; a null id is the empty string. Rows of documents stay separate even
-if they repeat an id; ids may be of any type and null. A text longer than a slice is a segment of its own, looked up in parts of
+if they repeat an id; ids may be of any type and null. A text longer than a segment is one of its own, looked up in parts of
 PART occurrences. Extra columns are ignored by `contamination` and kept by `clean`, whatever their names; words are known by 64
 bits of hash.
 """
@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 from .common import ALNUM, LOWER, columns_free_of, filter_flag, filter_words, map_arrow, new_path, slices, stash, text_bytes, window_hashes, word_hashes, word_spans
 
 WINDOW = 13
-#: Test text that is sent to the executors at once, and occurrences that are followed up at once.
-BLOCK_BYTES, PART = 4 << 20, 1 << 20
+#: Test text that is sent to the executors at once, occurrences that are followed up at once, and training text of a segment: its row
+#: stays below what the JVM's collector has to place by itself.
+BLOCK_BYTES, PART, SEGMENT_BYTES = 4 << 20, 1 << 20, 256 << 10
 
 
 class Tests:
@@ -62,6 +63,9 @@ class Tests:
         table = np.where(inside, words[np.where(inside, begin[:, None] + np.arange(window), begin[:, None])], -1).astype(np.int32).reshape(-1, window)
         self.table, which = np.unique(table, axis=0, return_inverse=True)
         self.size = (self.table >= 0).sum(1)
+        # a window's term that the fewest windows have; where that is missing nothing else is asked
+        often = np.append(np.bincount(self.table[self.table >= 0], minlength=len(self.terms)), np.iinfo(np.int64).max)
+        self.probe = np.take_along_axis(self.table, often[self.table].argmin(1)[:, None], 1)[:, 0] if len(self.table) else np.zeros(0, np.int32)
         which = which.ravel()
         at = begin - first[:-1][item] if len(item) else begin
         by = np.lexsort((at, item, which))
@@ -93,7 +97,7 @@ def index(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "t"):
+        for b in slices(batches, "t", SEGMENT_BYTES):
             buf, offs = text_bytes(b.column(1))
             buf = LOWER[buf]
             starts, ends, first = word_spans(buf, offs, ALNUM)
@@ -145,11 +149,13 @@ def _find(tests: Tests, seg: Segment, slop: int) -> Iterator[tuple[np.ndarray, n
         return
     number = seg.numbers(tests.terms)
     have = np.append(np.where(number >= 0, seg.counts[np.maximum(number, 0)], 0), np.iinfo(np.int32).max)  # the last one is for -1
-    often = have[tests.table]
-    live = np.flatnonzero(often.min(1) > 0)
+    live = np.flatnonzero(number[tests.probe] >= 0)
+    often = have[tests.table[live]]
+    some = often.min(1, initial=1) > 0
+    live, often = live[some], often[some]
     if not len(live):
         return
-    rare = np.argsort(often[live], axis=1, kind="stable")  # offsets, rarest first
+    rare = np.argsort(often, axis=1, kind="stable")  # offsets, rarest first
     words, size = np.append(number, -1)[tests.table[live]], tests.size[live]
     first = rare[:, 0]
     second = np.where(size > 1, rare[:, min(1, tests.window - 1)], first)

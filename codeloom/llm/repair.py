@@ -216,7 +216,7 @@ def write(df: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         kind = np.uint16 if enc.vocab <= 1 << 16 else np.uint32
-        for b in slices(batches, "t"):
+        for b in slices(batches, "t", 2 << 20):  # the memory of words is renewed once a slice
             ids, ends = enc.encode(b.column(1))
             cuts = np.concatenate([[0], ends])
             ids = ids.astype(kind)

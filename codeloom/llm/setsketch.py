@@ -44,7 +44,7 @@ BANDS, ROWS = 40, 4
 BASE, RATE, TOP = 1.02, 20.0, 4094
 REGISTERS = BANDS * ROWS
 #: Classes of a bucket up to which its remaining pairs are rows of a join, and classes and shingles of a block of a larger one.
-SMALL, BLOCK, BLOCK_SHINGLES = 32, 128, 200_000
+SMALL, BLOCK, BLOCK_SHINGLES = 32, 128, 60_000
 
 _rng = np.random.Generator(np.random.PCG64(20240501))
 _FLIP = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
