@@ -114,17 +114,27 @@ def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
 
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
 
-def tidy() -> None:
+    return df.mapInArrow(tidied, schema)
+
+
+def trim() -> None:
     """Give memory that a finished kernel has freed back to the system: workers live on and serve other operators."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     if _libc is not None:
         _libc.malloc_trim(0)
 
 
+def tidy() -> None:
+    """The same with what only Python's collector frees."""
+    gc.collect()
+    trim()
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about `most` bytes of text, or one longer text. Nothing is dropped."""
     for b in batches:

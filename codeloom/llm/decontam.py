@@ -88,12 +88,19 @@ def test_blocks(tests: DataFrame, id_col: str = "item_id", text: str = "text", w
         yield Tests(ids, texts, window)
 
 
-PARTS = "bounds binary, terms binary, counts binary, places binary"
+PARTS = "shape array<int>, postings binary"
+_CODEC = pa.Codec("zstd", 1)
+
+
+def _packed(first: np.ndarray, terms: np.ndarray, counts: np.ndarray, places: np.ndarray) -> tuple[list[int], bytes]:
+    """(numbers of documents and terms, bytes) of a segment."""
+    data = first.astype(np.int64).tobytes() + terms.tobytes() + counts.astype(np.int32).tobytes() + places.astype(np.int32).tobytes()
+    return [len(first) - 1, len(terms), len(data)], _CODEC.compress(data, asbytes=True)
 
 
 def index(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Segments in the shared folder: seg, document ids, the place of each document's first word, terms, how often each stands in the
-    segment, and its places."""
+    """Segments in the shared folder: seg, document ids, and packed: the place of each document's first word, terms, how often each
+    stands in the segment, and its places."""
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,9 +109,9 @@ def index(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
             buf = LOWER[buf]
             starts, ends, first = word_spans(buf, offs, ALNUM)
             terms, t, counts = np.unique(word_hashes(buf, starts, ends), return_inverse=True, return_counts=True)
-            out = [first.astype(np.int64), terms, counts.astype(np.int32), np.argsort(t, kind="stable").astype(np.int32)]
+            shape, data = _packed(first, terms, counts, np.argsort(t, kind="stable"))
             ids = pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(0))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array([x.tobytes()], pa.binary()) for x in out)], names=["ids", *(x.split()[0] for x in PARTS.split(", "))])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([shape], pa.list_(pa.int32())), pa.array([data], pa.binary())], names=["ids", "shape", "postings"])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text}`").alias("t"))
     # numbers of segments stand once they are written
@@ -115,8 +122,11 @@ class Segment:
     """One row of the index; `key` holds the postings as term * stride + place, which is their order too."""
 
     def __init__(self, row: dict) -> None:
-        self.bounds, self.terms = np.frombuffer(row["bounds"], np.int64), np.frombuffer(row["terms"], np.uint64)
-        self.counts, self.places = np.frombuffer(row["counts"], np.int32), np.frombuffer(row["places"], np.int32)
+        docs, terms, size = row["shape"]
+        data = _CODEC.decompress(row["postings"], size, asbytes=True)
+        self.bounds, self.terms = np.frombuffer(data, np.int64, docs + 1), np.frombuffer(data, np.uint64, terms, 8 * docs + 8)
+        self.counts = np.frombuffer(data, np.int32, terms, 8 * (docs + 1 + terms))
+        self.places = np.frombuffer(data, np.int32, -1, 8 * (docs + 1 + terms) + 4 * terms)
         self.n = int(self.bounds[-1])
         self.stride = self.n + 1
         self.lists = np.concatenate([[0], np.cumsum(self.counts, dtype=np.int64)])
@@ -252,9 +262,9 @@ RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contamina
 HITS = "seg long, pos int, spans binary, items array<string>"
 
 
-def _hits(block: Tests, row: dict) -> dict[int, tuple[np.ndarray, set[str]]]:
+def _hits(block: Tests, seg: Segment) -> dict[int, tuple[np.ndarray, set[str]]]:
     """For each document of a segment that has any: (the union of the windows' spans, counted from its first word, its items)."""
-    seg, out = Segment(row), {}
+    out: dict[int, tuple[np.ndarray, set[str]]] = {}
     for w, start in _find(block, seg, 0):
         doc = np.searchsorted(seg.bounds, start, "right") - 1
         by = np.argsort(doc, kind="stable")
@@ -285,7 +295,8 @@ def contamination(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", tex
     def all_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, row in enumerate(b.select([x.split()[0] for x in PARTS.split(", ")]).to_pylist()):
-                found, n = _hits(first, row), np.diff(np.frombuffer(row["bounds"], np.int64))
+                seg = Segment(row)
+                found, n = _hits(first, seg), np.diff(seg.bounds)
                 none = (np.zeros((0, 2), np.int64), set())
                 each = [found.get(d, none) for d in range(len(n))]
                 yield _result(b.column("ids")[i].values, n, np.array([int((s[:, 1] - s[:, 0]).sum()) for s, _ in each], np.int64), [list(x) for _, x in each], id_col)
@@ -298,7 +309,7 @@ def contamination(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", tex
         def some_rows(batches: Iterator[pa.RecordBatch], block: Tests = block) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for row in b.to_pylist():
-                    found = _hits(block, row)
+                    found = _hits(block, Segment(row))
                     spans = [s.tobytes() for s, _ in found.values()]
                     yield pa.RecordBatch.from_arrays([pa.array([row["seg"]] * len(found), pa.int64()), pa.array(list(found), pa.int32()), pa.array(spans, pa.binary()), pa.array([sorted(x) for _, x in found.values()], pa.list_(pa.string()))], names=["seg", "pos", "spans", "items"])
 
@@ -311,13 +322,13 @@ def contamination(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", tex
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, (seg, bounds) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-                n = np.diff(np.frombuffer(bounds, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array([seg] * len(n), pa.int64()), pa.array(np.arange(len(n), dtype=np.int32)), b.column(2)[i].values, pa.array(n)], names=["seg", "pos", "id", "n_words"])
+            for i, row in enumerate(b.select(["seg", "shape", "postings"]).to_pylist()):
+                n = np.diff(Segment(row).bounds)
+                yield pa.RecordBatch.from_arrays([pa.array([row["seg"]] * len(n), pa.int64()), pa.array(np.arange(len(n), dtype=np.int32)), b.column("ids")[i].values, pa.array(n)], names=["seg", "pos", "id", "n_words"])
 
     joined = F.expr("aggregate(collect_list(spans), cast('' AS binary), (a, x) -> concat(a, x))")
     found = docs.sparkSession.read.schema(HITS).parquet(path).groupBy("seg", "pos").agg(joined.alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    rows = map_arrow(segments.select("seg", "bounds", "ids"), listed, f"seg long, pos int, id {kind}, n_words long")
+    rows = map_arrow(segments, listed, f"seg long, pos int, id {kind}, n_words long")
     return map_arrow(rows.join(found, ["seg", "pos"], "left").select("id", "n_words", "spans", "items"), settle, schema)
 
 

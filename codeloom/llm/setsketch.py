@@ -228,7 +228,7 @@ def verify(pairs: DataFrame, regs: DataFrame, sets: DataFrame) -> DataFrame:
     """The links among pairs(a, b) of class numbers: by likelihood, then on the full sets. A pair that comes twice is compared once."""
     side = lambda k: regs.select(F.col("c").alias(k), *(F.col(x).alias(f"{x}_{k}") for x in ("n", "regs", "hi", "lo", "id")))
     near = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
-    likely = near.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(_likely, "a long, b long, estimate double").select("a", "b").distinct()
+    likely = map_arrow(near.select("a", "b", "n_a", "n_b", "regs_a", "regs_b"), _likely, "a long, b long, estimate double").select("a", "b").distinct()
     names = regs.select("c", "hi", "lo", "id")
     named = lambda k: names.select(F.col("c").alias(k), *(F.col(x).alias(f"{x}_{k}") for x in ("hi", "lo", "id")))
     near = stash(likely.join(named("a"), "a").join(named("b"), "b"), "likely")
@@ -245,7 +245,7 @@ def class_links(classes: DataFrame, sets_of) -> tuple[DataFrame, DataFrame]:
     Links suffice to connect whatever is connected: a pair in one component already is not compared again.
     """
     regs_of = classes.select("c", "n", "regs", "hi", "lo", "id")
-    bands = stash(classes.select("c", "regs").mapInArrow(_bands, "c long, key long"), "bands")
+    bands = stash(map_arrow(classes.select("c", "regs"), _bands, "c long, key long"), "bands")
     # a class that is alone in all of its buckets is linked with nothing
     shared = bands.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
     live = stash(bands.join(shared, "key"), "live")

@@ -331,7 +331,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     if old is not None:
         rows = rows.unionByName(old.join(held, same(old)))
     # the texts that hold repeated fingerprints are laid out in slices, the others are done
-    base = stash(rows.select("i", "key", "n_words", F.when(F.col("fps").isNotNull(), F.col("t")).alias("t"), "fps", F.when(F.col("fps").isNull(), F.col("t")).alias("done"), "shown").mapInArrow(_settle, "i long, key long, n_words long, t string, fps array<long>, kept_sha256 string, place long, shown boolean"), "rows")
+    base = stash(map_arrow(rows.select("i", "key", "n_words", F.when(F.col("fps").isNotNull(), F.col("t")).alias("t"), "fps", F.when(F.col("fps").isNull(), F.col("t")).alias("done"), "shown"), _settle, "i long, key long, n_words long, t string, fps array<long>, kept_sha256 string, place long, shown boolean"), "rows")
     drop_stash(found)
     done = base.filter("fps IS NULL").select("i", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
     live = base.filter("fps IS NOT NULL")

@@ -130,8 +130,7 @@ def test_index_search_finds_exact_and_near_places():
     buf, offs = common.text_bytes(pa.array(["zero one two three four", "one two nine three four five x y"]))
     s, e, first = common.word_spans(buf, offs, common.ALNUM)
     terms, at, counts = np.unique(common.word_hashes(buf, s, e), return_inverse=True, return_counts=True)
-    row = {"bounds": first.astype(np.int64), "terms": terms, "counts": counts.astype(np.int32), "places": np.argsort(at, kind="stable").astype(np.int32)}
-    seg = decontam.Segment({k: v.tobytes() for k, v in row.items()})
+    seg = decontam.Segment(dict(zip(("shape", "postings"), decontam._packed(first, terms, counts, np.argsort(at, kind="stable")))))
     found = lambda slop: {(t.ids[t.owner[t.owners[w]]], p) for part in decontam._find(t, seg, slop) for w, p in zip(*(x.tolist() for x in part))}
     assert found(0) == {("i", 1), ("j", 11)}
     assert found(0) < found(1) and any(p >= 5 and i == "i" for i, p in found(1))
