@@ -158,7 +158,7 @@ def java_chunks(spark, t):
     return java.table(shop(spark), "chunk").select("element_name", "class_name", "chunk_type", "start_line", "end_line", "content")
 
 
-@query("""SELECT * FROM (VALUES ('com.acme.shop.Shop.sell(String,int)', 'id', 'PARAMETER', 'METHOD_ARG'), ('com.acme.shop.Shop.sell(String,int)', 'count', 'PARAMETER', ''), ('com.acme.shop.Shop.sell(String,int)', 'price', 'LOCAL_DECL,ASSIGNMENT', 'RETURN_VALUE'), ('com.acme.shop.Shop.sell(String,int)', 'i', '', 'CONDITION,METHOD_ARG'),
+@query("""SELECT * FROM (VALUES ('com.acme.shop.Shop.sell(String,int)', 'id', 'PARAMETER', 'METHOD_ARG'), ('com.acme.shop.Shop.sell(String,int)', 'count', 'PARAMETER', 'CONDITION'), ('com.acme.shop.Shop.sell(String,int)', 'price', 'LOCAL_DECL,ASSIGNMENT', 'RETURN_VALUE'), ('com.acme.shop.Shop.sell(String,int)', 'i', '', 'CONDITION,METHOD_ARG'),
 ('com.acme.shop.Shop.sell(String,int)', 'repo', '', 'ASSIGNMENT_RHS')) v(method_qn, var, defs, uses)""")
 def java_flow_summary(spark, t):
     f = shop(spark)
