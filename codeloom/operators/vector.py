@@ -38,7 +38,7 @@ def topk_in_group(df: DataFrame, queries: DataFrame, group: str, k: int, vector:
 
 
 #: Rows that centroids are fitted on at most, lists, and lists that a search reads.
-SAMPLE_ROWS, LISTS, PROBES, ROUNDS = 20_000, 32, 12, 12
+SAMPLE_ROWS, LISTS, PROBES, ROUNDS = 20_000, 32, 22, 12
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -50,7 +50,7 @@ def centroids(df: DataFrame, lists: int = LISTS, sample: int = SAMPLE_ROWS, vect
     """Directions of `lists` groups of the rows with the least hashes of their keys, `sample` at most."""
     rows = df.filter(F.col(vector).isNotNull()).select(vector, F.xxhash64(key).alias("_h"), key).orderBy("_h", key).limit(sample)
     got = [r[0] for r in rows.collect()]
-    x = _unit(np.array(got, np.float64).reshape(len(got), -1))
+    x = _unit(np.array(got, np.float64)) if got else np.zeros((0, 1))
     c = x[np.linspace(0, len(x) - 1, min(lists, len(x))).astype(int)] if len(x) else x
     for _ in range(ROUNDS if len(x) else 0):
         near = (x @ c.T).argmax(1)
