@@ -383,6 +383,7 @@ def distinct_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     named = _classes_of(docs, df, id_col, text)
     rows = docs.filter("n > 0").groupBy("hi", "lo", "id", "r1", "r2").agg(F.count("*").alias("times")).join(named.select("hi", "lo", "g"), ["hi", "lo"])
     best = rows.groupBy("g").agg(F.min(F.struct(F.col("id").isNull(), "id", "r1", "r2")).alias("best")).select("g", F.col("best.r1").alias("b1"), F.col("best.r2").alias("b2"))
+    best = stash(best, "best")  # apart from the join, where a hot component can be split then
     rows = rows.join(best, "g").withColumn("goes", (F.col("r1") != F.col("b1")) | (F.col("r2") != F.col("b2")))
     rows = stash(rows.filter("goes OR times > 1").select(F.col("r1").alias("t1"), F.col("r2").alias("t2"), "goes").distinct(), "touched")
     r1, r2, t1, t2, goes, flag = columns_free_of(df, "r1", "r2", "t1", "t2", "goes", "flag")
