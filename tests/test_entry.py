@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -28,7 +29,7 @@ def cell(v):
     return f"{v:.6f}" if isinstance(v, float) else str(v)
 
 
-@pytest.mark.parametrize("name", [k for k in sorted(ORACLES) if not k.startswith(("op", "pipeline"))])
+@pytest.mark.parametrize("name", [k for k in sorted(ORACLES) if not re.match(r"op\d|pipeline", k)])
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for f in glob.glob(f"{DATA}/*.parquet"):
