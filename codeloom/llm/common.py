@@ -107,15 +107,26 @@ def columns_free_of(df: DataFrame, *names: str) -> list[str]:
 # ---------------------------------------------------------------- slices of texts
 
 
-def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+#: What a worker remembers for an operator, such as the ids of words; tasks of other operators clear it.
+remembered: list[dict] = []
+
+
+def forget() -> None:
+    for cache in remembered:
+        cache.clear()
+
+
+def map_arrow(df: DataFrame, run, schema: str, keep: bool = False) -> DataFrame:
     """df.mapInArrow with batches of bounded size: unless the session asks for less, BATCH_ROWS rows and BATCH_BYTES bytes, which a
-    single longer row may exceed. The defaults of 10,000 rows and 64 MB take a multiple of that for every task on either side."""
+    single longer row may exceed; `keep` lets the worker remember. The defaults of 10,000 rows and 64 MB take a multiple of that for every task on either side."""
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keep:
+            forget()
         yield from run(batches)
         trim()
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, map_arrow, new_path, slices, text_bytes, word_hashes, word_spans
+from .common import LOWER, map_arrow, new_path, remembered, slices, text_bytes, word_hashes, word_spans
 
 #: Ids of a shard; the pairs that one round replaces at most, and how often a pair must occur.
 SHARD_IDS, ROUND_RULES, OFTEN = 400_000, 8192, 4
@@ -46,6 +46,7 @@ _STOP[list(b".,;:!?")] = True
 _LETTER[65:91] = _LETTER[97:123] = True
 
 _encoders: dict[str, Encoder] = {}
+remembered.append(_encoders)
 
 
 class Encoder:
@@ -254,7 +255,7 @@ def write(df: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text
         if held:
             yield row()
 
-    dealt = map_arrow(rows, tokens, "part int, i long, crc long, ids binary").repartition(parts, "part").sortWithinPartitions("part", "i", "crc", "ids").drop("crc")
+    dealt = map_arrow(rows, tokens, "part int, i long, crc long, ids binary", keep=True).repartition(parts, "part").sortWithinPartitions("part", "i", "crc", "ids").drop("crc")
     map_arrow(dealt, shards, SHARD).write.option("compression", "zstd").parquet(path)
 
 
