@@ -155,7 +155,8 @@ SETS = "hi long, lo long, h long, shingles binary"
 
 
 def full_sets(df: DataFrame, id_col: str, text: str, wanted: np.ndarray) -> DataFrame:
-    """(hi, lo, h, shingles) of the rows whose id passes a filter: the set's digest, the place of the id, the sorted shingle hashes."""
+    """(hi, lo, h, shingles) of the rows whose id passes a filter: the set's digest, the digest's place in a filter, the sorted shingle
+    hashes. Copies share a digest, so it does not matter which of them brings the set: others than the class's least id pass by chance."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -167,16 +168,15 @@ def full_sets(df: DataFrame, id_col: str, text: str, wanted: np.ndarray) -> Data
                 for i, (hi, lo) in enumerate(ids.tolist()):
                     each.setdefault((hi, lo), i)
                 at = np.array(list(each.values()), np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[at, 0]), pa.array(ids[at, 1]), x.column(0).take(pa.array(at)), pa.array([values[first[i] : first[i + 1]].astype("<u8").tobytes() for i in at], pa.binary())], names=["hi", "lo", "h", "shingles"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at, 0]), pa.array(ids[at, 1]), pa.array([values[first[i] : first[i + 1]].astype("<u8").tobytes() for i in at], pa.binary())], names=["hi", "lo", "shingles"])
 
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("c"), F.col(f"`{text}`").alias("t"))
-    return map_arrow(rows.select(filter_place("c").alias("h"), "t"), run, SETS)
+    sets = map_arrow(rows.select(filter_place("c").alias("p"), "t"), run, "hi long, lo long, shingles binary")
+    return sets.select("hi", "lo", filter_place("hi").alias("h"), "shingles")
 
 
 def _only(sets: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """The sets of ids that pass a filter."""
+    """The sets whose digests pass a filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -226,13 +226,12 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verify(pairs: DataFrame, regs: DataFrame, sets: DataFrame) -> DataFrame:
     """The links among pairs(a, b) of class numbers: by likelihood, then on the full sets. A pair that comes twice is compared once."""
-    side = lambda k: regs.select(F.col("c").alias(k), *(F.col(x).alias(f"{x}_{k}") for x in ("n", "regs", "hi", "lo", "id")))
+    side = lambda k: regs.select(F.col("c").alias(k), *(F.col(x).alias(f"{x}_{k}") for x in ("n", "regs")))
     near = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
     likely = map_arrow(near.select("a", "b", "n_a", "n_b", "regs_a", "regs_b"), _likely, "a long, b long, estimate double").select("a", "b").distinct()
-    names = regs.select("c", "hi", "lo", "id")
-    named = lambda k: names.select(F.col("c").alias(k), *(F.col(x).alias(f"{x}_{k}") for x in ("hi", "lo", "id")))
+    named = lambda k: regs.select(F.col("c").alias(k), *(F.col(x).alias(f"{x}_{k}") for x in ("hi", "lo")))
     near = stash(likely.join(named("a"), "a").join(named("b"), "b"), "likely")
-    some = _only(sets, id_filter(near.select(F.col("id_a").alias("id")).unionByName(near.select(F.col("id_b").alias("id"))), "id"))
+    some = _only(sets, id_filter(near.select(F.col("hi_a").alias("hi")).unionByName(near.select(F.col("hi_b").alias("hi"))), "hi"))
     of = lambda k: some.select(F.col("hi").alias(f"hi_{k}"), F.col("lo").alias(f"lo_{k}"), F.col("shingles").alias(f"s_{k}"))
     full = near.join(of("a"), ["hi_a", "lo_a"]).join(of("b"), ["hi_b", "lo_b"])
     return map_arrow(full.select("a", "b", "s_a", "s_b"), _linked, "a long, b long, common long")
@@ -267,7 +266,7 @@ def class_links(classes: DataFrame, sets_of) -> tuple[DataFrame, DataFrame]:
     wide = large.join(regs_of, "c")
     total = wide.groupBy("key").agg(F.sum("n").alias("shingles_in"))
     wide = wide.join(total, "key").withColumn("block", F.pmod(F.xxhash64("c"), F.greatest(F.ceil(F.col("s") / BLOCK), F.ceil(F.col("shingles_in") / BLOCK_SHINGLES))))
-    some = _only(sets, id_filter(large.select("c").distinct().join(regs_of.select("c", "id"), "c"), "id"))
+    some = _only(sets, id_filter(large.select("c").distinct().join(regs_of.select("c", "hi"), "c"), "hi"))
     whole = wide.join(some, ["hi", "lo"])
     blocks = stash(whole.groupBy("key", "block").agg(F.max("out").alias("any_out"), F.collect_list(F.struct("c", "g", "out", "n", "regs", "shingles")).alias("m")), "blocks")
     one = blocks.filter("any_out").select("key", F.col("m").alias("m_a"))

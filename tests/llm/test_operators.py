@@ -12,7 +12,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.llm import decontam, langid, linededup, mixing, quality, queries, repair, setsketch, substr, tokencount, urlfilter
+from codeloom.llm import common, decontam, langid, linededup, mixing, quality, queries, repair, setsketch, substr, tokencount, urlfilter
 
 TEXT = "doc_id long, text string"
 
@@ -127,6 +127,24 @@ def test_near_duplicates_without_links(spark):
     assert got == [(1, 0, 1, True), (2, 2, 2, True)]
 
 
+@pytest.mark.parametrize("small", (32, 1))  # rows and blocks
+def test_near_duplicates_with_a_full_filter(spark, monkeypatch, small):
+    """Ids that pass a filter by chance, as many do on large tables, are other copies of the sets that are asked for."""
+    monkeypatch.setattr(common, "FILTER_BITS", 256)
+    monkeypatch.setattr(setsketch, "SMALL", small)
+    rng, rows = random.Random(11), []
+    for g in range(6):  # four classes of twenty copies, which are linked
+        rows += [(g, " ".join([f"g{g}w{k}" for k in range(79 - v)] + [f"v{v}"])) for v in range(4) for _ in range(20)]
+    for g in range(200):  # they share buckets and are not linked
+        rows.append((6 + g, " ".join([f"h{g // 5}w{k}" for k in range(46)] + [f"x{g}y{k}" for k in range(34)])))
+    rng.shuffle(rows)
+    ids = rng.sample(range(10_000), len(rows))
+    docs = [(i, t) for i, (_, t) in zip(ids, rows)]
+    least = {g: min(i for i, (x, _) in zip(ids, rows) if x == g) for g, _ in rows}
+    got = setsketch.near_duplicates(spark.createDataFrame(docs, TEXT).repartition(3)).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted((i, least[g]) for i, (g, _) in zip(ids, rows))
+
+
 def test_overlaps_of_sets():
     rng = np.random.default_rng(3)
     sets = lambda n: [np.unique(rng.integers(0, 3000, rng.integers(0, 900))).astype(np.uint64) for _ in range(n)]
