@@ -22,9 +22,10 @@ def _folder(spark: SparkSession) -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table as a stream of its files."""
+    """A table as a stream of its files. The table is one file or a folder of them: a stream's plain path must be a folder, a pattern
+    that fits one name may be either."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def _to_end(stream: DataFrame, mode: str, on_batch, at: str) -> None:
