@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import incremental, maintain, memory
 
+COLUMNS = ["conv_id", "turn_index", "history"]
+#: Rows of histories that a task makes at once.
+ROWS = 1000
+
 
 def apply_fingerprints(read_stored: Callable[[], DataFrame], write: Callable[[DataFrame, DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """For foreachBatch on a stream of (path, content): `write` gets what changed (path, status), the stored table as it becomes, and
@@ -31,18 +35,23 @@ def session_windows(events: DataFrame, user: str = "user_id", ts: str = "ts", ga
 
 
 def capped_history(turns: DataFrame, cap: int = memory.HISTORY_CAP) -> DataFrame:
-    """(conv_id, turn_index, history) after each arriving turn(conv_id, turn, text): the last `cap` texts, kept as state for each session."""
+    """(conv_id, turn_index, history) after each arriving turn(conv_id, turn, text): the last `cap` texts, kept as state for each session.
+    The turns that arrive together are taken in order; a session's may come in several batches."""
 
     def on_turns(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         history = list(state.get[0]) if state.exists else []
         rows = []
-        for b in batches:
-            for text in b.sort_values("turn")["text"]:
-                index = len(history)
-                history = [*history, text][-cap:]
-                rows.append((key[0], index, list(history)))
+        turns = pd.concat([b[["turn", "text"]] for b in batches])
+        for text in turns.sort_values("turn", kind="stable")["text"]:
+            index = len(history)
+            history = [*history, text][-cap:]
+            rows.append((key[0], index, history))
+            if len(rows) == ROWS:
+                yield pd.DataFrame(rows, columns=COLUMNS)
+                rows = []
         state.update((history,))
-        yield pd.DataFrame(rows, columns=["conv_id", "turn_index", "history"])
+        if rows:
+            yield pd.DataFrame(rows, columns=COLUMNS)
 
     return turns.groupBy("conv_id").applyInPandasWithState(on_turns, "conv_id long, turn_index int, history array<string>", "history array<string>", "append", "NoTimeout")
 
