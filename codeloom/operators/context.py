@@ -38,16 +38,18 @@ def chunk_block(ordinal: Column, header: Column, content: Column) -> Column:
     return F.concat(F.lit("--- Chunk "), ordinal.cast("string"), F.lit(" "), header, F.lit(" ---\n"), content, F.lit("\n\n"))
 
 
-def truncated(text: Column, most: int = MAX_CHARS) -> Column:
-    """Trimmed text, cut with a mark if it is too long."""
+def truncated(text: Column, most: int | None = MAX_CHARS) -> Column:
+    """Trimmed text, cut with a mark if it is too long; None is no limit."""
     t = F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    if most is None:
+        return t
     return F.when(F.length(t) > most, F.concat(F.substring(t, 1, most), F.lit(MARK))).otherwise(t)
 
 
-def assemble(history: DataFrame, chunks: DataFrame, chain: DataFrame, callers: DataFrame, impacted: DataFrame, endpoints: DataFrame) -> DataFrame:
+def assemble(history: DataFrame, chunks: DataFrame, chain: DataFrame, callers: DataFrame, impacted: DataFrame, endpoints: DataFrame, most: int | None = MAX_CHARS) -> DataFrame:
     """One row `context`. Inputs are ranked (column rank): history(query, answer), chunks(class_name, element_name, chunk_type, content),
     chain, callers, endpoints (class_name, simple_name, is_endpoint, http_method, endpoint_path), impacted(simple_name, node_type). A section
-    starts, and a chunk is added, only while the text so far is not over the budget."""
+    starts, and a chunk is added, only while the text so far is not over the budget of `most` characters; with None all is kept."""
     name = F.concat("class_name", F.lit("."), "simple_name")
     call = F.concat(F.lit("["), F.coalesce("http_method", F.lit("null")), F.lit(" "), F.coalesce("endpoint_path", F.lit("null")), F.lit("]"))
     lines = [
@@ -59,14 +61,19 @@ def assemble(history: DataFrame, chunks: DataFrame, chain: DataFrame, callers: D
         (ENDPOINTS + "\n", endpoints, F.concat(F.lit("- ["), F.coalesce("http_method", F.lit("null")), F.lit("] "), F.coalesce("endpoint_path", F.lit("null")), F.lit("  →  "), name, F.lit("\n")), "\n", False),
     ]
     rows = None
-    for i, (head, df, text, tail, each) in enumerate(lines):  # retrieval limits bound every part to a few dozen rows
+    for i, (head, df, text, tail, each) in enumerate(lines):
         part = df.select(F.lit(i).alias("section"), F.col("rank").cast("long").alias("rank"), text.alias("text"), F.lit(head).alias("head"), F.lit(tail).alias("tail"), F.lit(each).alias("each"))
         rows = part if rows is None else rows.unionByName(part)
     body = rows.groupBy("section", "head", "tail", "each").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("rows"))
     ordered = F.array_sort(F.collect_list(F.struct("section", "head", "tail", "each", "rows")))
 
+    over = lambda t: F.lit(False) if most is None else F.length(t) > most
+
     def add(acc: Column, s: Column) -> Column:
-        joined = F.aggregate(s["rows"], F.concat(acc, s["head"]), lambda t, r: F.when(s["each"] & (F.length(t) > MAX_CHARS), t).otherwise(F.concat(t, r["text"])))
-        return F.when((s["section"] > 1) & (F.length(acc) > MAX_CHARS), acc).otherwise(F.concat(joined, s["tail"]))
+        whole = F.concat(acc, s["head"], F.array_join(F.transform(s["rows"], lambda r: r["text"]), ""))  # at once: lists can be long
+        joined = F.aggregate(s["rows"], F.concat(acc, s["head"]), lambda t, r: F.when(over(t), t).otherwise(F.concat(t, r["text"])))
+        if most is not None:
+            whole = F.when(s["each"], joined).otherwise(whole)
+        return F.when((s["section"] > 1) & over(acc), acc).otherwise(F.concat(whole, s["tail"]))
 
-    return body.agg(ordered.alias("s")).select(truncated(F.aggregate("s", F.lit(""), add)).alias("context"))
+    return body.agg(ordered.alias("s")).select(truncated(F.aggregate("s", F.lit(""), add), most).alias("context"))

@@ -40,6 +40,17 @@ def test_streams_of_tables_that_are_folders(spark, tmp_path, name):
     assert sorted(tuple(cell(r[c]) for c in columns) for r in got.collect()) == sorted(tuple(cell(v) for v in r) for r in want.select(*[duckdb.ColumnExpression(c) for c in columns]).fetchall())
 
 
+def test_context_assembly_is_whole(spark, tmp_path):
+    for name in ("conversations", "embeddings"):
+        os.symlink(f"{DATA}/{name}.parquet", f"{tmp_path}/{name}.parquet")
+    spark.read.parquet(f"{DATA}/part.parquet").limit(0).unionByName(spark.range(400_000).selectExpr("id AS p_partkey", "1 AS p_size"), allowMissingColumns=True).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    for name, files in (("conversations", ""), ("embeddings", ""), ("part", "/*.parquet")):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet{files}'")
+    got, want = entry.queries()["context_assembly"](spark, str(tmp_path)).first()[0], con.sql(ORACLES["context_assembly"]).fetchall()[0][0]
+    assert len(got) > 40_000 and got == want
+
+
 @pytest.mark.parametrize("name", [k for k in sorted(ORACLES) if not re.match(r"op\d|pipeline", k)])
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()

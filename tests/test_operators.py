@@ -219,6 +219,8 @@ def test_context(spark):
     args[1] = chunks.withColumn("content", F.repeat(F.lit("x"), 40000))
     long = context.assemble(*args).first()["context"]
     assert long.endswith(context.MARK) and len(long) == context.MAX_CHARS + len(context.MARK) and "CALL CHAIN" not in long
+    whole = context.assemble(*args, most=None).first()["context"]
+    assert whole == got.replace("body", "x" * 40000).replace("k: v", "x" * 40000)
 
 
 def test_null_fill(spark):
