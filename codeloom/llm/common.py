@@ -92,6 +92,17 @@ def drop_stash(df: DataFrame) -> None:
         remove_path(df.sparkSession, f.rsplit("/", 1)[0])
 
 
+def settle(spark: SparkSession) -> None:
+    """Executors give heap that finished work has left back to the system, by a collection in each: a heap grows step by step and does
+    not shrink by itself, while Python workers beside it need memory of their own. Nothing depends on it; one task a core reaches
+    every executor that is idle."""
+    n = spark.sparkContext.defaultParallelism
+    try:
+        spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+    except Exception:  # noqa: BLE001  where a platform forbids the call, memory stays as it is
+        pass
+
+
 def columns_free_of(df: DataFrame, *names: str) -> list[str]:
     """Names like the given ones that do not clash with columns of df, whatever their case."""
     taken = {c.lower() for c in df.columns}

@@ -2,33 +2,51 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.llm import decontam, mixing, quality, repair, setsketch
-from codeloom.llm.common import stash
+from codeloom.llm.common import settle, stash
+
+
+def _settled(stage):
+    """The stage, begun after executors have given back the memory of the one before."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        settle(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
+@_settled
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
     return quality.quality_filter(docs)
 
 
+@_settled
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the row with the least doc_id, decided row by row (`distinct_documents`)."""
     return setsketch.distinct_documents(docs)
 
 
+@_settled
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages."""
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_settled
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     return mixing.mixed(docs)
 
 
+@_settled
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each document's token ids are in the compressed shards, as read back from them."""
     return repair.token_ids(docs, public_tokenizers.path("word_bpe_49k.json"))

@@ -145,6 +145,19 @@ def test_near_duplicates_with_a_full_filter(spark, monkeypatch, small):
     assert sorted(map(tuple, got)) == sorted((i, least[g]) for i, (g, _) in zip(ids, rows))
 
 
+def test_stages_begin_with_a_collection_on_executors(spark, sf):
+    import corpus_pipeline
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans  # executors run in this JVM
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name in ("quality_rules", "mix_sources"):
+        spark._jvm.System.gc()
+        had = full()
+        dict(corpus_pipeline.STAGES)[name](spark, docs.limit(0), sf)
+        assert full() > had, name
+
+
 def test_overlaps_of_sets():
     rng = np.random.default_rng(3)
     sets = lambda n: [np.unique(rng.integers(0, 3000, rng.integers(0, 900))).astype(np.uint64) for _ in range(n)]
